@@ -5,6 +5,8 @@
 
 import re
 
+from sitescan.sources.tables import read_pages
+
 VIEWS = {
     # Raw cells: missing schemes, padding, nan, upper-case schemes, junk, ftp; every URL twice.
     "raw_urls": """
@@ -92,16 +94,17 @@ _REF = re.compile(r"<<([a-z_]+)>>")
 def spark_view(spark, sf_dir, name):
     """A view, or a given table, as a Spark DataFrame."""
     if name not in VIEWS:
-        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spark.sql(_spark_text(sf_dir, name))
+        return read_pages(spark, f"{sf_dir}/{name}.parquet")
+    return spark.sql(_spark_text(spark, sf_dir, name))
 
 
-def _spark_text(sf_dir, name):
+def _spark_text(spark, sf_dir, name):
     def source(match):
         ref = match.group(1)
         if ref in VIEWS:
-            return f"({_spark_text(sf_dir, ref)})"
-        return f"parquet.`{sf_dir}/{ref}.parquet`"
+            return f"({_spark_text(spark, sf_dir, ref)})"
+        spark_view(spark, sf_dir, ref).createOrReplaceTempView(f"given_{ref}")
+        return f"given_{ref}"
 
     return _REF.sub(source, VIEWS[name].replace("%AGG%", _SPARK_AGG))
 

@@ -11,7 +11,7 @@ from ..lookups import (
     NON_NAME_WORDS,
 )
 from .html import attr, has_class, inner_text, meta_content, single_string
-from .text import bind, first_of, squeeze, strip
+from .text import bind, first_of, listed_words, squeeze, strip
 
 _LOW = r"[a-z\x{c0}-\x{24f}]"
 _UP = r"[A-Z\x{c0}-\x{24f}]"
@@ -37,7 +37,7 @@ def clean_name(raw, unicode_split: bool = False) -> Column:
         return F.when(
             n.rlike(NAME_LETTERS)
             & (F.size(words) <= 4)
-            & ~F.exists(words, lambda w: F.lower(w).isin(*NON_NAME_WORDS))
+            & (F.size(listed_words(F.split(F.lower(n), " "), NON_NAME_WORDS)) == 0)
             & n.rlike(r"(?:^| )\p{Lu}"),
             n,
         )
@@ -129,13 +129,17 @@ def _selected(nodes, kind, arg) -> Column:
 
 
 def author_from_byline(nodes, unicode_split: bool = False) -> Column:
-    """First clean name among the byline elements, selector by selector."""
-    return F.coalesce(
-        *(
-            _first_name(
-                F.transform(_selected(nodes, kind, arg), lambda n: inner_text(nodes, n)),
-                unicode_split,
+    """First clean name among the byline elements, selector by selector, each in document order."""
+    # One list over all selectors, best first; what an earlier one has found need not come again.
+    found = F.array_distinct(
+        F.flatten(
+            F.array(
+                *(
+                    F.transform(_selected(nodes, kind, arg), lambda n: n["id"])
+                    for kind, arg in BYLINE_SELECTORS
+                )
             )
-            for kind, arg in BYLINE_SELECTORS
         )
     )
+    texts = F.transform(found, lambda i: inner_text(nodes, F.get(nodes, i)))
+    return _first_name(texts, unicode_split)

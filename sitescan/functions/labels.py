@@ -4,7 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lookups import LANGUAGE_NAMES, LANGUAGE_SCRIPTS, LANGUAGE_WORDS
-from .text import bind
+from .text import bind, listed_words
 
 GUESS_TYPE = "struct<label:string,confidence:int>"
 MIN_LANGUAGE_CHARS = 50
@@ -27,14 +27,11 @@ def best_label(words, table) -> Column:
     """
     known = sorted({w for _, listed in table for w in listed})
 
-    def count(hits, listed):
-        return F.size(F.filter(hits, lambda w: w.isin(*listed)))
-
     def score(hits):
         return F.array(
             *(
                 F.struct(
-                    count(hits, listed).alias("n"),
+                    F.size(listed_words(hits, listed)).alias("n"),
                     F.lit(-i).alias("order"),
                     F.lit(label).alias("label"),
                 )
@@ -50,8 +47,7 @@ def best_label(words, table) -> Column:
             F.struct(top["label"].alias("label"), _percent(top["n"], whole).alias("confidence")),
         )
 
-    hits = F.filter(words, lambda w: w.isin(*known))
-    return bind(bind(hits, score), pick)
+    return bind(bind(listed_words(words, known), score), pick)
 
 
 def script_language(text, scripts=LANGUAGE_SCRIPTS) -> Column:
@@ -68,7 +64,8 @@ def script_language(text, scripts=LANGUAGE_SCRIPTS) -> Column:
             for code, n in share
         )
     )
-    return F.when(text.rlike("|".join(letters for _, letters in scripts)), found)
+    any_script = "[" + "".join(letters.strip("[]") for _, letters in scripts) + "]"
+    return F.when(text.rlike(any_script), found)
 
 
 def language_guess(text, min_chars: int = MIN_LANGUAGE_CHARS) -> Column:

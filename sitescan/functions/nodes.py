@@ -7,14 +7,19 @@ array. Node `i` sits at position `i`, and its subtree is the run of nodes
 `i + 1 .. last`, so subtrees are slices.
 """
 
+import sys
 from html.entities import html5
 from html.parser import HTMLParser
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..lookups import BOILERPLATE_TAGS
 
+# The reader travels with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Elements that never have content, and elements whose strings are not page text.
 VOID_TAGS = frozenset(
     "area base br col embed hr img input keygen link menuitem meta param source track wbr"

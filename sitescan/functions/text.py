@@ -29,10 +29,16 @@ def first_of(array):
     return F.get(array, F.lit(0))
 
 
-def where(array, test):
-    return F.filter(array, test)
-
-
 def first_where(array, test) -> Column:
     """The first match as an array of at most one element, ready to be chained."""
     return F.slice(F.filter(array, test), 1, 1)
+
+
+def listed_words(words, listed) -> Column:
+    """Those of `words` that are in the list, repeats included.
+
+    The list goes in as SQL text: one literal instead of one call per word, and
+    Spark makes a hash set of it.
+    """
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in listed)
+    return F.call_function("filter", words, F.expr(f"w -> w in ({quoted})"))

@@ -20,12 +20,14 @@ AUTHOR_CONFIDENCE = (("jsonld", 95), ("meta", 85), ("byline", 60))
 def batch_assign(sites: DataFrame, size: int = BATCH_SIZE, chunks: int | None = None) -> DataFrame:
     """Adds batch_id: groups of `size` in URL order, the last may be short.
 
-    Numbered chunk by chunk, so no task sorts all sites.
+    Only the URLs are numbered, chunk by chunk, so no task sorts all sites and
+    nothing else of the sites is worked out for it.
     """
     if not 1 <= size <= 20:
         raise ValueError(f"batch size must be from 1 to 20, not {size}")
-    numbered = with_row_index(sites, ["url"], "_row", chunks)
-    return numbered.withColumn("batch_id", F.floor(F.col("_row") / size)).drop("_row")
+    numbered = with_row_index(sites.select("url").distinct(), ["url"], "_row", chunks)
+    batches = numbered.select("url", F.floor(F.col("_row") / size).alias("batch_id"))
+    return sites.join(batches, "url")
 
 
 def request_context(facts: DataFrame) -> DataFrame:

@@ -31,6 +31,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a scan out when it comes in fewer pieces than there are cores.
+
+    For work that costs far more than moving a row, such as reading pages. A
+    table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000, max_bytes: int = 64 << 20):
     """A broadcast hint, given only after `df` has been counted and weighed.
 

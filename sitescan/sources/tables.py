@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..lookups import URL_COLUMNS
+from ..session import spread
 
 DELIMITERS = (",", ";", "\t", "|")
 
@@ -60,6 +61,11 @@ def url_scan(spark: SparkSession, path: str, format: str = "csv", sep: str | Non
     )
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table of pages or texts, in enough pieces to keep all cores busy."""
+    return spread(spark.read.parquet(path))
+
+
 def run_stamp(prefix: str = "results", at: datetime | None = None) -> str:
     """`prefix_YYYY-MM-DD_HHMMSS`, the name of a run."""
     return f"{prefix}_{at or datetime.now():%Y-%m-%d_%H%M%S}"

@@ -1,8 +1,14 @@
 """Per-URL state of a crawl: what is known until the URL is settled."""
 
+import sys
+
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# The processor travels with the job, so executors need not have this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 OUTPUT_TYPE = "url string, attempt int, outcome string, terminal boolean, error string"
 _PENDING = "failures int, attempt int, outcome string, error string"
 
