@@ -264,7 +264,7 @@ VERDICTS = [f"""verdicts as (select email, ok as format_valid, ok and coalesce(m
 # Addresses as found in the documents, some of them spoilt.
 ADDRESSES = [
     *email_ctes("documents", "doc_id", "text"),
-    """addresses as (select email from ranked union all select concat(email, '.') from ranked)""",
+    """addresses as (select email from ranked union select concat(email, '.') from ranked)""",
 ]
 
 # ---------------------------------------------------------------- classification
@@ -361,15 +361,14 @@ def oracle_sql():
         "index_pattern_scan": with_ctes(["queries", "url_index"], scan_ctes(N), "select * from scan"),
         "index_first_hit": with_ctes(["queries", "url_index"], first_hit_ctes(N), "select * from first_hit"),
         "noise_domain_filter": with_ctes(["links"], [], f"select * from links where not {NOISE}"),
-        "url_origin": with_ctes(["links"], [], f"select rank, {origin('href')} as origin from links"),
+        "url_origin": with_ctes(["links"], [], f"select query_id, rank, {origin('href')} as origin from links"),
         "origin_dedupe": f"select {origin('url')} as origin, min(page_id) as rank from pages group by 1",
         "search_results_explode": with_ctes(["links"], [], f"""select query_id, cast(row_number() over (partition by query_id order by rank) as int) as rank, href as url
-            from links qualify row_number() over (partition by query_id order by rank) <= {2 * N}"""),
+            from links where rank <= {(2 * N // 10 + 1) * 10} qualify row_number() over (partition by query_id order by rank) <= {2 * N}"""),
         "discover": with_ctes(["queries", "url_index"], first_hit_ctes(2 * N), top_origins("first_hit", N)),
         "discover_links": with_ctes(
             ["links"],
-            [f"asked as (select query_id, cast(row_number() over (partition by query_id order by rank) as int) as rank, href from links)",
-             f"""clean as (select query_id, row_number() over (partition by query_id order by rank) as rank, href as url from asked
+            [f"""clean as (select query_id, row_number() over (partition by query_id order by rank) as rank, href as url from links
                 where rank <= {6 * N} and not {NOISE} qualify row_number() over (partition by query_id order by rank) <= {2 * N})"""],
             top_origins("clean", N)),
         "attempt_outcome": with_ctes(attempts, OUTCOMES, "select url, attempt, outcome, terminal, error from outcomes"),
@@ -462,6 +461,19 @@ def oracle_sql():
                 case when s.url is null then 'FAILED' else 'OK' end as status, case when s.url is null then 'no crawl result' end as error
                 from wanted w left join scorer s on s.url = w.url left join best b using (page_id) left join mx_snapshot on domain = split_part(b.email, '@', 2))"""],
             f"select {RESULT_FIELDS} from rows"),
+        "profile_crawl": with_ctes(
+            ["plain", "rendered", "mx_snapshot"],
+            [*CHOSEN,
+             "chosen_pages as (select page_id, url, case when html_chars > 0 then html else '' end as html from picked join pages using (url))",
+             *scored_ctes("chosen_pages"), *email_ctes("chosen_pages"),
+             f"""rows as (select k.url, k.fetch_status, k.fetch_error, s.*, b.email, case when b.email is not null
+                then regexp_matches(b.email, {q(L.EMAIL_FORMAT)}) and coalesce(mx_count > 0, false) end as email_valid
+                from picked k join scorer s on s.url = k.url left join best b using (page_id) left join mx_snapshot on domain = split_part(b.email, '@', 2))"""],
+            """select url, niche, site_type, language, author, email, email_valid, nullif(confidence_niche, 0) as confidence_niche,
+                nullif(confidence_type, 0) as confidence_type, cast(nullif(confidence_author, 0) as int) as confidence_author,
+                cms, fetch_status as status, null as error from rows where fetch_status = 'OK'
+            union all select url, null, null, null, null, null, null, null, null, null, null, fetch_status, fetch_error from rows where fetch_status <> 'OK'"""),
+        "outlink_totals": with_ctes([], OUTLINKS, "select link_origin, count(*) as links, count(distinct page_id) as pages from resolved_links where link_origin is not null group by 1"),
         "outlinks": with_ctes([], OUTLINKS, "select page_id, link_origin, count(*) as links from resolved_links where link_origin is not null group by 1, 2"),
         "stream_url_dedupe": "select distinct url from pages",
         "stream_progress": "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2",

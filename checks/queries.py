@@ -105,7 +105,7 @@ def noise_domain_filter(spark, links):
 
 @query
 def url_origin(spark, links):
-    return links.select("rank", U.url_origin(F.col("href")).alias("origin"))
+    return links.select("query_id", "rank", U.url_origin(F.col("href")).alias("origin"))
 
 
 @query
@@ -113,19 +113,11 @@ def origin_dedupe(spark, pages):
     return discovery.origin_dedupe(pages.select("url", F.col("page_id").alias("rank")))
 
 
-def _ranked_links(links):
-    return discovery.top_per_key(
-        links.withColumnRenamed("rank", "found"), ["query_id"], ["found"], 1_000_000
-    ).select("query_id", "rank", "href")
-
-
 @query
 def search_results_explode(spark, links):
     # Archived result pages, ten links each.
-    place = (F.col("rank") - 1)
     archive = (
-        _ranked_links(links)
-        .groupBy("query_id", F.floor(place / 10).cast("int").alias("page"))
+        links.groupBy("query_id", F.floor((F.col("rank") - 1) / 10).cast("int").alias("page"))
         .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("href").alias("link")))).alias("found"))
         .select("query_id", "page", F.to_json(F.struct(F.col("found").alias("organic_results"))).alias("json"))
     )
@@ -139,7 +131,7 @@ def discover(spark, queries, url_index):
 
 @query
 def discover_links(spark, links):
-    return discovery.discover(_ranked_links(links), N, "ddg")
+    return discovery.discover(links, N, "ddg")
 
 
 # Crawl log
@@ -485,7 +477,9 @@ def result_merge(spark, pages_decorated, replies):
 
 @query
 def failed_rows(spark, pages_decorated, replies):
-    return _results(pages_decorated, replies).drop("email_valid")
+    good, failed = crawl_log.fetch_split(profile.crawl_facts(_crawled(pages_decorated)))
+    answers = classify.read_replies(_requests(pages_decorated), replies)
+    return results.with_failed(results.result_merge(good, answers), failed).drop("email_valid")
 
 
 @query
@@ -521,11 +515,25 @@ def profile_sites(spark, pages_decorated, raw_urls, mx_snapshot):
     return profile.profile_sites(pages_decorated, raw_urls, mx_snapshot)
 
 
+@query
+def profile_crawl(spark, plain, rendered, mx_snapshot):
+    log = plain.select(
+        "url", F.lit(1).alias("attempt"), "status_code", F.lit(None).cast("string").alias("error_class"),
+        F.timestamp_seconds("page_id").alias("ts"),
+    )
+    return profile.profile_crawl(log, plain, rendered, mx_snapshot)
+
+
 @query
 def outlinks(spark, pages_):
     return pages.outlinks(pages_)
 
 
+@query
+def outlink_totals(spark, pages_):
+    return pages.outlink_totals(pages_)
+
+
 # Streams
 
 def _through_stream(spark, table, transform):

@@ -56,9 +56,9 @@ VIEWS = {
         select min(page_id) as query_id, replace(host, '.', ' ') as query
         from (select page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) as host from <<pages>>) h
         group by host""",
-    # Links as a search engine would rank them, some of them noise.
+    # Links as a search engine would rank them, forty per query, some of them noise.
     "links": """
-        select page_id % 20 as query_id, page_id as rank, case page_id % 6
+        select cast(floor(page_id / 40) as int) as query_id, cast(page_id % 40 + 1 as int) as rank, case page_id % 6
             when 0 then concat('https://www.youtube.com/watch?v=', cast(page_id as string))
             when 1 then concat('https://netflix.com/', cast(page_id as string))
             when 2 then concat('https://blog.reddit.com/', cast(page_id as string))

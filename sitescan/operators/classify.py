@@ -13,6 +13,8 @@ CONTEXT_FIELDS = (
     "url", "title", "description", "body_text", "cms",
     "detected_language_hint", "rule_based_author_hint",
 )
+# What `classify_sites` adds.
+CLASS_COLUMNS = ("niche", "site_type", "class_language", "class_author", "confidence", "ai_error")
 # How sure a rule-based author is, by the place it was found in.
 AUTHOR_CONFIDENCE = (("jsonld", 95), ("meta", 85), ("byline", 60))
 

@@ -91,19 +91,25 @@ def retry_backoff(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS,
         wait = F.when(retry, F.pow(F.lit(2), F.col("attempt")))
     else:
         raise ValueError(f"unknown kind of retry: {kind!r}")
-    # One row per URL and attempt number, so a window holds at most max_attempts rows.
-    first = (
-        attempt_outcome(attempts)
-        .where(F.col("attempt") <= max_attempts)
-        .groupBy("url", "attempt")
-        .agg(F.min_by(F.struct("outcome", "terminal"), F.struct("ts", "outcome")).alias("a"))
-        .select("url", "attempt", "a.*")
+    judged = attempt_outcome(attempts).withColumn("wait_s", F.coalesce(wait, F.lit(0)).cast("bigint"))
+
+    def nth(k):
+        """The URL's first record of attempt `k`."""
+        here = F.col("attempt") == k
+        return F.min_by(
+            F.when(here, F.struct("attempt", "outcome", "wait_s")), F.when(here, F.struct("ts", "outcome"))
+        )
+
+    # The few allowed attempts of a URL become one array: one aggregate, no window, no sort.
+    numbers = range(1, max_attempts + 1)
+    listed = judged.groupBy("url").agg(F.array(*(nth(k) for k in numbers)).alias("a"))
+    known = F.filter("a", lambda x: x.isNotNull())
+    rows = listed.withColumn("a", known).select("url", "a", F.posexplode_outer("a").alias("i", "x"))
+    so_far = F.aggregate(
+        F.slice("a", 1, F.col("i") + 1), F.lit(0).cast("bigint"), lambda acc, x: acc + x["wait_s"]
     )
-    so_far = W.partitionBy("url").orderBy("attempt").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        first.withColumn("wait_s", F.coalesce(wait, F.lit(0)).cast("bigint"))
-        .withColumn("total_wait_s", F.sum("wait_s").over(so_far))
-        .select("url", "attempt", "outcome", "wait_s", "total_wait_s")
+    return rows.where(F.col("x").isNotNull()).select(
+        "url", "x.attempt", "x.outcome", "x.wait_s", so_far.alias("total_wait_s")
     )
 
 

@@ -18,15 +18,22 @@ GROUP_LIMIT = 1000
 def ordered_chunks(df: DataFrame, order_by, chunks: int | None = None) -> DataFrame:
     """`df` with a `chunk` column; chunks follow each other in the given order.
 
+    Adds `tie`, which ends the order so that even equal rows can be split, and
+    `place`, the row's number within its chunk.
+
     Range bounds are sampled, so the result is checkpointed: totals and rows
-    must be read from the same chunks, also after an executor is lost. The
-    `tie` column ends the order, so that even equal rows can be split.
+    must be read from the same chunks, also after an executor is lost.
     """
     count = chunks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.withColumn("tie", F.monotonically_increasing_id()).repartitionByRange(
-        count, *order_by, "tie"
+    order = [*order_by, "tie"]
+    placed = (
+        df.withColumn("tie", F.monotonically_increasing_id())
+        .repartitionByRange(count, *order)
+        .sortWithinPartitions(*order)
     )
-    return settled(placed.withColumn("chunk", F.spark_partition_id()))
+    # The lower 33 bits of the id count the rows of a partition.
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return settled(placed.withColumn("chunk", F.spark_partition_id()).withColumn("place", within))
 
 
 def with_row_index(df: DataFrame, order_by, name: str = "row_index", chunks=None) -> DataFrame:
@@ -38,12 +45,10 @@ def with_row_index(df: DataFrame, order_by, name: str = "row_index", chunks=None
     offsets = totals.select(
         "chunk", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_offset")
     )
-    local = F.row_number().over(W.partitionBy("chunk").orderBy(*order_by, "tie")) - 1
     return (
-        placed.withColumn("_local", local)
-        .join(F.broadcast(offsets), "chunk")
-        .withColumn(name, F.col("_offset") + F.col("_local"))
-        .drop("chunk", "tie", "_offset", "_local")
+        placed.join(F.broadcast(offsets), "chunk")
+        .withColumn(name, F.col("_offset") + F.col("place"))
+        .drop("chunk", "tie", "place", "_offset")
     )
 
 

@@ -135,13 +135,40 @@ def page_facts(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
 
 
 def outlinks(pages: DataFrame) -> DataFrame:
-    """Links to other origins: (page_id, link_origin, links)."""
+    """Links per page and target origin: (page_id, link_origin, links).
+
+    Counted inside the page's row by the length of runs of equal origins, so
+    nothing is shuffled.
+    """
     anchors = F.filter("nodes", lambda n: n["tag"] == "a")
-    hrefs = F.transform(anchors, lambda n: resolve_link(H.attr(n, "href"), F.col("url")))
-    links = with_nodes(pages).select("page_id", "url", F.explode_outer(hrefs).alias("link"))
-    return (
-        links.where(F.col("link").isNotNull())
-        .select("page_id", url_origin(F.col("link")).alias("link_origin"))
-        .groupBy("page_id", "link_origin")
-        .agg(F.count("*").alias("links"))
+    targets = F.filter(
+        F.transform(anchors, lambda n: resolve_link(H.attr(n, "href"), F.col("url"))),
+        lambda link: link.isNotNull(),
+    )
+
+    def runs(origins):
+        first = F.filter(
+            F.transform(origins, lambda o, i: F.when(F.get(origins, i - 1).eqNullSafe(o), None).otherwise(i)),
+            lambda i: i.isNotNull(),
+        )
+        return bind(
+            first,
+            lambda starts: F.transform(
+                starts,
+                lambda i, k: F.struct(
+                    F.get(origins, i).alias("link_origin"),
+                    (F.coalesce(F.get(starts, k + 1), F.size(origins)) - i).cast("bigint").alias("links"),
+                ),
+            ),
+        )
+
+    counted = bind(F.array_sort(F.transform(targets, url_origin)), runs)
+    rows = with_nodes(pages).select("page_id", F.explode_outer(counted).alias("o"))
+    return rows.where(F.col("o").isNotNull()).select("page_id", "o.*")
+
+
+def outlink_totals(pages: DataFrame) -> DataFrame:
+    """Links and linking pages per target origin: (link_origin, links, pages)."""
+    return outlinks(pages).groupBy("link_origin").agg(
+        F.sum("links").alias("links"), F.count("*").alias("pages")
     )

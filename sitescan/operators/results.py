@@ -49,7 +49,10 @@ _CLASS_FIELDS = ("niche", "site_type", "language", "author", "confidence", "ai_e
 
 
 def result_merge(facts: DataFrame, classified: DataFrame) -> DataFrame:
-    """Good pages joined with their classification. A page without one gets an error.
+    """One result row per page: page facts joined with their classification.
+
+    A good page without a classification gets an error; of a failed page only
+    URL, status and error are shown.
 
     facts(url, fetch_status, fetch_error, author, emails, cms);
     classified(url, niche, site_type, language, author, confidence, ai_error).
@@ -63,18 +66,35 @@ def result_merge(facts: DataFrame, classified: DataFrame) -> DataFrame:
         F.struct(*(F.lit(0).alias(s) for s in ("niche", "site_type", "language", "author"))).alias("confidence"),
         F.lit(NO_CLASSIFICATION).alias("ai_error"),
     )
-    joined = facts.join(side, "url", "left").withColumn("_c", F.coalesce("_c", none))
-    return joined.select(*merge_columns(F.col("_c"), F.get(F.col("emails"), F.lit(0))))
+    return _one_pass(facts.join(side, "url", "left").withColumn("_c", F.coalesce("_c", none)))
 
 
 def merge_in_place(classified_facts: DataFrame) -> DataFrame:
-    """The same for facts that `classify_sites` has already extended: no join."""
+    """Result rows, good and failed ones alike, from facts that `classify_sites` has
+    already extended: no join, no union, one pass.
+    """
     c = F.struct(
         "niche", "site_type", F.col("class_language").alias("language"),
         F.col("class_author").alias("author"), "confidence", "ai_error",
     )
-    rows = classified_facts.withColumn("_c", c)
-    return rows.select(*merge_columns(F.col("_c"), F.get(F.col("emails"), F.lit(0))))
+    return _one_pass(classified_facts.withColumn("_c", c))
+
+
+def _one_pass(rows: DataFrame) -> DataFrame:
+    good = F.col("fetch_status") == "OK"
+    merged = rows.withColumn("_good", good).select(
+        "_good", F.col("fetch_error").alias("_failure"),
+        *merge_columns(F.col("_c"), F.get(F.col("emails"), F.lit(0))),
+    )
+    kept = ("url", "status")
+    return merged.select(
+        *(
+            F.col(n) if n in kept
+            else F.when(F.col("_good"), F.col(n)).otherwise(F.col("_failure")).alias(n) if n == "error"
+            else F.when(F.col("_good"), F.col(n)).alias(n)
+            for n, _ in RESULT_COLUMNS
+        )
+    )
 
 
 def failed_rows(failed: DataFrame) -> DataFrame:

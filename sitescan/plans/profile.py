@@ -4,11 +4,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
-from ..operators.classify import classify_sites
-from ..operators.crawl_log import fetch_split
+from ..operators.classify import CLASS_COLUMNS, classify_sites
+from ..operators.crawl_log import attempt_resolve, render_fallback, render_outcome
 from ..operators.email_checks import email_format, email_mx
 from ..operators.pages import page_facts
-from ..operators.results import merge_in_place, result_merge, with_failed
+from ..operators.results import merge_in_place, result_merge
 from ..operators.urls import url_dedupe, url_normalize
 
 NOT_CRAWLED = "no crawl result"
@@ -47,14 +47,34 @@ def profile_sites(pages: DataFrame, urls: DataFrame | None = None,
             .withColumn("fetch_error", F.when(missing, NOT_CRAWLED).otherwise(F.col("fetch_error")))
             .withColumn("fetch_status", F.coalesce("fetch_status", F.lit("FAILED")))
         )
-    good, failed = fetch_split(facts)
-    merged = merge_in_place(good) if classified is None else result_merge(good, classified)
-    rows = with_failed(merged, failed)
+    rows = merge_in_place(facts) if classified is None else result_merge(facts, classified)
     if mx_snapshot is None:
         return rows
     return validate_rows(rows, mx_snapshot, probes)
 
 
+def profile_crawl(attempts: DataFrame, plain: DataFrame, rendered: DataFrame,
+                  mx_snapshot: DataFrame | None = None) -> DataFrame:
+    """The same from a crawl log with a plain and a rendered page per URL.
+
+    attempts as for `attempt_resolve`; plain(url, html); rendered(url, html,
+    status_code). Facts are drawn on both sides first, so the joins by URL move
+    facts and never HTML.
+    """
+    size = F.coalesce(F.length("html"), F.lit(0)).alias("html_chars")
+    facts = ["author", "emails", "cms", *CLASS_COLUMNS]
+
+    def read(pages, *more):
+        table = pages.select("url", "html", size, *more)
+        return classify_sites(page_facts(table)).select("url", "html_chars", *more, *facts)
+
+    status = attempt_resolve(attempts)
+    plain_side = status.join(read(plain), "url", "left")
+    rendered_side = render_outcome(read(rendered, "status_code"))
+    rows = merge_in_place(render_fallback(plain_side, rendered_side, carry=facts))
+    return rows if mx_snapshot is None else validate_rows(rows, mx_snapshot)
+
+
 def validate_rows(rows: DataFrame, mx_snapshot: DataFrame, probes: DataFrame | None = None) -> DataFrame:
     """Note on every row with an address whether it can be written to.
 

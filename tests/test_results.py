@@ -115,5 +115,12 @@ def test_profile(rows, accepted):
 def test_pages_are_read_once(rows):
     mx = rows("domain string, mx_count int", ("a.org", 1))
     plan = profile.profile_sites(crawl(rows), None, mx)._jdf.queryExecution().executedPlan().toString()
-    good_and_failed = 2  # two filters on one scan; the failed side reads no HTML
-    assert 1 <= plan.count("ArrowEvalPython") <= good_and_failed
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_failed_rows(rows):
+    table = rows("url string, fetch_status string, fetch_error string", ("a", "TIMEOUT", "t"), ("b", "FAILED", None))
+    assert sorted(results.failed_rows(table).collect()) == [("a", "TIMEOUT", "t"), ("b", "FAILED", None)]
+    merged = rows(results.RESULT_SCHEMA, ("u", "n", None, None, None, None, None, 1, None, None, None, "OK", None))
+    both = results.with_failed(merged, table)
+    assert both.columns == FIELDS and both.count() == 3
