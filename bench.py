@@ -29,9 +29,6 @@ def main():
         .appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
-        # The test tables are one small file each: cut them so that all cores read.
-        .config("spark.sql.files.maxPartitionBytes", "512k")
-        .config("spark.sql.files.openCostInBytes", "64k")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
         .getOrCreate()

@@ -16,10 +16,12 @@ from ..lookups import (
     WORD,
     WS,
 )
-from .text import strip
+from .text import has_rare_space, strip
 
 # The first look-behind only answers the common case quickly.
 _MATCH = rf"(?<![a-zA-Z0-9_])(?<!{WORD})({EMAIL.replace('+@', '++@', 1)})(?!{WORD})"
+# What every address contains, starting at the one character that is rare.
+_HAS_ADDRESS = r"@(?<=[a-zA-Z0-9._%+\-]@)(?=[a-zA-Z0-9.\-]+\.[a-zA-Z]{2})"
 _SPAN = 100
 # The shortest address has six characters, so this many pieces cover the span.
 _PIECES = _SPAN // 6 + 1
@@ -37,22 +39,22 @@ def deobfuscate(html, strict_at: bool = False) -> Column:
     position; they do not change what matches. `strict_at` leaves the bare
     word "at" alone unless a hidden dot follows: "look at site.org" stays.
     """
-    bracketed, spaced_at = html.rlike(_HAS_BRACKETED), html.rlike(_HAS_SPACED)
-
-    def undo(text, marks):
+    def undo(text, marks, space):
         for mark, plain, spaced in marks:
             if spaced:
-                tail = rf"(?=[a-zA-Z0-9\-]+{WS}*[\[(]dot[\])])" if strict_at else ""
-                pattern = rf"(?i){WS}(?<!{WS}{WS}){WS}*+{mark}{WS}++{tail}"
+                tail = rf"(?=[a-zA-Z0-9\-]+{space}*[\[(]dot[\])])" if strict_at else ""
+                pattern = rf"(?i){space}(?<!{space}{space}){space}*+{mark}{space}++{tail}"
             else:
-                pattern = rf"(?i)(?:\G|(?<!{WS})){WS}*+{mark}{WS}*+"
+                pattern = rf"(?i)(?:\G|(?<!{space})){space}*+{mark}{space}*+"
             text = F.regexp_replace(text, pattern, plain)
         return text
 
     spaced = [o for o in OBFUSCATIONS if o[2]]
+    bracketed, spaced_at = html.rlike(_HAS_BRACKETED), html.rlike(_HAS_SPACED)
     return (
-        F.when(bracketed, undo(html, OBFUSCATIONS))
-        .when(spaced_at, undo(html, spaced))
+        F.when(bracketed, undo(html, OBFUSCATIONS, WS))
+        .when(spaced_at & has_rare_space(html), undo(html, spaced, WS))
+        .when(spaced_at, undo(html, spaced, r"\s"))
         .otherwise(html)
     )
 
@@ -60,7 +62,8 @@ def deobfuscate(html, strict_at: bool = False) -> Column:
 def find_addresses(clear) -> Column:
     """All addresses in reading order, as written."""
     none = F.array().cast("array<string>")
-    return F.when(clear.contains("@"), F.regexp_extract_all(clear, F.lit(_MATCH), 1)).otherwise(none)
+    likely = clear.contains("@") & clear.rlike(_HAS_ADDRESS)
+    return F.when(likely, F.regexp_extract_all(clear, F.lit(_MATCH), 1)).otherwise(none)
 
 
 def text_between(clear, hits) -> Column:

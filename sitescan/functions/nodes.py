@@ -53,6 +53,10 @@ class _NodeReader(HTMLParser):
         self.quiet = []
         self.words = []
 
+    def updatepos(self, i, j):
+        # Line numbers are of no use here.
+        return j
+
     def _add(self, tag, kind, cut, attrs, text):
         self.parent.append(self.open_ids[-1] if self.open_ids else -1)
         self.last.append(len(self.tag))

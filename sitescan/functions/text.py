@@ -11,9 +11,24 @@ def strip(text):
     return F.btrim(text, F.lit(WS_CHARS))
 
 
-def squeeze(text):
+def has_rare_space(text) -> Column:
+    """Might there be white space other than blanks, tabs and line ends?
+
+    Asked by a few wide ranges, which is quick; it may say yes too often, but
+    never no where there is some.
+    """
+    return text.rlike(r"[\x1c-\x1f\x{85}-\x{a0}\x{1680}-\x{3000}]")
+
+
+def squeeze(text) -> Column:
     """Turn each run of white space into one blank and trim."""
-    return strip(F.regexp_replace(text, f"{WS}+", " "))
+
+    def cleaned(t):
+        return F.when(has_rare_space(t), F.regexp_replace(t, f"{WS}+", " ")).otherwise(
+            F.regexp_replace(t, r"\s+", " ")
+        )
+
+    return strip(bind(text, cleaned))
 
 
 def blank_to_null(text):
