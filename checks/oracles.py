@@ -449,6 +449,8 @@ def oracle_sql():
         "site_results": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {RESULT_FIELDS} from checked"),
         "result_format": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {_SHOWN} from checked"),
         "csv_sink": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {_SHOWN} from checked"),
+        "result_rewrite": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {RESULT_FIELDS} from checked"),
+        "json_archive": with_ctes(["pages_decorated"], MERGED[:-1], "select url, niche, site_type, language, author, email, confidence_niche, confidence_type, confidence_author, cms, status, error from results"),
         "run_summary": with_ctes(["pages_decorated"], MERGED[:-1], """select count(*) as total, count_if(status in ('OK', 'AI_ERROR')) as successful,
             count_if(status not in ('OK', 'AI_ERROR')) as failed from results""").replace("count_if(status in", "count(*) filter (status in").replace("count_if(status not in", "count(*) filter (status not in"),
         "status_counts": with_ctes(["pages_decorated"], MERGED[:-1], "select status, count(*) as sites from results group by 1"),

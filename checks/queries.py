@@ -447,6 +447,13 @@ def classify_sites(spark, pages_decorated):
     )
 
 
+@query
+def learned_classifier(spark, documents, labels):
+    train = documents.join(labels, "doc_id").select("doc_id", "text", F.col("quality").cast("double").alias("label"))
+    model = classify.train_classifier(train, features=1 << 12)
+    return model.transform(documents).select("doc_id", F.col("prediction").cast("int").alias("quality"))
+
+
 # Results
 
 def _crawled(pages_decorated):
@@ -500,6 +507,24 @@ def csv_sink(spark, pages_decorated, replies, mx_snapshot):
     return spark.read.csv(place, header=True, escape='"').na.fill("")
 
 
+@query
+def result_rewrite(spark, pages_decorated, replies, mx_snapshot):
+    place = scratch(spark)
+    rows = _results(pages_decorated, replies)
+    tables.write_run(rows, place, "run")
+    stored = spark.read.schema(rows.schema).parquet(f"{place}/run_id=run")
+    tables.write_run(profile.validate_rows(stored, mx_snapshot), place, "validated")
+    return spark.read.parquet(place).where(F.col("run_id") == "validated").drop("run_id")
+
+
+@query
+def json_archive(spark, pages_decorated, replies):
+    place = scratch(spark)
+    rows = _results(pages_decorated, replies)
+    tables.json_archive(rows, place)
+    return spark.read.schema(rows.schema).json(place).drop("email_valid")
+
+
 @query
 def run_summary(spark, pages_decorated, replies):
     return results.run_summary(_results(pages_decorated, replies))

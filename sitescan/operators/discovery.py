@@ -129,29 +129,22 @@ def index_first_hit(scan: DataFrame, n: int) -> DataFrame:
     """Per query: each pattern's newest index with hits, patterns taken until 2n
     URLs are held, then the first `n` URLs.
     """
-    newest = (
-        scan.groupBy("query_id", "pattern_rank")
-        .agg(F.min("index_rank").alias("index_rank"))
-    )
-    per_pattern = (
-        scan.join(newest, ["query_id", "pattern_rank", "index_rank"], "left_semi")
-        .groupBy("query_id", "pattern_rank", "index_rank")
-        .agg(F.count("*").alias("hits"))
-    )
-    # At most six rows per query from here on, and at most six times n URLs.
-    held = F.sum("hits").over(
-        W.partitionBy("query_id").orderBy("pattern_rank").rowsBetween(W.unboundedPreceding, -1)
-    )
-    used = (
-        per_pattern.withColumn("_held", F.coalesce(held, F.lit(0)))
-        .where(F.col("_held") < 2 * n)
-        .select("query_id", "pattern_rank", "index_rank", "_held")
-    )
+    # A query holds at most six patterns times n URLs per index: a bounded group.
+    # Spread by query once; both windows use that.
+    newest = F.min("index_rank").over(W.partitionBy("query_id", "pattern_rank"))
+    before = (
+        W.partitionBy("query_id").orderBy("pattern_rank").rangeBetween(W.unboundedPreceding, -1)
+    )
+    held = (
+        scan.repartition("query_id")
+        .withColumn("_newest", newest)
+        .where(F.col("index_rank") == F.col("_newest"))
+        .withColumn("_held", F.count("*").over(before))
+    )
+    rank = F.col("_held") + F.col("url_rank")
     return (
-        scan.join(used, ["query_id", "pattern_rank", "index_rank"])
-        .withColumn("rank", F.col("_held") + F.col("url_rank"))
-        .where(F.col("rank") <= n)
-        .select("query_id", "rank", "url")
+        held.where((F.col("_held") < 2 * n) & (rank <= n))
+        .select("query_id", rank.alias("rank"), "url")
     )
 
 

@@ -35,9 +35,14 @@ def url_load_audit(raw: DataFrame, column: str = "raw") -> DataFrame:
 
 
 def url_merge(urls: DataFrame, discovered: DataFrame) -> DataFrame:
-    """Append the discovered URLs that are not in the list yet. Both sides: url, pos."""
-    known = urls.select("url")
-    fresh = url_dedupe(discovered).join(known, "url", "left_anti")
+    """Append the discovered URLs that are not in the list yet. Both sides: url, pos.
+
+    One aggregate over both lists: a URL keeps its place in the first list if
+    it has one. Repeats are merged before the shuffle, so no URL can be hot.
+    """
+    listed = urls.select("url", F.struct(F.lit(0).alias("side"), "pos").alias("at"))
+    found = discovered.select("url", F.struct(F.lit(1).alias("side"), "pos").alias("at"))
+    merged = listed.unionByName(found).groupBy("url").agg(F.min("at").alias("at"))
     shift = urls.agg(F.coalesce(F.max("pos"), F.lit(-1)) + 1).scalar()
-    moved = fresh.select("url", (F.col("pos") + shift).alias("pos"))
-    return urls.select("url", "pos").unionByName(moved)
+    pos = F.when(F.col("at.side") == 0, F.col("at.pos")).otherwise(F.col("at.pos") + shift)
+    return merged.select("url", pos.alias("pos"))

@@ -16,14 +16,17 @@ def con():
     return compare.duck(SF_DIR)
 
 
-def test_every_query_has_sql():
-    assert set(QUERIES) == set(SQL)
+def test_every_query_but_the_learned_one_has_sql():
+    assert set(QUERIES) - set(SQL) == {"learned_classifier"} and set(SQL) <= set(QUERIES)
 
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, con, name):
     got = QUERIES[name](spark, SF_DIR).toPandas()
-    assert compare.differences(got, con.sql(SQL[name]).df()) == []
+    if name in SQL:
+        assert compare.differences(got, con.sql(SQL[name]).df()) == []
+    else:
+        assert len(got)
 
 
 def test_entry(spark):
