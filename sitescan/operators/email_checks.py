@@ -7,6 +7,17 @@ from ..functions.emails import email_domain, is_format_valid
 from ..functions.text import strip
 
 
+def one_per_key(table: DataFrame, key: str, **aggregates) -> DataFrame:
+    """Merge a lookup table to one row per key, ready to be joined to a side with hot keys.
+
+    Grouping by one column more than needed keeps the join from reusing this
+    shuffle. The join then shuffles both sides itself, and only such a join is
+    split by adaptive execution where the other side is skewed.
+    """
+    grouped = table.groupBy(F.xxhash64(key).alias("_hash"), key)
+    return grouped.agg(*(a.alias(n) for n, a in aggregates.items())).drop("_hash")
+
+
 def email_format(emails: DataFrame, column: str = "email") -> DataFrame:
     """Adds format_valid for the trimmed, lower-cased address."""
     return emails.withColumn("email", F.lower(strip(F.col(column)))).withColumn(
@@ -21,7 +32,7 @@ def email_mx(emails: DataFrame, mx_snapshot: DataFrame) -> DataFrame:
     there is. Where one domain holds much of the left side, adaptive skew
     handling splits it; the right side has one row per domain.
     """
-    per_domain = mx_snapshot.groupBy("domain").agg(F.max("mx_count").alias("mx_count"))
+    per_domain = one_per_key(mx_snapshot, "domain", mx_count=F.max("mx_count"))
     # Rows without a domain get a key of their own, so they do not pile up in one task.
     own = F.concat(F.lit("!"), F.xxhash64(*emails.columns).cast("string"))
     domain = F.when(F.col("format_valid"), email_domain(F.col("email"))).otherwise(own)
@@ -33,6 +44,12 @@ def email_mx(emails: DataFrame, mx_snapshot: DataFrame) -> DataFrame:
     )
 
 
+def probe_answers(probes: DataFrame) -> DataFrame:
+    """Probe results (email, code) as (email, accepted), one row per address."""
+    tidy = probes.withColumn("email", F.lower(strip(F.col("email"))))
+    return one_per_key(tidy, "email", accepted=F.max(F.col("code") == 250))
+
+
 def email_verdict(emails: DataFrame, mx_snapshot: DataFrame, probes: DataFrame | None = None):
     """(email, format_valid, mx_valid, is_valid).
 
@@ -44,11 +61,8 @@ def email_verdict(emails: DataFrame, mx_snapshot: DataFrame, probes: DataFrame |
     if probes is None:
         verdict = checked.withColumn("is_valid", both)
     else:
-        answers = probes.groupBy(F.lower(strip(F.col("email"))).alias("email")).agg(
-            F.max(F.col("code") == 250).alias("_accepted")
-        )
-        verdict = checked.join(answers, "email", "left").withColumn(
-            "is_valid", F.when(both, F.coalesce(F.col("_accepted"), F.lit(False))).otherwise(F.lit(False))
+        verdict = checked.join(probe_answers(probes), "email", "left").withColumn(
+            "is_valid", both & F.coalesce(F.col("accepted"), F.lit(False))
         )
     return verdict.select("email", "format_valid", "mx_valid", "is_valid")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.classify import CLASS_COLUMNS, classify_sites
 from ..operators.crawl_log import attempt_resolve, render_fallback, render_outcome
-from ..operators.email_checks import email_format, email_mx
+from ..operators.email_checks import email_format, email_mx, probe_answers
 from ..operators.pages import page_facts
 from ..operators.results import merge_in_place, result_merge
 from ..operators.urls import url_dedupe, url_normalize
@@ -27,6 +27,18 @@ def crawl_facts(pages: DataFrame) -> DataFrame:
     return page_facts(pages.withColumn("html", F.when(F.col("fetch_status") == "OK", F.col("html"))))
 
 
+def one_per_url(facts: DataFrame) -> DataFrame:
+    """One row per URL, a good one if there is one.
+
+    Copies of a URL are merged before the shuffle, and the join by URL that
+    follows uses that shuffle.
+    """
+    rest = [c for c in facts.columns if c != "url"]
+    order = F.struct(F.col("fetch_status") != "OK", F.xxhash64(*rest))
+    best = facts.groupBy("url").agg(F.min_by(F.struct(*rest), order).alias("_best"))
+    return best.select("url", "_best.*")
+
+
 def profile_sites(pages: DataFrame, urls: DataFrame | None = None,
                   mx_snapshot: DataFrame | None = None, classified: DataFrame | None = None,
                   probes: DataFrame | None = None) -> DataFrame:
@@ -43,7 +55,7 @@ def profile_sites(pages: DataFrame, urls: DataFrame | None = None,
         wanted = url_dedupe(url_normalize(urls)).select("url")
         missing = F.col("fetch_status").isNull()
         facts = (
-            wanted.join(facts, "url", "left")
+            wanted.join(one_per_url(facts), "url", "left")
             .withColumn("fetch_error", F.when(missing, NOT_CRAWLED).otherwise(F.col("fetch_error")))
             .withColumn("fetch_status", F.coalesce("fetch_status", F.lit("FAILED")))
         )
@@ -64,13 +76,14 @@ def profile_crawl(attempts: DataFrame, plain: DataFrame, rendered: DataFrame,
     size = F.coalesce(F.length("html"), F.lit(0)).alias("html_chars")
     facts = ["author", "emails", "cms", *CLASS_COLUMNS]
 
-    def read(pages, *more):
-        table = pages.select("url", "html", size, *more)
-        return classify_sites(page_facts(table)).select("url", "html_chars", *more, *facts)
+    def read(pages):
+        known = classify_sites(page_facts(pages)).select("url", *pages.columns[2:], *facts)
+        return one_per_url(known)
 
     status = attempt_resolve(attempts)
-    plain_side = status.join(read(plain), "url", "left")
-    rendered_side = render_outcome(read(rendered, "status_code"))
+    plain_pages = plain.select("url", "html", size, F.lit("OK").alias("fetch_status"))
+    plain_side = status.join(read(plain_pages).drop("fetch_status"), "url", "left")
+    rendered_side = read(render_outcome(rendered).select("url", "html", size, "status_code", "fetch_status", "fetch_error"))
     rows = merge_in_place(render_fallback(plain_side, rendered_side, carry=facts))
     return rows if mx_snapshot is None else validate_rows(rows, mx_snapshot)
 
@@ -84,11 +97,9 @@ def validate_rows(rows: DataFrame, mx_snapshot: DataFrame, probes: DataFrame | N
     checked = email_mx(email_format(rows), mx_snapshot)
     verdict = F.col("format_valid") & F.col("mx_valid")
     if probes is not None:
-        accepted = probes.groupBy(F.lower(strip(F.col("email"))).alias("_email")).agg(
-            F.max(F.col("code") == 250).alias("_accepted")
-        )
+        answers = probe_answers(probes).withColumnRenamed("email", "_email")
         key = F.coalesce(F.col("email"), F.col("url"))
-        checked = checked.join(accepted, key == F.col("_email"), "left")
-        verdict = verdict & F.coalesce(F.col("_accepted"), F.lit(False))
+        checked = checked.join(answers, key == F.col("_email"), "left")
+        verdict = verdict & F.coalesce(F.col("accepted"), F.lit(False))
     valid = F.when(F.col("email").isNotNull(), verdict)
     return checked.withColumn("email_valid", valid).select(*rows.columns)

@@ -112,6 +112,33 @@ def test_profile(rows, accepted):
     assert (got["https://d.org"].status, got["https://d.org"].error) == ("FAILED", profile.NOT_CRAWLED)
 
 
+def test_copies_of_a_page_give_one_row(rows):
+    pages = rows(
+        "url string, html string, fetch_status string, fetch_error string",
+        *[("https://a.org", None, "FAILED", "HTTP 500")] * 50,
+        *[("https://a.org", "<title>our shop</title>", "OK", None)] * 50,
+    )
+    out = profile.profile_sites(pages, rows("pos bigint, raw string", (0, "a.org"))).collect()
+    assert [(r.url, r.status, r.site_type) for r in out] == [("https://a.org", "OK", "E-commerce")]
+
+
+def test_profile_crawl(rows):
+    from datetime import datetime
+
+    log = rows(
+        "url string, attempt int, status_code int, error_class string, ts timestamp",
+        *[(u, 1, c, e, datetime(2024, 1, 1)) for u, c, e in (
+            ("a", 200, None), ("b", 403, None), ("c", 403, None), ("d", None, "timeout"), ("e", 200, None))],
+    )
+    plain = rows("url string, html string", ("a", "<title>blog</title>"), ("e", "<title>blog</title>"))
+    rendered = rows("url string, html string, status_code int", ("a", "<title>our shop</title>", 200), ("b", "<title>news</title>", 404), ("e", "", 200))
+    out = {r.url: (r.status, r.site_type, r.error) for r in profile.profile_crawl(log, plain, rendered).collect()}
+    assert out == {
+        "a": ("OK", "E-commerce", None), "b": ("OK", "News", None), "c": ("FAILED", None, "Renderer not available"),
+        "d": ("TIMEOUT", None, "Request timed out"), "e": ("OK", "Blog", None),
+    }
+
+
 def test_pages_are_read_once(rows):
     mx = rows("domain string, mx_count int", ("a.org", 1))
     plan = profile.profile_sites(crawl(rows), None, mx)._jdf.queryExecution().executedPlan().toString()
