@@ -12,6 +12,7 @@ from ..operators.results import merge_in_place, result_merge
 from ..operators.urls import url_dedupe, url_normalize
 
 NOT_CRAWLED = "no crawl result"
+PAGE_COLUMNS = ("author", "emails", "cms")
 
 
 def crawl_facts(pages: DataFrame) -> DataFrame:
@@ -51,6 +52,9 @@ def profile_sites(pages: DataFrame, urls: DataFrame | None = None,
     facts = crawl_facts(pages)
     if classified is None:
         facts = classify_sites(facts)
+    # Texts have served their purpose; only what the result shows goes on.
+    shown = ["url", "fetch_status", "fetch_error", *PAGE_COLUMNS]
+    facts = facts.select(*shown, *(CLASS_COLUMNS if classified is None else ()))
     if urls is not None:
         wanted = url_dedupe(url_normalize(urls)).select("url")
         missing = F.col("fetch_status").isNull()
@@ -74,7 +78,7 @@ def profile_crawl(attempts: DataFrame, plain: DataFrame, rendered: DataFrame,
     facts and never HTML.
     """
     size = F.coalesce(F.length("html"), F.lit(0)).alias("html_chars")
-    facts = ["author", "emails", "cms", *CLASS_COLUMNS]
+    facts = [*PAGE_COLUMNS, *CLASS_COLUMNS]
 
     def read(pages):
         known = classify_sites(page_facts(pages)).select("url", *pages.columns[2:], *facts)
