@@ -137,12 +137,14 @@ CHOSEN = [RENDERED_JUDGED, PLAIN_JUDGED, """chosen as (select p.url,
 
 # ---------------------------------------------------------------- pages
 
-ENTITIES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&"))
+ENTITIES = (("copy", "©"), ("middot", "·"), ("quot", '"'), ("amp", "&"))
 
 
 def decode(x):
+    # Without a semicolon first: what a decoded one leaves behind is not decoded again.
     for name, char in ENTITIES:
-        x = f"replace({x}, {q(name)}, {q(char)})"
+        x = f"regexp_replace({x}, '&{name}([^-.a-zA-Z0-9;]|$)', {q(char + chr(92) + '1')}, 'g')"
+        x = f"replace({x}, {q('&' + name + ';')}, {q(char)})"
     return x
 
 

@@ -132,7 +132,8 @@ def drop_boilerplate(html) -> Column:
 
 def quick_meta(html, name, value) -> Column:
     tag = F.regexp_extract(html, rf'(?i)<meta\s[^>]*{name}="{value}"[^>]*>', 0)
-    return blank_to_null(strip(F.regexp_extract(tag, r'(?i)content="([^"]*)"', 1)))
+    content = F.regexp_extract(tag, r'(?i)content="([^"]*)"', 1)
+    return blank_to_null(strip(decode_entities(content)))
 
 
 def quick_title(html) -> Column:
@@ -164,10 +165,16 @@ def quick_body(html, limit: int = 3000) -> Column:
 
 # The entities the short cuts decode; the node form knows all of them.
 QUICK_ENTITIES = (
-    ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&apos;", "'"),
-    ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"),
+    ("nbsp", "\xa0"), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("apos", "'"),
+    ("lt", "<"), ("gt", ">"), ("amp", "&"),
 )
 
 
 def decode_entities(text) -> Column:
-    return reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), QUICK_ENTITIES, text)
+    """Decode the common entities, also where the semicolon was forgotten."""
+
+    def decode(t, entity):
+        name, char = entity
+        return F.regexp_replace(t, rf"&{name}(?:;|(?![\-.a-zA-Z0-9;]))", char)
+
+    return F.when(text.contains("&"), reduce(decode, QUICK_ENTITIES, text)).otherwise(text)

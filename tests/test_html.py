@@ -73,6 +73,11 @@ def test_unclosed_nav_swallows_the_rest(on_nodes):
     assert on_nodes(H.page_body, "<body>a<nav>b<article>c</article></body>") == ["a"]
 
 
+def test_quick_entities(evaluate):
+    cases = {"a&amp;b &amp c&ampd &amp": "a&b & c&ampd &", "&amp;lt;": "&lt;", "&copy;&copy": "©©", "x": "x", None: None}
+    assert evaluate(H.decode_entities, *cases) == list(cases.values())
+
+
 def test_cut_comes_after_entities(on_nodes):
     text = on_nodes(H.page_body, "<body>" + "&amp;" * 4000 + "</body>")[0]
     assert text == "&" * 3000
@@ -109,7 +114,7 @@ def test_broken_page_is_a_row(rows, monkeypatch):
     assert out[1].parse_error is None and out[1].title == "ok"
 
 
-@pytest.mark.parametrize("sf", ["sf0.01"])
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_short_cuts_agree_with_nodes(spark, sf):
     table = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
     quick = table.select("page_id", H.quick_title(F.col("html")).alias("t"), H.quick_body(F.col("html")).alias("b"))
