@@ -103,7 +103,7 @@ class Codebook:
     of ids of each); tails are given without the space before them.
     """
 
-    def __init__(self, heads, tails, limit: int = 1_000_000):
+    def __init__(self, heads, tails, limit: int = 400_000):
         self.heads, self.tails, self.limit = heads, tails, limit
         self.clear()
 

@@ -39,7 +39,7 @@ def tokenizer(path: str) -> Codebook:
         found = [np.asarray(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
-    def ids_of_tails(texts, together=64):
+    def ids_of_tails(texts, together=256):
         # A tail follows a space and holds none, so many are encoded as one text and told apart
         # by the tokens that begin with a space. Should one be missing, each goes by itself.
         groups = [" " + " ".join(texts[i : i + together]) for i in range(0, len(texts), together)]
@@ -60,12 +60,15 @@ def tokenizer(path: str) -> Codebook:
     return book
 
 
-def encode_documents(docs: DataFrame, path: str, end_id: int = 0, id_col="doc_id", text_col="text") -> DataFrame:
-    """(doc, ids binary): the ids of each whole text as little-endian 32-bit integers, then `end_id`.
+def encode_documents(
+    docs: DataFrame, path: str, end_id: int = 0, id_col="doc_id", text_col="text", kind: str = "<u4"
+) -> DataFrame:
+    """(doc, ids binary): the ids of each whole text as little-endian integers of type `kind`, then `end_id`.
 
     A null text is empty: its only id is `end_id`. One row out per row in;
     repeated rows and null ids stay.
     """
+    width = np.dtype(kind).itemsize
 
     def run(batches):
         book = tokenizer(path)
@@ -73,10 +76,10 @@ def encode_documents(docs: DataFrame, path: str, end_id: int = 0, id_col="doc_id
             for part in slices(batch, "_text"):
                 ids, ends = book.encode_texts(part.column("_text"))
                 n = part.num_rows
-                out = np.full(len(ids) + n, end_id, np.uint32)
+                out = np.full(len(ids) + n, end_id, kind)
                 shift = np.repeat(np.arange(n), np.diff(ends))
                 out[np.arange(len(ids)) + shift] = ids
-                offsets = (ends + np.arange(n + 1)) * 4
+                offsets = (ends + np.arange(n + 1)) * width
                 yield pa.record_batch([part.column("_doc"), binaries(out, offsets)], ["doc", "ids"])
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("_doc"), F.col(text_col).alias("_text"))
@@ -100,17 +103,6 @@ def flat(values: pa.Array, kind):
     return np.frombuffer(data, kind), (offsets - offsets[0]) // size
 
 
-def narrow(ids: DataFrame) -> DataFrame:
-    """The same ids in 16 bits each, for vocabularies that allow it."""
-
-    def run(batches):
-        for batch in batches:
-            values, offsets = flat(batch.column(1), "<u4")
-            yield pa.record_batch([batch.column(0), binaries(values.astype("<u2"), offsets * 2)], ["doc", "ids"])
-
-    return ids.mapInArrow(run, ids.schema)
-
-
 def frequencies(ids: DataFrame, kind: str) -> DataFrame:
     """(id, n): how often each token id occurs; counted per task before the shuffle."""
 
@@ -160,8 +152,7 @@ def write_token_files(docs: DataFrame, path: str, place: str, end_id: int = 0, i
     vocabulary = max(tokenizer(path).vocabulary, end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     store = scratch(spark, "token-ids")
-    ids = encode_documents(docs, path, end_id, id_col, text_col)
-    ids = written(narrow(ids) if kind == "<u2" else ids, store)
+    ids = written(encode_documents(docs, path, end_id, id_col, text_col, kind), store)
     # Collected: at most one row per entry of the vocabulary.
     counted = frequencies(ids, kind).orderBy(F.desc("n"), "id").collect()
     by_rank = np.array([r["id"] for r in counted], np.uint32)
