@@ -27,7 +27,7 @@ from .token_files import binaries, flat
 
 BLOCK_BYTES = 16 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_BLOCKS = "kind int, block bigint, docs array<bigint>, sizes binary, spots binary, bucket int, at binary, words array<string>"
+_BLOCKS = "kind int, block bigint, docs array<bigint>, sizes binary, spots binary, bucket int, at binary, words binary"
 
 
 @functools.cache
@@ -43,13 +43,47 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
+def packed(data: bytes) -> bytes:
+    """Compressed, with the length before it; shuffles compress less well."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    size = int.from_bytes(data[:8], "little")
+    return pa.Codec("zstd").decompress(data[8:], size, asbytes=True) if size else b""
+
+
 def planes(numbers: np.ndarray) -> bytes:
     """32-bit numbers, all lowest bytes first: the higher bytes are mostly zero and compress well."""
-    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+    return packed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def from_planes(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def steps(numbers: np.ndarray) -> bytes:
+    """Ascending numbers as their differences."""
+    return planes(np.diff(numbers.astype(np.int64), prepend=0))
+
+
+def from_steps(data: bytes) -> np.ndarray:
+    return np.cumsum(from_planes(data), dtype=np.int64)
+
+
+def word_list(words) -> bytes:
+    """Words one after the other, with their lengths in bytes before them."""
+    data = [w.encode("utf-8", "surrogatepass") for w in words]
+    lengths = np.fromiter(map(len, data), "<u4", len(data))
+    return packed(len(data).to_bytes(8, "little") + lengths.tobytes() + b"".join(data))
+
+
+def from_word_list(data: bytes) -> list[str]:
+    data = unpacked(data)
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 8), dtype=np.int64)
+    starts = [8 + 4 * n, *ends[:-1].tolist()]
+    return [data[a:b].decode("utf-8", "surrogatepass") for a, b in zip(starts, ends.tolist())]
 
 
 class Block:
@@ -88,14 +122,14 @@ class Block:
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
         for at in np.split(by_bucket, cuts) if len(by_bucket) else []:
-            yield {"kind": 1, "block": number, "bucket": int(bucket[at[0]]), "at": planes(at), "words": words[at].tolist()}
+            yield {"kind": 1, "block": number, "bucket": int(bucket[at[0]]), "at": steps(at), "words": word_list(words[at])}
 
 
 def to_blocks(docs: DataFrame, buckets: int, pattern: str) -> DataFrame:
     """docs(_doc, _text) as blocks and their word lists."""
     schema = pa.schema(
         [("kind", pa.int32()), ("block", pa.int64()), ("docs", pa.list_(pa.int64())), ("sizes", pa.binary()), ("spots", pa.binary())]
-        + [("bucket", pa.int32()), ("at", pa.binary()), ("words", pa.list_(pa.string()))]
+        + [("bucket", pa.int32()), ("at", pa.binary()), ("words", pa.binary())]
     )
 
     def run(batches):
@@ -128,13 +162,13 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 ids = []
-                for w in row["words"]:
+                for w in from_word_list(row["words"]):
                     got = known.get(w)
                     if got is None:
                         got = known[w] = np.array(encode(w), width).tobytes()
                     ids.append(got)
                 size = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(width).itemsize
-                out = {"block": [row["block"]], "at": [row["at"]], "sizes": [planes(size)], "ids": [b"".join(ids)]}
+                out = {"block": [row["block"]], "at": [row["at"]], "sizes": [planes(size)], "ids": [packed(b"".join(ids))]}
                 yield pa.RecordBatch.from_pydict(out, schema)
 
     schema = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
@@ -158,9 +192,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN, id_col=
     def assemble(key, left, right):
         row = left.to_pylist()[0]
         spots = from_planes(row["spots"])
-        at = np.concatenate([np.zeros(0, np.uint32), *(from_planes(x) for x in right.column("at").to_pylist())])
+        at = np.concatenate([np.zeros(0, np.int64), *(from_steps(x) for x in right.column("at").to_pylist())])
         sizes = np.concatenate([np.zeros(0, np.uint32), *(from_planes(x) for x in right.column("sizes").to_pylist())]).astype(np.int64)
-        ids = np.frombuffer(b"".join(right.column("ids").to_pylist()), width)
+        ids = np.frombuffer(b"".join(map(unpacked, right.column("ids").to_pylist())), width)
         starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
         starts[at], lengths[at] = np.cumsum(sizes) - sizes, sizes
         per_doc = np.frombuffer(row["sizes"], "<i8")
