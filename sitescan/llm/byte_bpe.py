@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .shared import pieces, scratch, slices, spread_out, sums, written
 from .token_files import binaries, flat
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 24 << 20
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BLOCKS = "kind int, block bigint, docs array<bigint>, sizes binary, spots binary, bucket int, at binary, words binary"
 
@@ -43,9 +43,9 @@ def encoder(path: str, pattern: str):
     return tiktoken.Encoding(path, pat_str=pattern, mergeable_ranks=ranks_of(path), special_tokens={})
 
 
-def packed(data: bytes) -> bytes:
+def packed(data: bytes, level: int = 3) -> bytes:
     """Compressed, with the length before it; shuffles compress less well."""
-    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 3).compress(data, asbytes=True)
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", level).compress(data, asbytes=True)
 
 
 def unpacked(data: bytes) -> bytes:
@@ -75,7 +75,7 @@ def word_list(words) -> bytes:
     """Words one after the other, with their lengths in bytes before them."""
     data = [w.encode("utf-8", "surrogatepass") for w in words]
     lengths = np.fromiter(map(len, data), "<u4", len(data))
-    return packed(len(data).to_bytes(8, "little") + lengths.tobytes() + b"".join(data))
+    return packed(len(data).to_bytes(8, "little") + lengths.tobytes() + b"".join(data), 9)
 
 
 def from_word_list(data: bytes) -> list[str]:
@@ -87,7 +87,7 @@ def from_word_list(data: bytes) -> list[str]:
 
 
 class Block:
-    """Documents with their pre-tokens as numbers; 0 for the most frequent one."""
+    """Documents with their pre-tokens as numbers: the most frequent first, equally frequent ones by their text."""
 
     def __init__(self, pattern):
         self.find = regex.compile(pattern).findall
@@ -112,12 +112,14 @@ class Block:
     def rows(self, number: int, buckets: int):
         """The block's own row, then its words, a row per bucket."""
         spots = np.concatenate(self.spots)
-        order = np.argsort(-np.bincount(spots, minlength=len(self.index)), kind="stable")
+        names = list(self.index)
+        by_text = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
+        order = by_text[np.argsort(-np.bincount(spots, minlength=len(names))[by_text], kind="stable")]
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
         sizes = np.concatenate(self.sizes)
         yield {"kind": 0, "block": number, "docs": self.docs, "sizes": sizes.astype("<i8").tobytes(), "spots": planes(place[spots])}
-        words = np.array(list(self.index), object)[order]
+        words = np.array(names, object)[order]
         bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % buckets
         by_bucket = np.argsort(bucket, kind="stable")
         cuts = np.flatnonzero(np.diff(bucket[by_bucket])) + 1
@@ -168,7 +170,7 @@ def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
                         got = known[w] = np.array(encode(w), width).tobytes()
                     ids.append(got)
                 size = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(width).itemsize
-                out = {"block": [row["block"]], "at": [row["at"]], "sizes": [planes(size)], "ids": [packed(b"".join(ids))]}
+                out = {"block": [row["block"]], "at": [row["at"]], "sizes": [planes(size)], "ids": [packed(b"".join(ids), 9)]}
                 yield pa.RecordBatch.from_pydict(out, schema)
 
     schema = pa.schema([("block", pa.int64()), ("at", pa.binary()), ("sizes", pa.binary()), ("ids", pa.binary())])
@@ -195,12 +197,14 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN, id_col=
         at = np.concatenate([np.zeros(0, np.int64), *(from_steps(x) for x in right.column("at").to_pylist())])
         sizes = np.concatenate([np.zeros(0, np.uint32), *(from_planes(x) for x in right.column("sizes").to_pylist())]).astype(np.int64)
         ids = np.frombuffer(b"".join(map(unpacked, right.column("ids").to_pylist())), width)
-        starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        starts, lengths = np.zeros(len(at), np.int64), np.zeros(len(at), np.int32)
         starts[at], lengths[at] = np.cumsum(sizes) - sizes, sizes
-        per_doc = np.frombuffer(row["sizes"], "<i8")
-        n = lengths[spots]
-        whole = ids[spread_out(starts[spots], n)].astype("<u4")
-        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(per_doc)])]
+        ends = np.concatenate([[0], np.cumsum(lengths[spots], dtype=np.int64)])
+        whole = np.empty(ends[-1], "<u4")
+        for i in range(0, len(spots), 1 << 18):  # a little at a time, for the sake of memory
+            some = spots[i : i + (1 << 18)]
+            whole[ends[i] : ends[i + len(some)]] = ids[spread_out(starts[some], lengths[some])]
+        ends = ends[np.concatenate([[0], np.cumsum(np.frombuffer(row["sizes"], "<i8"))])]
         columns = [pa.array(row["docs"], pa.int64()), pa.array(np.diff(ends)), binaries(whole, ends * 4)]
         return pa.Table.from_arrays(columns, ["doc", "n_tokens", "ids"])
 
