@@ -34,6 +34,7 @@ def tokenizer(path: str) -> Codebook:
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(path)
+    library.model._resize_cache(0)  # the codebook remembers what the library would
 
     def ids_of(texts):
         found = [np.asarray(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -63,15 +64,17 @@ def tokenizer(path: str) -> Codebook:
 def encode_documents(
     docs: DataFrame, path: str, end_id: int = 0, id_col="doc_id", text_col="text", kind: str = "<u4"
 ) -> DataFrame:
-    """(doc, ids binary): the ids of each whole text as little-endian integers of type `kind`, then `end_id`.
+    """(counts, doc, ids binary): the ids of each whole text as little-endian integers of type `kind`, then `end_id`.
 
     A null text is empty: its only id is `end_id`. One row out per row in;
-    repeated rows and null ids stay.
+    repeated rows and null ids stay. Besides, each task returns one row marked
+    `counts`: how often it met each id, as 64-bit integers.
     """
     width = np.dtype(kind).itemsize
 
     def run(batches):
         book = tokenizer(path)
+        counts = np.zeros(max(book.vocabulary, end_id + 1), np.int64)
         for batch in batches:
             for part in slices(batch, "_text"):
                 ids, ends = book.encode_texts(part.column("_text"))
@@ -79,11 +82,14 @@ def encode_documents(
                 out = np.full(len(ids) + n, end_id, kind)
                 shift = np.repeat(np.arange(n), np.diff(ends))
                 out[np.arange(len(ids)) + shift] = ids
+                counts += np.bincount(out, minlength=len(counts))
                 offsets = (ends + np.arange(n + 1)) * width
-                yield pa.record_batch([part.column("_doc"), binaries(out, offsets)], ["doc", "ids"])
+                yield pa.record_batch([pa.array([False] * n), part.column("_doc"), binaries(out, offsets)], names)
+        yield pa.record_batch([pa.array([True]), pa.array([None], pa.int64()), pa.array([counts.tobytes()])], names)
 
+    names = ["counts", "doc", "ids"]
     rows = docs.select(F.col(id_col).cast("bigint").alias("_doc"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, "doc bigint, ids binary")
+    return rows.mapInArrow(run, "counts boolean, doc bigint, ids binary")
 
 
 def binaries(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -103,21 +109,18 @@ def flat(values: pa.Array, kind):
     return np.frombuffer(data, kind), (offsets - offsets[0]) // size
 
 
-def frequencies(ids: DataFrame, kind: str) -> DataFrame:
-    """(id, n): how often each token id occurs; counted per task before the shuffle."""
+def frequencies(counts: DataFrame) -> DataFrame:
+    """(id, n): how often each token id occurs, from the counts of the tasks."""
 
     def run(batches):
-        total = np.zeros(0, np.int64)
+        total = 0
         for batch in batches:
-            values, _ = flat(batch.column(0), kind)
-            if len(values):
-                counts = np.bincount(values, minlength=len(total))
-                counts[: len(total)] += total
-                total = counts
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["id", "n"])
+            for row in batch.column("ids"):
+                total = total + np.frombuffer(row.as_buffer(), np.int64)
+        seen = np.flatnonzero(total) if np.ndim(total) else np.zeros(0, np.int64)
+        yield pa.record_batch([pa.array(seen, pa.int64()), pa.array(np.take(total, seen), pa.int64())], ["id", "n"])
 
-    return ids.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    return counts.select("ids").mapInArrow(run, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def pack(ranks: np.ndarray):
@@ -152,9 +155,9 @@ def write_token_files(docs: DataFrame, path: str, place: str, end_id: int = 0, i
     vocabulary = max(tokenizer(path).vocabulary, end_id + 1)
     kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
     store = scratch(spark, "token-ids")
-    ids = written(encode_documents(docs, path, end_id, id_col, text_col, kind), store)
+    ids = written(encode_documents(docs, path, end_id, id_col, text_col, kind), store, ["counts"])
     # Collected: at most one row per entry of the vocabulary.
-    counted = frequencies(ids, kind).orderBy(F.desc("n"), "id").collect()
+    counted = frequencies(ids.where("counts")).orderBy(F.desc("n"), "id").collect()
     by_rank = np.array([r["id"] for r in counted], np.uint32)
     rank_of = np.zeros(vocabulary, np.uint32)
     rank_of[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
@@ -176,7 +179,7 @@ def write_token_files(docs: DataFrame, path: str, place: str, end_id: int = 0, i
     names = [x.split()[0] for x in _BLOCK.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.binary()]
     schema = pa.schema(list(zip(names, types)))
-    ordered = ids.repartitionByRange("doc").sortWithinPartitions("doc", "ids")
+    ordered = ids.where("not counts").select("doc", "ids").repartitionByRange("doc").sortWithinPartitions("doc", "ids")
     ordered.mapInArrow(run, _BLOCK).write.option("compression", "zstd").parquet(f"{place}/blocks")
     known.unpersist()
     remove(spark, store)
