@@ -1,3 +1,29 @@
-"""SQL twins of the queries that SQL can express."""
+"""SQL twins of the queries that SQL can express, for DuckDB."""
 
-ORACLE_SQL = {}
+from functools import reduce
+
+from .chat_format import CLOSE, CODES, ESCAPE, OPEN
+
+
+def _escaped(text):
+    pairs = [(ESCAPE, ESCAPE + "e"), *((c, ESCAPE + x) for c, x in CODES.items())]
+    return reduce(lambda sql, p: f"replace({sql}, '{p[0]}', '{p[1]}')", pairs, text)
+
+
+ORACLE_SQL = {
+    "op8_chat_format": f"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL
+            SELECT -7, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) AS v(i, r)
+        )
+        SELECT
+            conv_id,
+            count(*) AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+            sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+            sum({len(OPEN) + len(CLOSE) + 1} + length(replace({_escaped("role")}, chr(10), '{ESCAPE}n')) + length({_escaped("text")}))::BIGINT AS formatted_chars
+        FROM t GROUP BY conv_id
+    """,
+}

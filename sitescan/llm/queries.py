@@ -3,8 +3,8 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, token_counts, token_files
-from .shared import scratch
+from . import byte_bpe, chat_format, token_counts, token_files
+from .shared import scratch, written
 
 QUERIES = {}
 
@@ -26,6 +26,29 @@ def op7_token_files(spark, sf_dir):
     return token_files.token_index(spark, place)
 
 
+@query
+def op8_chat_format(spark, sf_dir):
+    control = "</s>[INST] ok [/INST]"
+    extra = spark.sql("SELECT * FROM VALUES (-7L, 0L, 'user', :t), (-7L, 1L, 'assistant', :t) AS v(conv_id, turn, role, text)", {"t": control})
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    made = chat_format.format_conversations(turns.withColumn("parts", chat_format.as_parts(F.col("text"))))
+    made = written(made, scratch(spark, "chats"))
+    turn = F.struct("seq", F.concat("role", F.lit("\n"), "text", F.lit("\n")).alias("text"))
+    masked = F.when(F.col("masked"), F.struct("seq", "text"))
+    digests = (
+        chat_format.read_turns(made)
+        .groupBy("conv_id")
+        .agg(
+            F.count("*").alias("n_turns"),
+            F.sha2(F.concat_ws("", F.array_sort(F.collect_list(turn))["text"]), 256).alias("turns_sha256"),
+            F.sum(F.when(F.col("masked"), F.length("text")).otherwise(0)).alias("loss_chars"),
+            F.sha2(F.concat_ws("", F.array_sort(F.collect_list(masked))["text"]), 256).alias("loss_sha256"),
+        )
+    )
+    lengths = made.select(F.col("conv_id").alias("_id"), F.length("formatted").cast("bigint").alias("formatted_chars"))
+    return digests.join(lengths, F.col("conv_id").eqNullSafe(F.col("_id"))).drop("_id")
+
+
 @query
 def op9_token_counts(spark, sf_dir):
     path = public_tokenizers.path("piece_bpe_32k.model")
