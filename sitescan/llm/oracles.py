@@ -3,6 +3,7 @@
 from functools import reduce
 
 from .chat_format import CLOSE, CODES, ESCAPE, OPEN
+from .decontaminate import LEAST, MASKS, SHORTEST, WINDOW
 
 
 def _escaped(text):
@@ -10,7 +11,53 @@ def _escaped(text):
     return reduce(lambda sql, p: f"replace({sql}, '{p[0]}', '{p[1]}')", pairs, text)
 
 
+def _seeds(tokens, at):
+    # DuckDB's lists count from 1.
+    keys = (" || ' ' || ".join([f"'{i}'", *(f"coalesce({tokens}[{at} + {o + 1}], '')" for o in m)]) for i, m in enumerate(MASKS))
+    return f"unnest([{', '.join(keys)}])"
+
+
+def _words(text):
+    return f"regexp_extract_all(lower(coalesce({text}, '')), '[\\p{{L}}\\p{{M}}\\p{{N}}]+')"
+
+
 ORACLE_SQL = {
+    "op1_exact_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e)::BIGINT AS score
+            FROM v AS q JOIN v AS c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0
+        ), r AS (
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+        )
+        SELECT * FROM r WHERE rank <= 20
+    """,
+    "op5_decontaminate": f"""
+        WITH items AS (
+            SELECT * FROM (SELECT item_id, {_words("text")} AS item FROM benchmark) WHERE len(item) >= {SHORTEST}
+        ), docs AS (
+            SELECT doc_id, {_words("text")} AS doc FROM documents
+        ), planted AS (
+            SELECT item_id, spot AS item_at, {_seeds("item", "spot")} AS seed
+            FROM (SELECT *, unnest(range(len(item) - {SHORTEST} + 1)) AS spot FROM items)
+        ), windows AS (
+            SELECT doc_id, spot, {_seeds("doc", "spot")} AS seed FROM (SELECT *, unnest(range(len(doc))) AS spot FROM docs)
+        ), hits AS (
+            SELECT DISTINCT doc_id, item_id, spot - item_at AS shift FROM windows JOIN planted USING (seed)
+        ), compared AS (
+            SELECT doc_id, item_id, shift, least({WINDOW}, len(item)) AS n_words,
+                list_transform(range(len(item)), lambda k:
+                    CASE WHEN shift + k >= 0 AND doc[shift + k + 1] = item[k + 1] THEN 1 ELSE 0 END) AS equal
+            FROM hits JOIN items USING (item_id) JOIN docs USING (doc_id)
+        ), best AS (
+            SELECT doc_id, item_id, shift, n_words, list_max(list_transform(range(len(equal) - n_words + 1), lambda s:
+                list_sum(equal[s + 1 : s + n_words]))) AS n_equal FROM compared
+        )
+        SELECT doc_id, item_id, count(*) AS n_shifts, max(n_equal / n_words) AS best_share, min(shift)::INT AS first_shift
+        FROM best WHERE n_equal >= ceil(n_words * {LEAST}) GROUP BY doc_id, item_id
+    """,
     "op8_chat_format": f"""
         WITH t AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations

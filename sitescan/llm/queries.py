@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, token_counts, token_files
+from . import byte_bpe, chat_format, decontaminate, exact_topk, token_counts, token_files
 from .shared import scratch, written
 
 QUERIES = {}
@@ -18,6 +18,19 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_exact_topk(spark, sf_dir):
+    return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op5_decontaminate(spark, sf_dir):
+    leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.groupBy("doc_id", "item_id").agg(
+        F.count("*").alias("n_shifts"), F.max(F.col("n_equal") / F.col("n_words")).alias("best_share"), F.min("shift").alias("first_shift")
+    )
+
+
 @query
 def op7_token_files(spark, sf_dir):
     place = scratch(spark, "token-files")
