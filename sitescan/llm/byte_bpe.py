@@ -12,17 +12,16 @@ Blocks are written before they are used twice, so that both uses see the same on
 
 import base64
 import functools
-import itertools
+import zlib
 
 import numpy as np
 import pyarrow as pa
 import regex
-import zlib
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import pieces, scratch, slices, spread_out, sums, written
+from .shared import Words, scratch, slices, spread_out, written
 from .token_files import binaries, flat
 
 BLOCK_BYTES = 24 << 20
@@ -90,29 +89,20 @@ class Block:
     """Documents with their pre-tokens as numbers: the most frequent first, equally frequent ones by their text."""
 
     def __init__(self, pattern):
-        self.find = regex.compile(pattern).findall
-        self.docs, self.sizes, self.spots, self.index, self.bytes = [], [], [], {}, 0
+        self.words = Words(regex.compile(pattern).findall)
+        self.docs, self.sizes, self.spots, self.bytes = [], [], [], 0
 
     def add(self, docs: pa.Array, texts: pa.Array):
-        codes, offsets, heads, tails = pieces(texts)
-        found = [self.find(t) for t in heads] + [self.find(" " + t) for t in tails]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        index = self.index
-        words = list(itertools.chain.from_iterable(found))
-        for w in words:
-            if w not in index:
-                index[w] = len(index)
-        local = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
-        lengths = n[codes]
-        self.spots.append(local[spread_out((np.cumsum(n) - n)[codes], lengths)])
-        self.sizes.append(sums(lengths, offsets))
+        spots, ends = self.words.codes(texts)
+        self.spots.append(spots)
+        self.sizes.append(np.diff(ends))
         self.docs += docs.to_pylist()
         self.bytes += texts.nbytes
 
     def rows(self, number: int, buckets: int):
         """The block's own row, then its words, a row per bucket."""
         spots = np.concatenate(self.spots)
-        names = list(self.index)
+        names = list(self.words.index)
         by_text = np.array(sorted(range(len(names)), key=names.__getitem__), np.int64)
         order = by_text[np.argsort(-np.bincount(spots, minlength=len(names))[by_text], kind="stable")]
         place = np.empty(len(order), np.uint32)

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_topk, token_counts, token_files
+from . import byte_bpe, chat_format, decontaminate, exact_topk, quality, token_counts, token_files, toxicity
 from .shared import scratch, written
 
 QUERIES = {}
@@ -23,6 +23,28 @@ def op1_exact_topk(spark, sf_dir):
     return exact_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+@query
+def op2_quality(spark, sf_dir):
+    found = quality.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "log_weight", "gumbel_key", "sampled")
+
+
+def held_out():
+    """Documents whose labels are never learned from."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+
+
+@query
+def op4_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    field = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    scored = toxicity.score_documents(docs, field)
+    return scored.select(
+        "doc_id", held_out().alias("held_out"), "toxicity.score", "toxicity.predicted", F.size("toxicity.spans").alias("n_spans"),
+        F.get("toxicity.spans", F.lit(0))["start"].alias("first_start"),
+    )
+
+
 @query
 def op5_decontaminate(spark, sf_dir):
     leaks = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

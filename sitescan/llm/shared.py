@@ -1,5 +1,6 @@
 """Files in the shared folder, and texts as codes of distinct pieces."""
 
+import itertools
 import uuid
 
 import numpy as np
@@ -90,12 +91,6 @@ def spread_out(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The sum of each run values[offsets[i]:offsets[i + 1]]; 0 for an empty one."""
-    ends = np.concatenate([np.zeros(1, values.dtype), np.cumsum(values)])
-    return ends[offsets[1:]] - ends[offsets[:-1]]
-
-
 class Codebook:
     """Token ids of distinct pieces, kept from block to block up to a number of pieces.
 
@@ -143,3 +138,28 @@ class Codebook:
         ids = self.ids[spread_out(self.starts[entry], lengths)]
         ends = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[offsets]
+
+
+class Words:
+    """The words of texts as numbers into the list of the distinct ones.
+
+    `find` is a pattern's findall; no match may begin before a space and end behind it.
+    """
+
+    def __init__(self, find):
+        self.find, self.index = find, {}
+
+    def codes(self, texts: pa.Array):
+        """(codes, offsets): the word numbers of all texts, and where each text's words begin and end."""
+        codes, offsets, heads, tails = pieces(texts)
+        found = [self.find(t) for t in heads] + [self.find(" " + t) for t in tails]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        index = self.index
+        words = list(itertools.chain.from_iterable(found))
+        for w in words:
+            if w not in index:
+                index[w] = len(index)
+        local = np.fromiter(map(index.__getitem__, words), np.int32, len(words))
+        lengths = n[codes]
+        ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        return local[spread_out((np.cumsum(n) - n)[codes], lengths)], ends[offsets]
