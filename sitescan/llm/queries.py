@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, decontaminate, exact_topk, quality, token_counts, token_files, toxicity
+from . import byte_bpe, chat_format, dart_minhash, decontaminate, exact_topk, quality, token_counts, token_files, toxicity
 from .shared import scratch, written
 
 QUERIES = {}
@@ -29,6 +29,12 @@ def op2_quality(spark, sf_dir):
     return found.select("doc_id", "log_weight", "gumbel_key", "sampled")
 
 
+@query
+def op3_dart_minhash(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return dart_minhash.near_duplicates(docs).select("doc_id", "class_id", "stays")
+
+
 def held_out():
     """Documents whose labels are never learned from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
