@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _hashes, _mixed
-from .shared import Words, scratch, slices, written
+from .shared import Words, scratch, slices, spread_out, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -30,8 +30,8 @@ LEADERS = 4
 FIND = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
 MARK = "struct<digest:binary,buckets:array<bigint>>"
 EMPTY = np.uint64(2**64 - 1)
-# Ranks and weights are cut into strips, each with darts of its own; the cuts are the same for all.
-STRIPS = np.concatenate([[0.0], 2.0 ** np.arange(-10, 5), np.arange(32.0, 1 << 13, 16)])
+# No rank beyond this is needed: even a single element has caught thousands of darts by then.
+FARTHEST = float(1 << 13)
 RANK_UNIT = float(1 << 26)  # ranks are kept in 40 bits, dart names in 24
 
 
@@ -51,21 +51,6 @@ def _shingles(words: Words, texts: pa.Array):
     return hashed, ends, tokens, token_ends
 
 
-def _uniform(bits: np.ndarray) -> np.ndarray:
-    return (bits >> np.uint64(11)).astype(np.float64) * 2.0**-53
-
-
-def _counts(area: float, u: np.ndarray) -> np.ndarray:
-    """Poisson numbers of the given mean from uniform ones."""
-    p, total, cdf, n = np.exp(-area), np.exp(-area), [], 0
-    while total < 1 - 1e-14 and n < 400:
-        cdf.append(total)
-        n += 1
-        p *= area / n
-        total += p
-    return np.searchsorted(np.array(cdf), u, side="right")
-
-
 def dart_signatures(elements: np.ndarray, weights: np.ndarray, ends: np.ndarray, k: int = K, t: float | None = None) -> np.ndarray:
     """[documents, k]: the earliest dart of each coordinate; EMPTY throughout for a document without elements.
 
@@ -73,60 +58,50 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, ends: np.ndarray,
     coordinate empty are thrown at again with twice the darts; ranks found before stay the same.
     """
     n = len(ends) - 1
-    t = k * (np.log(k) + 4) if t is None else t
+    t = k * (np.log(k) + 3) if t is None else t
     out = np.full(n * k, EMPTY, np.uint64)
     owner = np.repeat(np.arange(n), np.diff(ends))
     totals = np.bincount(owner, weights, n)
-    reach = t / np.maximum(totals, 1e-9)
-    reach = np.minimum(reach, STRIPS[-1])
-    for w, (w_low, w_high) in enumerate(zip(STRIPS, STRIPS[1:])):
-        if w:
-            heavy = np.flatnonzero(weights > w_low)
-            if not len(heavy):
-                break
-        else:
-            # The first strips of weights are one: most elements weigh 1.
-            heavy = np.flatnonzero(weights > 0)
-        limit = reach[owner[heavy]]
-        for r, (r_low, r_high) in enumerate(zip(STRIPS, STRIPS[1:])):
-            near = limit > r_low
-            if not near.all():
-                heavy, limit = heavy[near], limit[near]
-            if not len(heavy):
-                break
-            _throw(out, elements, weights, owner, heavy, limit, k, (w, w_low, w_high), (r, r_low, r_high))
+    reach = np.minimum(t / np.maximum(totals, 1e-9), FARTHEST)
+    low, strip = 0.0, 0
+    while (rows := np.flatnonzero(weights > low)).size:
+        high = 2.0**strip
+        _throw(out, elements, weights, owner, rows, reach, k, strip, low, high)
+        low, strip = high, strip + 1
     out = out.reshape(n, k)
     again = np.flatnonzero((totals > 0) & (out == EMPTY).any(axis=1))
-    if len(again) and t < 64 * k * (np.log(k) + 4):
-        sizes = np.diff(ends)[again]
-        own = np.concatenate([np.arange(ends[i], ends[i + 1]) for i in again])
-        out[again] = dart_signatures(elements[own], weights[own], np.concatenate([[0], np.cumsum(sizes)]), k, 2 * t)
+    if len(again) and t < 64 * k * (np.log(k) + 3):
+        own = spread_out(ends[again], np.diff(ends)[again])
+        own_ends = np.concatenate([[0], np.cumsum(np.diff(ends)[again])])
+        out[again] = dart_signatures(elements[own], weights[own], own_ends, k, 2 * t)
     return out
 
 
-def _throw(out, elements, weights, owner, rows, limit, k, weight_strip, rank_strip):
-    """The darts of one strip of weights and ranks, for the given elements."""
-    (w, w_low, w_high), (r, r_low, r_high) = weight_strip, rank_strip
-    strip = _mixed(np.array([w + 1], np.uint64), np.array([r + 1], np.uint64))
-    seed = _mixed(elements[rows], strip)
-    count = _counts((w_high - w_low) * (r_high - r_low), _uniform(seed))
-    hit = np.flatnonzero(count)
-    if not len(hit):
-        return
-    count = count[hit]
-    of = np.repeat(hit, count)
-    number = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
-    dart = _mixed(seed[of], number.astype(np.uint64) + np.uint64(1))
-    rank = r_low + (r_high - r_low) * _uniform(dart)
-    keep = rank <= limit[of]
-    if w_high - w_low > 0:
-        other = _mixed(dart, np.array([17], np.uint64))
-        keep &= w_low + (w_high - w_low) * _uniform(other) <= weights[rows[of]]
-    of, dart, rank = of[keep], dart[keep], rank[keep]
-    name = _mixed(dart, np.array([29], np.uint64))
-    coordinate = ((name >> np.uint64(32)) % np.uint64(k)).astype(np.int64)
-    value = (rank * RANK_UNIT).astype(np.uint64) << np.uint64(24) | name & np.uint64(0xFFFFFF)
-    np.minimum.at(out, owner[rows[of]] * k + coordinate, value)
+def _throw(out, elements, weights, owner, rows, reach, k, strip, low, high):
+    """Throw into one strip of weights, `low` to `high`: one dart after the other, by rank, at all elements at once."""
+    seed = _mixed(elements[rows], np.array([strip + 1], np.uint64))
+    doc = owner[rows]
+    rank = np.zeros(len(rows))
+    limit = reach[doc]
+    whole = weights[rows] >= high
+    number = 0
+    while len(rows):
+        number += 1
+        dart = _mixed(seed, np.array([number], np.uint64))
+        # Gaps between ranks are exponential; the strip's width is its rate of darts.
+        rank = rank - np.log(((dart >> np.uint64(24)).astype(np.float64) + 0.5) * 2.0**-40) / (high - low)
+        on = np.flatnonzero(rank <= limit)
+        if len(on) < len(rows):
+            rows, seed, doc, rank, limit, whole, dart = (x[on] for x in (rows, seed, doc, rank, limit, whole, dart))
+        coordinate = ((dart >> np.uint64(24) & np.uint64(0xFFFFFF)) * np.uint64(k)) >> np.uint64(24)
+        value = (rank * RANK_UNIT).astype(np.uint64) << np.uint64(24) | dart & np.uint64(0xFFFFFF)
+        place = doc * k + coordinate.astype(np.int64)
+        if not whole.all():
+            # The dart's height in the strip decides whether it falls below the element's weight.
+            height = _mixed(dart, np.array([17], np.uint64)) >> np.uint64(11)
+            hit = whole | (low + (high - low) * height.astype(np.float64) * 2.0**-53 <= weights[rows])
+            place, value = place[hit], value[hit]
+        np.minimum.at(out, place, value)
 
 
 def band_buckets(signatures: np.ndarray) -> np.ndarray:
@@ -144,7 +119,7 @@ def _mark(texts: pa.Array) -> pa.Array:
     from xxhash import xxh3_128_digest
 
     digests, buckets = [], []
-    for part in slices(pa.record_batch([texts], ["text"]), "text"):
+    for part in slices(pa.record_batch([texts], ["text"]), "text", 2 << 20):
         hashed, ends, tokens, token_ends = _shingles(Words(lambda t: FIND(t.lower())), part.column(0))
         found = band_buckets(dart_signatures(hashed, np.ones(len(hashed)), ends))
         cuts = token_ends.tolist()
