@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _hashes, _mixed
-from .shared import Words, scratch, slices, spread_out, written
+from .shared import Plain, Words, scratch, slices, spread_out, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -184,9 +184,13 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
     fewer than five words make one shingle. Null ids sort last within a class.
     """
     spark = docs.sparkSession
-    named = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit(""))).withColumn("_mark", F.arrow_udf(_mark, MARK)("_text"))
-    rows = named.select(*docs.columns, F.col("_mark.digest").alias("_digest"), F.col("_mark.buckets").alias("_buckets"))
-    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), scratch(spark, "marked"))
+    plain = Plain(docs, id_col, text_col)
+    marked = plain.rows.withColumn("_mark", F.arrow_udf(_mark, MARK)(F.coalesce("_text", F.lit(""))))
+    rows = marked.select(
+        *plain.rows.columns, F.col("_mark.digest").alias("_digest"), F.col("_mark.buckets").alias("_buckets"),
+        F.monotonically_increasing_id().alias("_row"),
+    )
+    rows = written(rows, scratch(spark, "marked"))
     distinct = written(
         rows.where("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_row").alias("node")), scratch(spark, "nodes")
     )
@@ -198,7 +202,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
     # Only buckets with two members or more go on.
     members = written(placed.join(shared.select("bucket"), "bucket"), scratch(spark, "members"))
     used = members.select("node").distinct()
-    own = rows.select(F.col("_row").alias("node"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = rows.select(F.col("_row").alias("node"), F.coalesce("_text", F.lit("")).alias("text"))
     texts = written(own.join(used, "node", "left_semi"), scratch(spark, "candidate-texts"))
     links = None
     component = None
@@ -232,9 +236,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
             break
     named = distinct.join(component, "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
     joined = rows.drop("_buckets").join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
-    first = F.min(F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row")))
-    heads = rows.select("_digest", "_row", id_col).join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
+    first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
+    heads = rows.select("_digest", "_row", "_id").join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
     heads = heads.groupBy("_class").agg(first.alias("first"))
-    return joined.join(heads, "_class").select(
-        *docs.columns, F.col("first.id").alias("class_id"), (F.col("first.row") == F.col("_row")).alias("stays")
-    )
+    found = joined.join(heads, "_class")
+    return plain.back(found, class_id=F.col("first.id"), stays=F.col("first.row") == F.col("_row"))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
+from .shared import Plain
 
 # Places that count, from the window's first word on.
 MASKS = ((0, 1, 2, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 7, 9))
@@ -89,5 +90,6 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col=
     """`docs` without the rows that share a passage with an item of `benchmark`; all columns stay."""
     found = find_leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options)
     found = found.select(F.col("doc_id").alias("_leak_doc"), F.col("text_hash").alias("_leak_text")).distinct()
-    same = F.col(id_col).eqNullSafe(F.col("_leak_doc")) & (F.xxhash64(F.col(text_col)) == F.col("_leak_text"))
-    return docs.join(found, same, "left_anti")
+    plain = Plain(docs, id_col, text_col)
+    same = F.col("_id").eqNullSafe(F.col("_leak_doc")) & (F.xxhash64("_text") == F.col("_leak_text"))
+    return plain.back(plain.rows.join(found, same, "left_anti"))

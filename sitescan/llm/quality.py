@@ -12,9 +12,9 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Words, scratch, slices, written
+from .shared import Plain, Words, scratch, slices, written
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 14
 FIND = regex.compile(r"\w+|[^\w\s]+").findall
 # A word that repeats the one before it counts as this token, whichever word it is.
 AGAIN = np.uint64(0x9E3779B97F4A7C15)
@@ -70,28 +70,43 @@ def count_ngrams(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return raw, target
 
 
-def log_ratios(raw: np.ndarray, target: np.ndarray, smoothing: float = 1.0) -> np.ndarray:
-    """Per bucket, the log of target's over raw's frequency; 0 everywhere if there is no target."""
+def log_ratios(raw: np.ndarray, target: np.ndarray, prior: float = 20.0) -> np.ndarray:
+    """Per bucket, the log of target's over raw's frequency; 0 everywhere if there is no target.
+
+    Both counts are as if the target were as large as it is, with `prior` more n-grams at raw's rate:
+    a bucket seldom met says little, however small the corpus.
+    """
     if not target.sum():
         return np.zeros(len(raw))
-    p = (target + smoothing) / (target.sum() + smoothing * len(target))
-    q = (raw + smoothing) / (raw.sum() + smoothing * len(raw))
-    return np.log(p) - np.log(q)
+    expected = raw * (target.sum() / raw.sum())
+    return np.log(target + prior) - np.log(expected + prior)
+
+
+def labelled(labels: DataFrame, most: int, id_col: str, good_col: str) -> DataFrame:
+    """(_lid, good, held_out): of each class at most `most` ids, by hash; every fifth is held out of the target.
+
+    An id labelled more than once is good if any label says so.
+    """
+    marks = labels.where(F.col(id_col).isNotNull() & F.col(good_col).isin(0, 1))
+    marks = marks.groupBy(F.col(id_col).alias("_lid")).agg((F.max(good_col) == 1).alias("good"))
+    order = [F.xxhash64("_lid"), F.col("_lid")]
+    chosen = [marks.where(which).orderBy(*order).limit(most) for which in (F.col("good"), ~F.col("good"))]
+    return chosen[0].unionByName(chosen[1]).withColumn("held_out", F.pmod(F.xxhash64(F.lit(3), "_lid"), F.lit(5)) == 0)
 
 
 def weigh(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col="doc_id", text_col="text", good_col="quality") -> DataFrame:
     """`docs` with `log_weight`.
 
-    The target is the documents that `labels` marks 1, a sample by hash of their id of at most
-    `most_labelled`; raw counts cover all documents. A document labelled more than once
-    counts as good if any label says so. Null texts have no n-grams: their weight is 1 (log 0).
+    The target is the documents that `labels` marks 1 but for every fifth, a sample by hash of
+    their id of at most `most_labelled`; raw counts cover all documents. Null texts have no
+    n-grams: their weight is 1 (log 0).
     """
     spark = docs.sparkSession
-    good = labels.where((F.col(good_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_good_id")).distinct()
-    good = good.orderBy(F.xxhash64("_good_id"), "_good_id").limit(most_labelled)  # so it may be broadcast
-    text = F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    marked = docs.select(F.col(id_col).alias("_id"), text).join(F.broadcast(good), F.col("_id") == F.col("_good_id"), "left")
-    ratios = log_ratios(*count_ngrams(marked.select("text", F.col("_good_id").isNotNull().alias("good"))))
+    plain = Plain(docs, id_col, text_col)
+    marks = labelled(labels, most_labelled, id_col, good_col).where("good AND NOT held_out").select("_lid")
+    text = F.coalesce("_text", F.lit("")).alias("text")
+    marked = plain.rows.select("_id", text).join(F.broadcast(marks), F.col("_id") == F.col("_lid"), "left")
+    ratios = log_ratios(*count_ngrams(marked.select("text", F.col("_lid").isNotNull().alias("good"))))
     table = spark.sparkContext.broadcast(ratios)
 
     @F.pandas_udf("double")
@@ -105,7 +120,7 @@ def weigh(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_co
             start += part.num_rows
         return _series(out)
 
-    return docs.withColumn("log_weight", log_weight(F.coalesce(F.col(text_col), F.lit(""))))
+    return plain.back(plain.rows, log_weight=log_weight(F.coalesce("_text", F.lit(""))))
 
 
 def _series(values):
@@ -153,21 +168,43 @@ def kth_largest(values: DataFrame, k: int, bins: int = 4096, few: int = 10_000)
     return inside.orderBy(F.desc(name)).limit(k).collect()[-1][0]
 
 
+def least_weight(good: np.ndarray, bad: np.ndarray, dear: float = 5.0) -> float:
+    """The log weight that parts good from bad held-out documents at the least cost.
+
+    A good document lost costs `dear` times as much as a bad one kept. Of a range of
+    equal cost the middle is taken; without bad ones, three below the lowest good one.
+    """
+    if not len(bad) or not len(good):
+        return float(good.min()) - 3 if len(good) else -np.inf
+    points = np.unique(np.concatenate([good, bad]))
+    points = np.concatenate([[points[0] - 6], points, [points[-1] + 6]])
+    cuts = (points[1:] + points[:-1]) / 2
+    cost = dear * np.searchsorted(np.sort(good), cuts) + len(bad) - np.searchsorted(np.sort(bad), cuts)
+    return float(cuts[np.argmin(cost)])
+
+
 def resample(
-    docs: DataFrame, labels: DataFrame, k: int | None = None, margin: float = 3.0, temperature: float = 0.25, seed: int = 7,
-    id_col="doc_id", text_col="text", good_col="quality", **options,
+    docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.25, seed: int = 7, most_labelled: int = 20_000,
+    id_col="doc_id", text_col="text", good_col="quality",
 ) -> DataFrame:
     """`docs` with log_weight, gumbel_key and sampled, for the k documents with the highest keys.
 
-    Without `k`, as many are sampled as have a log weight of -`margin` or more: text that is
-    not clearly likelier raw than good. `temperature` scales the noise. Rows of one id
-    and text share their noise and are sampled or left together, beyond k if need be.
+    Without `k`, as many are sampled as have at least the log weight that best parts the labelled good
+    documents held out of the target from the bad ones (at most `most_labelled` of each).
+    `temperature` scales the noise. Rows of one id and text share their noise and are
+    sampled or left together, beyond k if need be.
     """
-    weighed = weigh(docs, labels, id_col=id_col, text_col=text_col, good_col=good_col, **options)
-    key = F.col("log_weight") + temperature * gumbel(seed, F.col(id_col), F.col(text_col))
+    spark = docs.sparkSession
+    plain = Plain(weigh(docs, labels, most_labelled, id_col, text_col, good_col), id_col, text_col)
+    weight = F.col(dict(plain.names)["log_weight"])
     # Written, so that the threshold and the decisions come from the same keys.
-    keyed = written(weighed.withColumn("gumbel_key", key), scratch(docs.sparkSession, "quality-keys"))
+    keyed = plain.rows.withColumn("_key", weight + temperature * gumbel(seed, "_id", "_text"))
+    keyed = written(keyed, scratch(spark, "quality-keys"))
     if k is None:
-        k = keyed.where(F.col("log_weight") >= -margin).count()
-    bound = kth_largest(keyed.select("gumbel_key"), k) if k else float("inf")
-    return keyed.withColumn("sampled", F.col("gumbel_key") >= bound)
+        marks = labelled(labels, most_labelled, id_col, good_col).where("NOT good OR held_out")
+        seen = keyed.join(F.broadcast(marks), F.col("_id") == F.col("_lid")).select("good", weight.alias("w")).distinct()
+        found = seen.limit(4 * most_labelled).collect()
+        parted = [np.array([r["w"] for r in found if r["good"] == g]) for g in (True, False)]
+        k = keyed.where(weight >= least_weight(*parted)).count()
+    bound = kth_largest(keyed.select("_key"), k) if k else float("inf")
+    return plain.back(keyed, gumbel_key=F.col("_key"), sampled=F.col("_key") >= bound)

@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 
@@ -163,3 +164,20 @@ class Words:
         lengths = n[codes]
         ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
         return local[spread_out((np.cumsum(n) - n)[codes], lengths)], ends[offsets]
+
+
+class Plain:
+    """A table under names of our own, so that none of its columns can clash with an operator's.
+
+    `rows` has _id, _text and the other columns as _c0, _c1 …; `back` restores the names. A
+    column that has the name of a result is replaced by the result.
+    """
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        known = {id_col: "_id", text_col: "_text"}
+        self.names = [(c, known.get(c, f"_c{i}")) for i, c in enumerate(docs.columns)]
+        self.rows = docs.select(*(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in self.names))
+
+    def back(self, df: DataFrame, **results) -> DataFrame:
+        old = [F.col(n).alias(c) for c, n in self.names if c not in results]
+        return df.select(*old, *(x.alias(c) for c, x in results.items()))

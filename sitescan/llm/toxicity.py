@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _hashes
-from .shared import Words, slices
+from .shared import Plain, Words, slices
 
 CHAIN = 64
 FEATURES = 1 << 16
@@ -304,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id",
     return fit([(r["text"], r["toxic"]) for r in rows], marks["share"])
 
 
-def score_documents(docs: DataFrame, field: Field, text_col="text", threshold: float = 0.3) -> DataFrame:
+def score_documents(docs: DataFrame, field: Field, id_col="doc_id", text_col="text", threshold: float = 0.3) -> DataFrame:
     """`docs` with toxicity, a struct of score, predicted and spans (start, end, score).
 
     Spans are runs of words whose probability is one half or more, as offsets in
@@ -330,7 +330,8 @@ def score_documents(docs: DataFrame, field: Field, text_col="text", threshold: f
         score = np.concatenate(scores) if scores else np.zeros(0)
         return pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(int), "spans": spans})
 
-    return docs.withColumn("toxicity", toxicity(F.coalesce(F.col(text_col), F.lit(""))))
+    plain = Plain(docs, id_col, text_col)
+    return plain.back(plain.rows, toxicity=toxicity(F.coalesce("_text", F.lit(""))))
 
 
 def text_spans(text: str, p: np.ndarray) -> list[dict]:
