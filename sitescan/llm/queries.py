@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, dart_minhash, decontaminate, exact_topk, quality, token_counts, token_files, toxicity
+from . import byte_bpe, chat_format, dart_minhash, decontaminate, exact_topk, licenses, quality, token_counts, token_files, toxicity
 from .shared import scratch, written
 
 QUERIES = {}
@@ -59,6 +59,13 @@ def op5_decontaminate(spark, sf_dir):
     )
 
 
+@query
+def op6_licenses(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = licenses.find_licenses(docs, licenses.train(docs))
+    return found.select("doc_id", "paragraph", "family", "probability", "likeness", "confirmed")
+
+
 @query
 def op7_token_files(spark, sf_dir):
     place = scratch(spark, "token-files")
