@@ -9,7 +9,9 @@ Jaccard similarity.
 
 Bands of coordinates give candidate pairs, but never all pairs of a bucket: a bucket's members
 meet its first one, and what is linked that way needs no further pair. Only members of
-different components go on to another leader, and at last to each other.
+different components go on to another leader, and at last to each other. A pair is compared word by
+word if one bit of each coordinate leaves it possible: alike texts fail that less than once in a
+million times.
 """
 
 import numpy as np
@@ -26,9 +28,13 @@ LEAST = 0.8
 BANDS = 32
 ROWS = 6
 K = BANDS * ROWS
-LEADERS = 4
+LEADERS = 2
+BLOCK = 256
 FIND = regex.compile(r"[\p{L}\p{M}\p{N}]+").findall
-MARK = "struct<digest:binary,buckets:array<bigint>>"
+MARK = "struct<digest:binary,buckets:array<bigint>,sketch:array<bigint>>"
+SKETCH = K // 64
+# Standard deviations by which a pair may seem less alike than it is.
+SLACK = 5.0
 EMPTY = np.uint64(2**64 - 1)
 # No rank beyond this is needed: even a single element has caught thousands of darts by then.
 FARTHEST = float(1 << 13)
@@ -114,20 +120,39 @@ def band_buckets(signatures: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def sketches(signatures: np.ndarray) -> np.ndarray:
+    """[documents, SKETCH]: one bit of each coordinate, as 64-bit numbers."""
+    bits = (signatures & np.uint64(1)).astype(np.uint8)
+    return np.packbits(bits, axis=1).view(np.int64)
+
+
+def _possible(least: float):
+    """Whether two sketches agree in as many bits as alike texts do, but for SLACK deviations."""
+    p = (1 + least) / 2
+    most = K - (K * p - SLACK * np.sqrt(K * p * (1 - p)))
+    differ = sum((F.bit_count(F.col("sketch")[i].bitwiseXOR(F.col("other")[i])) for i in range(SKETCH)), F.lit(0))
+    return differ <= F.lit(float(most))
+
+
 def _mark(texts: pa.Array) -> pa.Array:
     """The digest of a text's words, and its buckets; nulls for a text without words."""
     from xxhash import xxh3_128_digest
 
-    digests, buckets = [], []
+    digests, buckets, bits = [], [], []
     for part in slices(pa.record_batch([texts], ["text"]), "text", 2 << 20):
         hashed, ends, tokens, token_ends = _shingles(Words(lambda t: FIND(t.lower())), part.column(0))
-        found = band_buckets(dart_signatures(hashed, np.ones(len(hashed)), ends))
+        signatures = dart_signatures(hashed, np.ones(len(hashed)), ends)
         cuts = token_ends.tolist()
         digests += [xxh3_128_digest(tokens[a:b].tobytes()) if b > a else None for a, b in zip(cuts, cuts[1:])]
-        buckets.append(found)
-    flat = np.concatenate(buckets) if buckets else np.zeros((0, BANDS), np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * BANDS), pa.array(flat.ravel()))
-    return pa.StructArray.from_arrays([pa.array(digests, pa.binary()), lists], ["digest", "buckets"])
+        buckets.append(band_buckets(signatures))
+        bits.append(sketches(signatures))
+    columns = [pa.array(digests, pa.binary()), _lists(buckets, BANDS), _lists(bits, SKETCH)]
+    return pa.StructArray.from_arrays(columns, ["digest", "buckets", "sketch"])
+
+
+def _lists(parts: list[np.ndarray], width: int) -> pa.Array:
+    flat = np.concatenate(parts) if parts else np.zeros((0, width), np.int64)
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(flat) + 1, dtype=np.int32) * width), pa.array(flat.ravel()))
 
 
 def _jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
@@ -167,6 +192,50 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         state = now
 
 
+def _tile(key, batch):
+    """The links between the two blocks of a tile (or within its only one) that join different components."""
+    rows = batch.select(["node", "component", "block"]).to_pydict()
+    node, component, block = (np.array(rows[c]) for c in ("node", "component", "block"))
+    least = batch.column("least")[0].as_py()
+    text = batch.column("text").combine_chunks()
+    hashed, ends, _, _ = _shingles(Words(lambda t: FIND(t.lower())), text)
+    owner = np.repeat(np.arange(len(node)), np.diff(ends))
+    order = np.lexsort((hashed, owner))
+    hashed, owner = hashed[order], owner[order]
+    first = np.ones(len(hashed), bool)
+    first[1:] = (hashed[1:] != hashed[:-1]) | (owner[1:] != owner[:-1])
+    owner = owner[first]
+    names, column = np.unique(hashed[first], return_inverse=True)
+    sizes = np.bincount(owner, minlength=len(node))
+    starts = np.cumsum(sizes) - sizes
+    low, high = key[1].as_py(), key[2].as_py()
+    a, b = [], []
+    for i in np.flatnonzero(block == low):
+        held = np.zeros(len(names), bool)
+        held[column[starts[i] : starts[i] + sizes[i]]] = True
+        both = np.bincount(owner, held[column], len(node))
+        alike = both >= least * (sizes[i] + sizes - both)
+        alike &= (component != component[i]) & (block == high)
+        for j in np.flatnonzero(alike):
+            a.append(max(node[i], node[j]))
+            b.append(min(node[i], node[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _all_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """(a, b): every link between members (bucket, node, component, size) of one bucket and different components."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    placed = members.select(
+        "bucket", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
+    )
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    tiles = placed.select("bucket", "node", "component", "block", other).select(
+        "bucket", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
+    )
+    rows = tiles.join(texts, "node").withColumn("least", F.lit(least))
+    return rows.groupBy("bucket", "low", "high").applyInArrow(_tile, "a bigint, b bigint").distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are alike."""
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
@@ -187,7 +256,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
     plain = Plain(docs, id_col, text_col)
     marked = plain.rows.withColumn("_mark", F.arrow_udf(_mark, MARK)(F.coalesce("_text", F.lit(""))))
     rows = marked.select(
-        *plain.rows.columns, F.col("_mark.digest").alias("_digest"), F.col("_mark.buckets").alias("_buckets"),
+        *plain.rows.columns, F.col("_mark.digest").alias("_digest"), F.col("_mark.buckets").alias("_buckets"), F.col("_mark.sketch").alias("_sketch"),
         F.monotonically_increasing_id().alias("_row"),
     )
     rows = written(rows, scratch(spark, "marked"))
@@ -200,7 +269,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
     placed = nodes.select(F.col("_row").alias("node"), F.explode("_buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     # Only buckets with two members or more go on.
-    members = written(placed.join(shared.select("bucket"), "bucket"), scratch(spark, "members"))
+    sketched = rows.select(F.col("_row").alias("node"), F.col("_sketch").alias("sketch"))
+    members = placed.join(shared.select("bucket"), "bucket").join(sketched, "node")
+    members = written(members, scratch(spark, "members"))
     used = members.select("node").distinct()
     own = rows.select(F.col("_row").alias("node"), F.coalesce("_text", F.lit("")).alias("text"))
     texts = written(own.join(used, "node", "left_semi"), scratch(spark, "candidate-texts"))
@@ -210,32 +281,37 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
         current = members.withColumn("component", F.col("node"))
         if component is not None:
             current = members.join(component, "node", "left").select(
-                "node", "bucket", F.coalesce("component", "node").alias("component")
+                "node", "bucket", "sketch", F.coalesce("component", "node").alias("component")
             )
-        leaders = current.groupBy("bucket").agg(
-            F.min("node").alias("leader"), F.min("component").alias("low"), F.max("component").alias("high")
+        # The original of a group of copies shares more large buckets than any copy does; it leads first.
+        sizes = current.groupBy("bucket").agg(
+            F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
         ).where("low < high")
-        open_ = current.join(leaders.select("bucket", "leader"), "bucket")
-        first = current.select(F.col("node").alias("leader"), "bucket", F.col("component").alias("of_leader"))
+        current = current.join(sizes.select("bucket", "size"), "bucket")
+        central = current.groupBy("node").agg(F.sum("size").alias("weight"))
+        ranked = current.join(central, "node").select("bucket", F.struct(F.col("weight"), F.col("node").alias("leader")).alias("rank"))
+        leaders = ranked.groupBy("bucket").agg(F.max("rank")["leader"].alias("leader"))
+        open_ = current.join(leaders, "bucket")
         if turn < LEADERS:
-            pairs = open_.join(first, ["bucket", "leader"]).where("component <> of_leader")
-            pairs = pairs.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+            first = current.select(
+                F.col("node").alias("leader"), "bucket", F.col("component").alias("of_leader"), F.col("sketch").alias("other")
+            )
+            pairs = open_.join(first, ["bucket", "leader"]).where((F.col("component") != F.col("of_leader")) & _possible(least))
+            found = _verified(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, least)
         else:
-            # What is left: few buckets, of texts that share a band but are not alike.
-            pairs = open_.join(first.withColumnRenamed("leader", "a"), "bucket").where("component <> of_leader AND a < node")
-            pairs = pairs.select("a", F.col("node").alias("b"))
-        found = written(_verified(pairs.distinct(), texts, least).select("a", "b"), scratch(spark, "links"))
+            found = _all_links(current, texts, least)
+        found = written(found.select("a", "b"), scratch(spark, "links"))
         links = found if links is None else links.unionByName(found)
         component = written(components(links), scratch(spark, "component"))
         if turn == LEADERS:
             break
         # A leader has met all of its bucket.
-        rest = open_.where("node <> leader").select("node", "bucket")
+        rest = open_.where("node <> leader").select("node", "bucket", "sketch")
         members = written(rest, scratch(spark, "members"))
         if members.isEmpty():
             break
     named = distinct.join(component, "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
-    joined = rows.drop("_buckets").join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
+    joined = rows.drop("_buckets", "_sketch").join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     heads = rows.select("_digest", "_row", "_id").join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
     heads = heads.groupBy("_class").agg(first.alias("first"))
