@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import _hashes
+from .quality import _hashes, _mixed
 from .shared import Plain, Words, slices
 
 CHAIN = 64
@@ -164,11 +164,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col, text_
     return rows.join(F.broadcast(chosen), F.col("_id") == F.col("_lid")).select(F.col("_id").alias("id"), "text", "toxic")
 
 
-def without_copies(kinds: list[frozenset], sketch: int = 12, shared: int = 4) -> list[int]:
-    """Places of word sets that are no near copies of earlier ones: fewer than `shared` of the smallest hashes agree."""
+def without_copies(texts: list[list[str]], sketch: int = 12, shared: int = 4) -> list[int]:
+    """Places of texts that are no near copies of earlier ones.
+
+    A text's sketch is the smallest hashes of its runs of three words; fewer than `shared` may agree.
+    """
     holders, kept = {}, []
-    for i, words in enumerate(kinds):
-        low = sorted(_hashes(list(words)).tolist())[:sketch]
+    for i, words in enumerate(texts):
+        runs = _hashes(words)
+        if len(runs) > 2:
+            runs = _mixed(_mixed(runs[:-2], runs[1:-1]), runs[2:])
+        low = np.unique(runs)[:sketch].tolist()
         met = {}
         for h in low:
             for j in holders.get(h, ()):
@@ -187,10 +193,11 @@ def marked_words(texts: list[str], toxic: list[int], enough: int = 6, odds: floa
     hold. It marks if it is `odds` times as frequent among toxic texts as among others, with a
     log-likelihood ratio of `significant` or more. Near copies of a text count once.
     """
-    kinds = [frozenset(find_words(t)) for t in texts]
+    lists = [find_words(t) for t in texts]
+    kinds = [frozenset(x) for x in lists]
     counts = [{}, {}]
     total = [0, 0]
-    for i in without_copies(kinds):
+    for i in without_copies(lists):
         y = int(toxic[i])
         total[y] += 1
         held = counts[y]
