@@ -109,24 +109,14 @@ def weigh(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_co
     ratios = log_ratios(*count_ngrams(marked.select("text", F.col("_lid").isNotNull().alias("good"))))
     table = spark.sparkContext.broadcast(ratios)
 
-    @F.pandas_udf("double")
-    def log_weight(texts):
-        out = np.zeros(len(texts))
-        batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
-        start = 0
-        for part in slices(batch, "text"):
+    def log_weight(texts: pa.Array) -> pa.Array:
+        out = [np.zeros(0)]
+        for part in slices(pa.record_batch([texts], ["text"]), "text"):
             buckets, owner = ngram_buckets(part.column(0))
-            out[start : start + part.num_rows] = np.bincount(owner, table.value[buckets], part.num_rows)
-            start += part.num_rows
-        return _series(out)
+            out.append(np.bincount(owner, table.value[buckets], part.num_rows))
+        return pa.array(np.concatenate(out))
 
-    return plain.back(plain.rows, log_weight=log_weight(F.coalesce("_text", F.lit(""))))
-
-
-def _series(values):
-    import pandas as pd
-
-    return pd.Series(values)
+    return plain.back(plain.rows, log_weight=F.arrow_udf(log_weight, "double")(F.coalesce("_text", F.lit(""))))
 
 
 def gumbel(seed: int, *columns) -> Column:

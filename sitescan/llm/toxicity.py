@@ -48,10 +48,12 @@ class Field:
         """The toxic state's log weight for each word; the other state's is 0."""
         if not words:
             return np.zeros(0)
-        rows = [features(w) for w in words]
-        owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        slots = _slots([f for r in rows for f in r])
-        return self.bias + np.bincount(owner, self.weights[slots], len(rows))
+        out = []
+        for i in range(0, len(words), 20_000):  # a little at a time, for the sake of memory
+            rows = [features(w) for w in words[i : i + 20_000]]
+            owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+            out.append(np.bincount(owner, self.weights[_slots([f for r in rows for f in r])], len(rows)))
+        return self.bias + np.concatenate(out)
 
 
 def _slots(names: list[str]) -> np.ndarray:
@@ -194,34 +196,37 @@ def marked_words(texts: list[str], toxic: list[int], enough: int = 6, odds: floa
     log-likelihood ratio of `significant` or more. Near copies of a text count once.
     """
     lists = [find_words(t) for t in texts]
-    kinds = [frozenset(x) for x in lists]
-    counts = [{}, {}]
-    total = [0, 0]
+    met, total = ([], []), [0, 0]
     for i in without_copies(lists):
         y = int(toxic[i])
         total[y] += 1
-        held = counts[y]
-        for f in {f for w in kinds[i] for f in features(w)[:-1]}:
-            held[f] = held.get(f, 0) + 1
+        met[y].append(np.unique(_hashes([f for w in set(lists[i]) for f in features(w)[:-1]])))
     if not all(total):
         return set()
+    counts = [np.unique(np.concatenate(x), return_counts=True) for x in met]
 
-    def marks(f):
-        a, b = counts[1].get(f, 0), counts[0].get(f, 0)
-        if (a + 0.5) / total[1] < odds * (b + 0.5) / total[0]:
-            return False
-        share = (a + b) / sum(total)
-        expected = share * total[1], share * total[0]
-        return 2 * sum(n * np.log(n / e) for n, e in zip((a, b), expected) if n) >= significant
+    def held(y, hashes):
+        names, n = counts[y]
+        at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
+        return np.where(names[at] == hashes, n[at], 0) if len(names) else np.zeros(len(hashes), int)
 
+    words = sorted({w for x, y in zip(lists, toxic) if y for w in x})
     out = set()
-    for w in {w for words, y in zip(kinds, toxic) if y for w in words}:
-        first, *rest = features(w)[:-1]
-        for f in [first, *reversed(rest)]:
-            if counts[1].get(f, 0) + counts[0].get(f, 0) >= enough:
-                if marks(f):
-                    out.add(w)
-                break
+    for start in range(0, len(words), 20_000):
+        some = words[start : start + 20_000]
+        tried = [[w, *reversed(features(w)[1:-1])] for w in some]
+        hashes = _hashes([f for x in tried for f in x])
+        owner = np.repeat(np.arange(len(some)), [len(x) for x in tried])
+        a, b = held(1, hashes), held(0, hashes)
+        usual = np.flatnonzero(a + b >= enough)
+        _, first = np.unique(owner[usual], return_index=True)
+        judged = usual[first]  # of each word, the longest that enough texts hold
+        a, b = a[judged].astype(float), b[judged].astype(float)
+        share = (a + b) / sum(total)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            ratio = 2 * (np.where(a > 0, a * np.log(a / (share * total[1])), 0) + np.where(b > 0, b * np.log(b / (share * total[0])), 0))
+        marks = ((a + 0.5) / total[1] >= odds * (b + 0.5) / total[0]) & (ratio >= significant)
+        out |= {some[i] for i in owner[judged[marks]]}
     return out
 
 
@@ -274,8 +279,8 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int =
         bias += 0.5 * grad_bias / np.sqrt(g_bias)
         stay = stay + 0.2 * grad_stay / np.sqrt(g_stay)
     field = Field(weights, float(bias), stay, np.zeros(3))
-    p, ends = word_probabilities(field, pa.array(texts, pa.string()))
-    x, y = document_features(p, ends), np.array(toxic, float)
+    parts = [word_probabilities(field, pa.array(texts[i : i + 200], pa.string())) for i in range(0, len(texts), 200)]
+    x, y = np.concatenate([document_features(p, ends) for p, ends in parts]), np.array(toxic, float)
     share = y.mean() if share is None else share
     field.document = logistic(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
     return field
@@ -291,7 +296,7 @@ def logistic(x: np.ndarray, y: np.ndarray, of_row: np.ndarray, ridge: float = 0.
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id", text_col="text", label_col="toxic", most_chars: int = 8_000_000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id", text_col="text", label_col="toxic", most_chars: int = 6_000_000) -> Field:
     """Fit on a sample of `labels`: at most `most` documents of each class, and `most_chars` characters in all.
 
     Only the sample's choice is bounded; no text is cut. Documents beyond the
@@ -320,25 +325,25 @@ def score_documents(docs: DataFrame, field: Field, id_col="doc_id", text_col="te
     """
     known = docs.sparkSession.sparkContext.broadcast(field)
 
-    @F.pandas_udf("score double, predicted int, spans array<struct<start:int,end:int,score:double>>")
-    def toxicity(texts):
-        import pandas as pd
+    span = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())])
+    schema = "struct<score:double,predicted:int,spans:array<struct<start:int,end:int,score:double>>>"
 
-        scores, spans = [], []
-        batch = pa.record_batch([pa.array(texts, pa.string())], ["text"])
-        for part in slices(batch, "text"):
+    def toxicity(texts: pa.Array) -> pa.Array:
+        scores, spans = [np.zeros(0)], []
+        for part in slices(pa.record_batch([texts], ["text"]), "text", 2 << 20):
             p, ends = word_probabilities(known.value, part.column(0))
             scores.append(document_scores(known.value, p, ends))
-            hot = np.flatnonzero(np.add.reduceat(np.append(p >= 0.5, False), ends[:-1]) * (np.diff(ends) > 0))
+            owner = np.repeat(np.arange(part.num_rows), np.diff(ends))
             found = [[] for _ in range(part.num_rows)]
-            for i in hot.tolist():
+            for i in np.unique(owner[p >= 0.5]).tolist():
                 found[i] = text_spans(part.column(0)[i].as_py(), p[ends[i] : ends[i + 1]])
             spans += found
-        score = np.concatenate(scores) if scores else np.zeros(0)
-        return pd.DataFrame({"score": score, "predicted": (score >= threshold).astype(int), "spans": spans})
+        score = np.concatenate(scores)
+        columns = [pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(spans, pa.list_(span))]
+        return pa.StructArray.from_arrays(columns, ["score", "predicted", "spans"])
 
     plain = Plain(docs, id_col, text_col)
-    return plain.back(plain.rows, toxicity=toxicity(F.coalesce("_text", F.lit(""))))
+    return plain.back(plain.rows, toxicity=F.arrow_udf(toxicity, schema)(F.coalesce("_text", F.lit(""))))
 
 
 def text_spans(text: str, p: np.ndarray) -> list[dict]:
