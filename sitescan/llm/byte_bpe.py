@@ -128,7 +128,7 @@ def to_blocks(docs: DataFrame, buckets: int, pattern: str) -> DataFrame:
         number = TaskContext.get().partitionId() << 32
         block = Block(pattern)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 4 << 20):
                 block.add(part.column("_doc"), part.column("_text"))
                 if block.bytes >= BLOCK_BYTES:
                     rows = list(block.rows(number, buckets))

@@ -139,7 +139,7 @@ def _mark(texts: pa.Array) -> pa.Array:
     from xxhash import xxh3_128_digest
 
     digests, buckets, bits = [], [], []
-    for part in slices(pa.record_batch([texts], ["text"]), "text", 2 << 20):
+    for part in slices(pa.record_batch([texts], ["text"]), "text", 1 << 20):
         hashed, ends, tokens, token_ends = _shingles(Words(lambda t: FIND(t.lower())), part.column(0))
         signatures = dart_signatures(hashed, np.ones(len(hashed)), ends)
         cuts = token_ends.tolist()

@@ -34,7 +34,7 @@ def remove(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
+def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
     """Pieces of a batch with about `size` bytes in `column`; a longer value is a piece of its own."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     ends = np.cumsum(lengths, dtype=np.int64)
@@ -44,6 +44,7 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 4 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # Python workers live on from task to task
 
 
 def pieces(texts: pa.Array):

@@ -76,7 +76,7 @@ def encode_documents(
         book = tokenizer(path)
         counts = np.zeros(max(book.vocabulary, end_id + 1), np.int64)
         for batch in batches:
-            for part in slices(batch, "_text"):
+            for part in slices(batch, "_text", 4 << 20):
                 ids, ends = book.encode_texts(part.column("_text"))
                 n = part.num_rows
                 out = np.full(len(ids) + n, end_id, kind)
