@@ -166,7 +166,7 @@ LANGUAGE_WORDS = (
     ("en", ("the", "and", "of", "to", "is", "that", "for", "was", "with", "this",
             "are", "from", "on", "by", "be", "it", "as", "at", "he", "you")),
     ("de", ("der", "die", "und", "das", "ist", "nicht", "ein", "eine", "mit", "den",
-            "von", "zu", "auf", "für", "sich", "dem", "des", "im", "auch", "sch")),
+            "von", "zu", "auf", "für", "sich", "dem", "des", "im", "auch")),
     ("fr", ("le", "la", "les", "et", "des", "est", "une", "du", "dans", "que",
             "pour", "qui", "par", "sur", "pas", "au", "ce", "il", "elle", "un")),
     ("es", ("el", "los", "las", "y", "que", "en", "una", "por", "con", "para",

@@ -52,9 +52,14 @@ def request_context(facts: DataFrame) -> DataFrame:
 
 
 def request_payload(contexts: DataFrame) -> DataFrame:
-    """One JSON array per batch. A batch is bounded by its size."""
+    """One JSON array per batch, with each URL once; of several contexts of a URL the smallest is sent.
+
+    Copies of a URL meet before the batch does, so a batch is bounded by its size.
+    """
+    rest = [c for c in CONTEXT_FIELDS if c != "url"]
+    once = contexts.groupBy("batch_id", "url").agg(F.min(F.struct(*rest)).alias("_c")).select("batch_id", "url", "_c.*")
     items = F.array_sort(F.collect_list(F.struct(*CONTEXT_FIELDS)))
-    return contexts.groupBy("batch_id").agg(
+    return once.groupBy("batch_id").agg(
         F.to_json(items, {"ignoreNullFields": "false"}).alias("payload")
     )
 
@@ -138,12 +143,16 @@ def reply_gap_fill(requests: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def read_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
-    """Replies to classifications, one per requested site, whole-batch errors included."""
-    filled = reply_gap_fill(requests, reply_explode(replies))
-    spread = batch_error_spread(requests, replies)
-    return filled.join(spread, ["batch_id", "url"]).select(
+    """Replies to classifications, whole-batch errors included.
+
+    One row per batch and URL, however often a URL was requested in it.
+    """
+    asked = requests.select("batch_id", "url").distinct()
+    errors = batch_errors(replies).withColumn("_answered", F.lit(True))
+    error = F.when(F.col("_answered").isNull(), R.NO_REPLY).otherwise(F.col("batch_error"))
+    return reply_gap_fill(asked, reply_explode(replies)).join(errors, "batch_id", "left").select(
         "url", "niche", "site_type", "language", "author", "confidence",
-        F.coalesce("batch_error", "ai_error").alias("ai_error"),
+        F.coalesce(error, "ai_error").alias("ai_error"),
     )
 
 

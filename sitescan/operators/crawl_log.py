@@ -57,14 +57,16 @@ def final_status(outcome, terminal, error):
 
 
 def attempt_resolve(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """One status per URL: its first final attempt, else its last allowed one.
+    """One status per URL of the log: its first final attempt, else its last allowed one.
+
+    Attempts beyond the allowed ones decide only where a URL has no others.
 
     An aggregate rather than a window: attempts are merged before the shuffle,
     however many a URL has.
     """
     rank = F.when(F.col("terminal"), F.col("attempt")).otherwise(max_attempts - F.col("attempt"))
-    order = F.struct(~F.col("terminal"), rank, F.col("ts"))
-    seen = attempt_outcome(attempts).where(F.col("attempt") <= max_attempts)
+    order = F.struct(F.col("attempt") > max_attempts, ~F.col("terminal"), rank, F.col("ts"))
+    seen = attempt_outcome(attempts)
     deciding = F.struct("attempt", "status_code", "outcome", "terminal", "error")
     best = seen.groupBy("url").agg(F.min_by(deciding, order).alias("d"))
     error = F.when(F.col("d.outcome") != "ok", F.coalesce(F.when(F.col("d.error") != "", F.col("d.error")), F.lit(UNKNOWN)))
@@ -79,7 +81,7 @@ def attempt_resolve(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> Da
 
 def retry_backoff(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS,
                   kind: str = "fetch") -> DataFrame:
-    """Seconds to wait after each attempt, and in total up to and including it.
+    """Seconds to wait after each attempt, and in total up to and including it; one row per attempt logged.
 
     fetch: 1, 2, 4 … after a failure worth retrying, nothing after the last
     attempt. classifier: 2, 4, 8 …, also after the last.
@@ -93,24 +95,9 @@ def retry_backoff(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS,
         raise ValueError(f"unknown kind of retry: {kind!r}")
     judged = attempt_outcome(attempts).withColumn("wait_s", F.coalesce(wait, F.lit(0)).cast("bigint"))
 
-    def nth(k):
-        """The URL's first record of attempt `k`."""
-        here = F.col("attempt") == k
-        return F.min_by(
-            F.when(here, F.struct("attempt", "outcome", "wait_s")), F.when(here, F.struct("ts", "outcome"))
-        )
-
-    # The few allowed attempts of a URL become one array: one aggregate, no window, no sort.
-    numbers = range(1, max_attempts + 1)
-    listed = judged.groupBy("url").agg(F.array(*(nth(k) for k in numbers)).alias("a"))
-    known = F.filter("a", lambda x: x.isNotNull())
-    rows = listed.withColumn("a", known).select("url", "a", F.posexplode_outer("a").alias("i", "x"))
-    so_far = F.aggregate(
-        F.slice("a", 1, F.col("i") + 1), F.lit(0).cast("bigint"), lambda acc, x: acc + x["wait_s"]
-    )
-    return rows.where(F.col("x").isNotNull()).select(
-        "url", "x.attempt", "x.outcome", "x.wait_s", so_far.alias("total_wait_s")
-    )
+    # A running sum keeps every row, also repeated and unusual attempt numbers; the window spills.
+    so_far = W.partitionBy("url").orderBy("attempt", "ts", "outcome").rowsBetween(W.unboundedPreceding, 0)
+    return judged.select("url", "attempt", "outcome", "wait_s", F.sum("wait_s").over(so_far).alias("total_wait_s"))
 
 
 def render_outcome(rendered: DataFrame) -> DataFrame:

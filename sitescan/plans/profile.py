@@ -55,11 +55,12 @@ def profile_sites(pages: DataFrame, urls: DataFrame | None = None,
     # Texts have served their purpose; only what the result shows goes on.
     shown = ["url", "fetch_status", "fetch_error", *PAGE_COLUMNS]
     facts = facts.select(*shown, *(CLASS_COLUMNS if classified is None else ()))
+    facts = one_per_url(facts)
     if urls is not None:
         wanted = url_dedupe(url_normalize(urls)).select("url")
         missing = F.col("fetch_status").isNull()
         facts = (
-            wanted.join(one_per_url(facts), "url", "left")
+            wanted.join(facts, "url", "left")
             .withColumn("fetch_error", F.when(missing, NOT_CRAWLED).otherwise(F.col("fetch_error")))
             .withColumn("fetch_status", F.coalesce("fetch_status", F.lit("FAILED")))
         )

@@ -2,6 +2,7 @@
 
 from datetime import datetime
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -73,13 +74,8 @@ def run_stamp(prefix: str = "results", at: datetime | None = None) -> str:
 
 def write_run(rows: DataFrame, path: str, run_id: str) -> None:
     """Put a run's rows under its own partition; a second write replaces that run only."""
-    (
-        rows.withColumn("run_id", F.lit(run_id))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("run_id")
-        .parquet(path)
-    )
+    # Written straight into the run's folder: a dynamic overwrite would keep the old rows if there are none now.
+    rows.drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={quote(run_id, safe='')}")
 
 
 def csv_sink(formatted: DataFrame, path: str) -> None:

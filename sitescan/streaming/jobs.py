@@ -26,7 +26,7 @@ def read_files(spark: SparkSession, folder: str, schema, pattern: str = "*.parqu
 
 
 def _thin(stream: DataFrame, keys) -> DataFrame:
-    """Drop repeats that already meet in one Arrow batch.
+    """Drop rows that repeat another in all of `keys` and meet it in one Arrow batch.
 
     Later steps drop the rest; this keeps a key that fills the stream from
     sending every copy to the one task that owns it.
@@ -46,7 +46,7 @@ def stream_enrich(pages: DataFrame) -> DataFrame:
 
 def stream_url_dedupe(urls: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
     """First sighting of each URL; state is dropped once the watermark passes."""
-    return _thin(urls, ["url"]).withWatermark(ts, delay).dropDuplicatesWithinWatermark(["url"])
+    return urls.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["url"])
 
 
 def stream_attempt_resolve(attempts: DataFrame, delay: str = "10 minutes",
@@ -64,7 +64,7 @@ def stream_attempt_resolve(attempts: DataFrame, delay: str = "10 minutes",
         .select("url", "attempt", "outcome", "terminal", "error", F.col("ts").cast("timestamp").alias("ts"))
     )
     settled = (
-        _thin(judged, ["url", "attempt"])
+        _thin(judged, judged.columns)
         .withWatermark("ts", delay)
         .groupBy("url")
         .transformWithStateInPandas(
@@ -102,7 +102,7 @@ def _state_in_rocksdb(spark):
 
 
 def run_available(stream: DataFrame, out: str, checkpoint: str, timeout_s: int | None = None) -> None:
-    """Process what has arrived, append it as parquet, and stop.
+    """Process what has arrived, append it as parquet, and stop; a TimeoutError if `timeout_s` do not suffice.
 
     Run again with the same checkpoint to go on where the last run ended, also
     after a failure: files and state are committed together.
@@ -117,4 +117,8 @@ def run_available(stream: DataFrame, out: str, checkpoint: str, timeout_s: int |
             .trigger(availableNow=True)
             .start()
         )
-    query.awaitTermination(timeout_s)
+    if timeout_s is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout_s):
+        query.stop()
+        raise TimeoutError(f"the stream was stopped after {timeout_s} seconds")
