@@ -296,13 +296,15 @@ def logistic(x: np.ndarray, y: np.ndarray, of_row: np.ndarray, ridge: float = 0.
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id", text_col="text", label_col="toxic", most_chars: int = 6_000_000) -> Field:
+def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id", text_col="text", label_col="toxic", most_chars: int = 4_000_000, longest: int = 4000) -> Field:
     """Fit on a sample of `labels`: at most `most` documents of each class, and `most_chars` characters in all.
 
-    Only the sample's choice is bounded; no text is cut. Documents beyond the
-    number of characters are left out in the order of their ids' hash.
+    Only the sample's choice is bounded; no text is cut. Documents of more than `longest` characters are
+    not sampled, so that the sample has many; those beyond the number of characters in all are left out
+    in the order of their ids' hash.
     """
-    sample = labelled_sample(docs, labels, most, id_col, text_col, label_col)
+    short = docs.where(F.length(text_col) <= longest)
+    sample = labelled_sample(short, labels, most, id_col, text_col, label_col)
     lengths = sample.select("id", F.length("text").alias("n"), F.xxhash64("id").alias("h")).collect()
     kept, chars = [], 0
     for row in sorted(lengths, key=lambda r: (r["h"], r["id"])):
