@@ -10,6 +10,7 @@ A chain is a run of up to `CHAIN` words; a longer text is several chains.
 """
 
 import dataclasses
+import pickle
 
 import numpy as np
 import pyarrow as pa
@@ -299,7 +300,7 @@ def logistic(x: np.ndarray, y: np.ndarray, of_row: np.ndarray, ridge: float = 0.
 def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id", text_col="text", label_col="toxic", most_chars: int = 4_000_000, longest: int = 4000) -> Field:
     """Fit on a sample of `labels`: at most `most` documents of each class, and `most_chars` characters in all.
 
-    Only the sample's choice is bounded; no text is cut. Documents of more than `longest` characters are
+    One task fits the field. Only the sample's choice is bounded; no text is cut. Documents of more than `longest` characters are
     not sampled, so that the sample has many; those beyond the number of characters in all are left out
     in the order of their ids' hash.
     """
@@ -312,10 +313,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id",
             kept.append(row["id"])
             chars += row["n"]
     ids = docs.sparkSession.createDataFrame([(i,) for i in kept], "_kept bigint")
-    rows = sample.join(F.broadcast(ids.distinct()), F.col("id") == F.col("_kept")).select("id", "text", "toxic").collect()
-    rows.sort(key=lambda r: (r["id"], r["text"]))
+    rows = sample.join(F.broadcast(ids.distinct()), F.col("id") == F.col("_kept")).select("id", "text", "toxic")
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).agg(F.avg(label_col).alias("share")).first()
-    return fit([(r["text"], r["toxic"]) for r in rows], marks["share"])
+    share = marks["share"]
+
+    def fitted(batches):
+        found = sorted((r["id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
+        field = fit([(text, toxic) for _, text, toxic in found], share)
+        yield pa.record_batch([pa.array([pickle.dumps(field)])], ["field"])
+
+    # The sample is bounded, so one task holds it; the driver only gets the field.
+    field = rows.repartition(1).mapInArrow(fitted, "field binary").first()
+    return pickle.loads(field["field"]) if field else fit([], share)
 
 
 def score_documents(docs: DataFrame, field: Field, id_col="doc_id", text_col="text", threshold: float = 0.3) -> DataFrame:
