@@ -164,9 +164,10 @@ def facts_ctes(source):
                 nullif({strip(decode("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))}, '')) as title,
             coalesce(nullif({strip("regexp_extract(html, '<meta property=\"og:description\" content=\"([^\"]*)\"', 1)")}, ''),
                 nullif({strip("regexp_extract(html, '<meta name=\"description\" content=\"([^\"]*)\"', 1)")}, '')) as meta_description,
-            substr({squeeze(decode(between_tags("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")))}, 1, 3000) as body_text,
+            {squeeze(decode(between_tags("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")))} as full_text,
+            substr(full_text, 1, 3000) as body_text,
             case {cms} end as cms from {source})""",
-        *label_ctes("language", "basics", "body_text", L.LANGUAGE_WORDS, scripts=True),
+        *label_ctes("language", "basics", "full_text", L.LANGUAGE_WORDS, scripts=True),
         f"""authors as (select page_id,
             coalesce(nullif(regexp_replace(regexp_extract(html, '<script type="application/ld.json">.*?"author":(?:"|\\[?\\{{(?:"@type":"Person",)?"name":")([^"]+)"', 1), '^By ', ''), ''),
                 nullif(regexp_extract(html, '<meta name="author" content="Written by ([^"]*)"', 1), ''),
@@ -289,7 +290,7 @@ CLASSIFIED = [REQUESTS, ITEM_FACTS, f"""answers as (select r.batch_id, r.url, r.
     case when answered then niche_score else 0 end as confidence_niche, case when answered then 90 else 0 end as confidence_type,
     case when answered then 95 else 0 end as confidence_language, case when answered then author_score else 0 end as confidence_author,
     coalesce(batch_error, case when not answered then {q(R.MISSING_ITEM)} end) as ai_error from answers)"""]
-SCORE_TEXT = "scoring as (select page_id, concat_ws(' ', url, substr(title, 1, 200), substr(meta_description, 1, 300), substr(body_text, 1, 2500)) as text from facts)"
+SCORE_TEXT = "scoring as (select page_id, concat_ws(' ', url, title, meta_description, full_text) as text from facts)"
 _NAMES = " ".join(f"when {q(c)} then {q(f'{n} ({c})')}" for c, n in L.LANGUAGE_NAMES)
 
 

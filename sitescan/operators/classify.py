@@ -157,14 +157,12 @@ def read_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def classify_sites(facts: DataFrame, site_types=SITE_TYPE_WORDS, niches=NICHE_WORDS) -> DataFrame:
-    """Adds a classification to every row, scored by word lists. No shuffle.
+    """Adds a classification to every row, scored by word lists over whole texts. No shuffle.
 
     niche, site_type, class_language, class_author, confidence, ai_error.
     """
-    text = F.concat_ws(
-        " ", "url", F.substring("title", 1, 200), F.substring("meta_description", 1, 300),
-        F.substring("body_text", 1, 2500),
-    )
+    body = "full_text" if "full_text" in facts.columns else "body_text"
+    text = F.concat_ws(" ", "url", "title", "meta_description", body)
     source = F.col("author_source")
     certainty = F.coalesce(*(F.when(source == s, F.lit(c)) for s, c in AUTHOR_CONFIDENCE), F.lit(0))
 

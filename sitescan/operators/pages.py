@@ -13,6 +13,8 @@ from ..lookups import BOILERPLATE_TAGS
 from .emails import ranked_emails
 
 BODY_LIMIT = 3000
+# A limit that cuts nothing.
+WHOLE = (1 << 31) - 1
 
 
 def with_nodes(pages: DataFrame, attrs=USED_ATTRS, cut_tags=BOILERPLATE_TAGS) -> DataFrame:
@@ -87,7 +89,8 @@ def enrich_pages(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
     """Title, description, body, CMS and language next to the page's other columns.
 
     Pages without HTML pass through with NULL facts; so do unreadable ones,
-    with the reason in `parse_error`. `html` and `nodes` stay for later steps
+    with the reason in `parse_error`. The language is that of the whole text (`full_text`); `body_text`
+    is its first `body_limit` characters. `html` and `nodes` stay for later steps
     and are pruned when nobody asks for them.
     """
     nodes = F.col("nodes")
@@ -95,10 +98,11 @@ def enrich_pages(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
         with_nodes(pages)
         .withColumn("title", H.page_title(nodes))
         .withColumn("meta_description", H.page_description(nodes))
-        .withColumn("body_text", H.page_body(nodes, body_limit))
+        .withColumn("full_text", H.page_body(nodes, WHOLE))
+        .withColumn("body_text", F.substring("full_text", 1, body_limit))
         .withColumn("cms", F.when(nodes.isNotNull(), H.cms_name(F.col("html"))))
     )
-    return facts.withColumn("_language", language_guess(F.col("body_text"))).withColumn(
+    return facts.withColumn("_language", language_guess(F.col("full_text"))).withColumn(
         "detected_language", F.col("_language.label")
     ).withColumn("language_confidence", F.col("_language.confidence")).drop("_language")
 

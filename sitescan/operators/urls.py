@@ -40,9 +40,9 @@ def url_merge(urls: DataFrame, discovered: DataFrame) -> DataFrame:
     One aggregate over both lists: a URL keeps its place in the first list if
     it has one. Repeats are merged before the shuffle, so no URL can be hot.
     """
-    listed = urls.select("url", F.struct(F.lit(0).alias("side"), "pos").alias("at"))
-    found = discovered.select("url", F.struct(F.lit(1).alias("side"), "pos").alias("at"))
-    merged = listed.unionByName(found).groupBy("url").agg(F.min("at").alias("at"))
+    none = F.lit(None).cast("bigint")
+    listed = urls.select("url", F.col("pos").cast("bigint").alias("listed"), none.alias("found"))
+    found = discovered.select("url", none.alias("listed"), F.col("pos").cast("bigint").alias("found"))
+    merged = listed.unionByName(found).groupBy("url").agg(F.min("listed").alias("listed"), F.min("found").alias("found"))
     shift = urls.agg(F.coalesce(F.max("pos"), F.lit(-1)) + 1).scalar()
-    pos = F.when(F.col("at.side") == 0, F.col("at.pos")).otherwise(F.col("at.pos") + shift)
-    return merged.select("url", pos.alias("pos"))
+    return merged.select("url", F.coalesce(F.col("listed"), F.col("found") + shift).alias("pos"))

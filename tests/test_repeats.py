@@ -2,6 +2,7 @@
 
 import pytest
 
+from sitescan.operators.pages import page_facts
 from sitescan.operators import classify, crawl_log
 from sitescan.plans.profile import profile_sites
 from sitescan.sources.tables import write_run
@@ -56,3 +57,10 @@ def test_waits_add_up(spark, kind):
     for r in sorted(got, key=lambda r: (r["url"], r["attempt"])):
         by_url[r["url"]] = by_url.get(r["url"], 0) + r["wait_s"]
         assert r["total_wait_s"] == by_url[r["url"]]
+
+
+def test_words_late_in_a_long_page_count(spark):
+    html = f"<html><body><article>{'plain text of the page ' * 200}<p>casino poker betting</p></article></body></html>"
+    pages = spark.createDataFrame([("http://a.com", html)], "url string, html string")
+    row = classify.classify_sites(page_facts(pages)).first()
+    assert row["niche"] == "Online Gambling" and len(row["body_text"]) == 3000
