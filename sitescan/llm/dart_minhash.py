@@ -61,12 +61,13 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, ends: np.ndarray,
     """[documents, k]: the earliest dart of each coordinate; EMPTY throughout for a document without elements.
 
     An element that a document lists twice counts like its larger weight. Documents that leave a
-    coordinate empty are thrown at again with twice the darts; ranks found before stay the same.
+    coordinate empty are thrown at again with twice the darts, up to rank FARTHEST; ranks found before stay the same.
     """
     n = len(ends) - 1
     t = k * (np.log(k) + 3) if t is None else t
     out = np.full(n * k, EMPTY, np.uint64)
-    owner = np.repeat(np.arange(n), np.diff(ends))
+    elements, weights, owner = _distinct(elements, weights, np.repeat(np.arange(n), np.diff(ends)))
+    ends = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))])
     totals = np.bincount(owner, weights, n)
     reach = np.minimum(t / np.maximum(totals, 1e-9), FARTHEST)
     low, strip = 0.0, 0
@@ -75,14 +76,23 @@ def dart_signatures(elements: np.ndarray, weights: np.ndarray, ends: np.ndarray,
         _throw(out, elements, weights, owner, rows, reach, k, strip, low, high)
         low, strip = high, strip + 1
     out = out.reshape(n, k)
-    again = np.flatnonzero((totals > 0) & (out == EMPTY).any(axis=1))
-    if len(again) and t < 64 * k * (np.log(k) + 3):
+    again = np.flatnonzero((totals > 0) & (reach < FARTHEST) & (out == EMPTY).any(axis=1))
+    if len(again):
         own = spread_out(ends[again], np.diff(ends)[again])
         own_ends = np.concatenate([[0], np.cumsum(np.diff(ends)[again])])
         out[again] = dart_signatures(elements[own], weights[own], own_ends, k, 2 * t)
     return out
 
 
+def _distinct(elements: np.ndarray, weights: np.ndarray, owner: np.ndarray):
+    """Each document's elements once, with the largest of their weights: (elements, weights, owner)."""
+    order = np.lexsort((weights, elements, owner))
+    elements, weights, owner = elements[order], weights[order], owner[order]
+    last = np.ones(len(order), bool)
+    last[:-1] = (elements[1:] != elements[:-1]) | (owner[1:] != owner[:-1])
+    return elements[last], weights[last], owner[last]
+
+
 def _throw(out, elements, weights, owner, rows, reach, k, strip, low, high):
     """Throw into one strip of weights, `low` to `high`: one dart after the other, by rank, at all elements at once."""
     seed = _mixed(elements[rows], np.array([strip + 1], np.uint64))

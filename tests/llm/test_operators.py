@@ -122,6 +122,23 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((found[0] == found[1]).mean() - weights.sum() / other.sum()) < 0.04
 
 
+def test_repeats_do_not_empty_signatures():
+    shingles = np.random.default_rng(3).integers(0, 2**62, 100).astype(np.uint64)
+    every = np.concatenate([np.tile(shingles, 5000), np.tile(shingles, 2), np.repeat(shingles[:1], 5000), shingles[:1]])
+    ends = np.cumsum([0, 500_000, 200, 5000, 1])
+    found = dart_minhash.dart_signatures(every, np.ones(len(every)), ends)
+    assert (found != dart_minhash.EMPTY).all()
+    assert (found[0] == found[1]).all() and (found[2] == found[3]).all()
+
+
+def test_repetitive_texts_are_near_duplicates(spark):
+    passage = " ".join(f"w{i}" for i in range(100)) + " "
+    texts = [passage * 5000, passage * 2, "same " * 6000, "same " * 9, *prose(3, 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(docs).select("doc_id", "class_id").collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 5, 6: 6}
+
+
 def classes(texts):
     import regex
 
