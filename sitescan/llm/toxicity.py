@@ -2,7 +2,7 @@
 
 Labels are per document. They give labelled tokens first: a word of a toxic document is tagged if
 the word, or the longest beginning of it seen often enough, is significantly more frequent
-in toxic documents than in others. On a bounded sample of these tokens the field is fitted: two
+in toxic documents than in others. On a bounded sample of these tokens, from anywhere in texts of any length, the field is fitted: two
 states, a weight per hashed word feature, and the weights of the transitions. Forward-backward marginals then give each word a probability, whole
 texts give a document's score, and words above one half give the offending offsets.
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _hashes, _mixed
-from .shared import Plain, Words, slices
+from .shared import Plain, Words, scratch, slices, spread_out, written
 
 CHAIN = 64
 FEATURES = 1 << 16
@@ -155,10 +155,11 @@ def document_scores(field: Field, p: np.ndarray, ends: np.ndarray) -> np.ndarray
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, most: int, id_col, text_col, label_col) -> DataFrame:
-    """(id, text, toxic): of each class, at most `most` labelled documents, by hash of their id."""
+    """(id, text, toxic): of each class, at most `most` labelled documents that `docs` holds, by hash of their id."""
     chosen = None
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1))
     marks = marks.groupBy(F.col(id_col).alias("_lid")).agg(F.max(label_col).cast("int").alias("toxic"))
+    marks = marks.join(docs.select(F.col(id_col).alias("_id")), F.col("_lid") == F.col("_id"), "left_semi")
     for value in (0, 1):
         part = marks.where(F.col("toxic") == value).orderBy(F.xxhash64("_lid"), "_lid").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
@@ -194,19 +195,32 @@ def marked_words(texts: list[str], toxic: list[int], enough: int = 6, odds: floa
 
     A word is judged by itself if `enough` texts hold it, else by its longest beginning that `enough`
     hold. It marks if it is `odds` times as frequent among toxic texts as among others, with a
-    log-likelihood ratio of `significant` or more. Near copies of a text count once.
+    log-likelihood ratio of `significant` or more, and `odds` times as frequent among their chains, since longer
+    texts hold more of all words. Near copies of a text count once.
     """
     lists = [find_words(t) for t in texts]
-    met, total = ([], []), [0, 0]
+    vocabulary = {w: i for i, w in enumerate(sorted({w for x in lists for w in x}))}
+    rows = [features(w)[:-1] for w in vocabulary]
+    sizes = np.array([len(r) for r in rows], np.int64)
+    starts, named = np.cumsum(sizes) - sizes, _hashes([f for r in rows for f in r])
+    del rows
+    met, total, met_chains, chains = ([], []), [0, 0], ([], []), [0, 0]
     for i in without_copies(lists):
         y = int(toxic[i])
+        codes = np.array([vocabulary[w] for w in lists[i]], np.int64)
+        parts = [np.unique(codes[j : j + CHAIN]) for j in range(0, len(codes), CHAIN)]
+        parts = [np.unique(named[spread_out(starts[u], sizes[u])]) for u in parts]
         total[y] += 1
-        met[y].append(np.unique(_hashes([f for w in set(lists[i]) for f in features(w)[:-1]])))
-    if not all(total):
+        chains[y] += len(parts)
+        met[y].append(np.unique(np.concatenate([named[:0], *parts])))
+        met_chains[y].extend(parts)
+    if not all(chains):
         return set()
     counts = [np.unique(np.concatenate(x), return_counts=True) for x in met]
+    chain_counts = [np.unique(np.concatenate(x), return_counts=True) for x in met_chains]
+    del met, met_chains
 
-    def held(y, hashes):
+    def held(counts, y, hashes):
         names, n = counts[y]
         at = np.minimum(np.searchsorted(names, hashes), len(names) - 1)
         return np.where(names[at] == hashes, n[at], 0) if len(names) else np.zeros(len(hashes), int)
@@ -218,31 +232,31 @@ def marked_words(texts: list[str], toxic: list[int], enough: int = 6, odds: floa
         tried = [[w, *reversed(features(w)[1:-1])] for w in some]
         hashes = _hashes([f for x in tried for f in x])
         owner = np.repeat(np.arange(len(some)), [len(x) for x in tried])
-        a, b = held(1, hashes), held(0, hashes)
+        a, b = held(counts, 1, hashes), held(counts, 0, hashes)
         usual = np.flatnonzero(a + b >= enough)
         _, first = np.unique(owner[usual], return_index=True)
         judged = usual[first]  # of each word, the longest that enough texts hold
         a, b = a[judged].astype(float), b[judged].astype(float)
+        a_chains, b_chains = held(chain_counts, 1, hashes[judged]), held(chain_counts, 0, hashes[judged])
         share = (a + b) / sum(total)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(a > 0, a * np.log(a / (share * total[1])), 0) + np.where(b > 0, b * np.log(b / (share * total[0])), 0))
         marks = ((a + 0.5) / total[1] >= odds * (b + 0.5) / total[0]) & (ratio >= significant)
+        marks &= (a_chains + 0.5) / chains[1] >= odds * (b_chains + 0.5) / chains[0]
         out |= {some[i] for i in owner[judged[marks]]}
     return out
 
 
-def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int = 40, most_chains: int = 6000, seed: int = 1) -> Field:
-    """A field from (text, toxic) rows; `share` of all labelled texts are toxic (if None, as in the rows).
+def fit(sample: list[tuple[str, int]], epochs: int = 40, most_chains: int = 6000, seed: int = 1) -> Field:
+    """A field from (text, toxic) rows, without the document's logistic (see `fit_documents`).
 
-    Without toxic or without other texts, every score is near 0.
+    Without toxic or without other texts, no word has a weight and every score is near 0.
     """
     weights, bias, stay = np.zeros(FEATURES), -4.0, np.log(np.array([[0.95, 0.05], [0.9, 0.1]]))
     texts, toxic = [t for t, _ in sample], [y for _, y in sample]
     marks = marked_words(texts, toxic)
-    field = Field(weights, bias, stay, np.array([-4.0, 0.5, 1.0]))
     if not marks:
-        field.document = np.array([-6.0, 0.0, 0.0])
-        return field
+        return Field(weights, bias, stay, np.array([-6.0, 0.0, 0.0]))
     words = Words(find_words)
     codes, ends = words.codes(pa.array(texts, pa.string()))
     vocabulary = list(words.index)
@@ -279,12 +293,40 @@ def fit(sample: list[tuple[str, int]], share: float | None = None, epochs: int =
         weights += 0.5 * grad / np.sqrt(g_weights + 1e-8)
         bias += 0.5 * grad_bias / np.sqrt(g_bias)
         stay = stay + 0.2 * grad_stay / np.sqrt(g_stay)
-    field = Field(weights, float(bias), stay, np.zeros(3))
-    parts = [word_probabilities(field, pa.array(texts[i : i + 200], pa.string())) for i in range(0, len(texts), 200)]
-    x, y = np.concatenate([document_features(p, ends) for p, ends in parts]), np.array(toxic, float)
-    share = y.mean() if share is None else share
-    field.document = logistic(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
-    return field
+    return Field(weights, float(bias), stay, np.zeros(3))
+
+
+def fit_documents(field: Field, x: np.ndarray, y: np.ndarray, share: float) -> None:
+    """Fit the document's logistic to `document_features` of whole texts; `share` of all labelled texts are toxic."""
+    if field.weights.any() and 0 < y.mean() < 1:
+        field.document = logistic(x, y, np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean())))
+
+
+def level(lengths: list[int], budget: int) -> int:
+    """The most characters each text may give, so that all together give `budget` at most."""
+    left, rest = budget, len(lengths)
+    for n in sorted(lengths):
+        if n * rest > left:
+            return left // rest
+        left, rest = left - n, rest - 1
+    return max(lengths, default=0)
+
+
+def excerpt(text: str, most: int, seed: int) -> str:
+    """`text`, or if it is longer than `most` characters, chains from anywhere in it, in their order."""
+    if len(text) <= most:
+        return text
+    starts = [m.start() for i, m in enumerate(WORD.finditer(text)) if i % CHAIN == 0]
+    sizes = np.diff([*starts, len(text)])
+    order = np.random.default_rng(seed % 2**32).permutation(len(starts))
+    chosen, left = [], most
+    for i in order.tolist():
+        if sizes[i] < left:
+            chosen.append(i)
+            left -= int(sizes[i]) + 1
+    if not chosen and starts:  # every chain is longer than that
+        return text[starts[order[0]] :][:most]
+    return "\n".join(text[starts[i] : starts[i] + sizes[i]] for i in sorted(chosen))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, of_row: np.ndarray, ridge: float = 0.1, steps: int = 30) -> np.ndarray:
@@ -297,34 +339,44 @@ def logistic(x: np.ndarray, y: np.ndarray, of_row: np.ndarray, ridge: float = 0.
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id", text_col="text", label_col="toxic", most_chars: int = 4_000_000, longest: int = 4000) -> Field:
-    """Fit on a sample of `labels`: at most `most` documents of each class, and `most_chars` characters in all.
+def train(docs: DataFrame, labels: DataFrame, most: int = 2000, id_col="doc_id", text_col="text", label_col="toxic", most_chars: int = 4_000_000) -> Field:
+    """Fit on a sample of `labels`: at most `most` documents of each class, whatever their length.
 
-    One task fits the field. Only the sample's choice is bounded; no text is cut. Documents of more than `longest` characters are
-    not sampled, so that the sample has many; those beyond the number of characters in all are left out
-    in the order of their ids' hash.
+    One task fits the words' weights, on `most_chars` characters at most: half of them for each class, or more
+    if the other needs less. If a class has more, its longest texts give chains from anywhere in them. The
+    document's logistic is fitted to whole texts.
     """
-    short = docs.where(F.length(text_col) <= longest)
-    sample = labelled_sample(short, labels, most, id_col, text_col, label_col)
-    lengths = sample.select("id", F.length("text").alias("n"), F.xxhash64("id").alias("h")).collect()
-    kept, chars = [], 0
-    for row in sorted(lengths, key=lambda r: (r["h"], r["id"])):
-        if chars + row["n"] <= most_chars:
-            kept.append(row["id"])
-            chars += row["n"]
-    ids = docs.sparkSession.createDataFrame([(i,) for i in kept], "_kept bigint")
-    rows = sample.join(F.broadcast(ids.distinct()), F.col("id") == F.col("_kept")).select("id", "text", "toxic")
+    sample = labelled_sample(docs, labels, most, id_col, text_col, label_col)
+    sample = written(sample, scratch(docs.sparkSession, "labelled"))
+    lengths = {0: [], 1: []}
+    for row in sample.select("toxic", F.length("text").alias("n")).collect():
+        lengths[row["toxic"]].append(row["n"])
+    levels = {y: level(lengths[y], max(most_chars // 2, most_chars - sum(lengths[1 - y]))) for y in (0, 1)}
     marks = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1)).agg(F.avg(label_col).alias("share")).first()
-    share = marks["share"]
+
+    def excerpts(texts: pa.Array, toxic: pa.Array, seeds: pa.Array) -> pa.Array:
+        found = zip(texts, toxic.to_pylist(), seeds.to_pylist())
+        return pa.array([excerpt(text.as_py(), levels[y], seed) for text, y, seed in found], pa.string())
 
     def fitted(batches):
         found = sorted((r["id"], r["text"], r["toxic"]) for batch in batches for r in batch.to_pylist())
-        field = fit([(text, toxic) for _, text, toxic in found], share)
+        field = fit([(text, toxic) for _, text, toxic in found])
         yield pa.record_batch([pa.array([pickle.dumps(field)])], ["field"])
 
-    # The sample is bounded, so one task holds it; the driver only gets the field.
-    field = rows.repartition(1).mapInArrow(fitted, "field binary").first()
-    return pickle.loads(field["field"]) if field else fit([], share)
+    rows = sample.select("id", F.arrow_udf(excerpts, "string")("text", "toxic", F.xxhash64("id")).alias("text"), "toxic")
+    # The excerpts are bounded, so one task holds them; the driver only gets the field.
+    found = rows.repartition(1).mapInArrow(fitted, "field binary").first()
+    field = pickle.loads(found["field"]) if found else fit([])
+    if field.weights.any():
+        def whole(texts: pa.Array) -> pa.Array:
+            parts = slices(pa.record_batch([texts], ["text"]), "text", 2 << 20)
+            x = [document_features(*word_probabilities(field, part.column(0))) for part in parts]
+            return pa.array(np.concatenate([np.zeros((0, 3)), *x]).tolist(), pa.list_(pa.float64()))
+
+        read = sample.select("id", "toxic", F.arrow_udf(whole, "array<double>")("text").alias("x")).collect()
+        read = sorted((r["id"], r["toxic"], r["x"]) for r in read)
+        fit_documents(field, np.array([x for _, _, x in read]), np.array([y for _, y, _ in read], float), marks["share"])
+    return field
 
 
 def score_documents(docs: DataFrame, field: Field, id_col="doc_id", text_col="text", threshold: float = 0.3) -> DataFrame:

@@ -232,6 +232,41 @@ def test_toxicity_finds_unseen_texts_and_their_words(spark, dirty):
     assert toxicity.score_documents(docs, empty).where("toxicity.predicted = 1").count() == 0
 
 
+def long_and_toxic():
+    """(docs, toxic): toxic texts of more than 4,000 characters with three bad words each, others long and short."""
+    rng = np.random.default_rng(9)
+    texts = [*prose(120, 41, 1000), *prose(60, 42, 1000), *prose(220, 43, 60)]
+    for i in range(120):
+        words = texts[i].split()
+        for at in rng.choice(1000, 3, replace=False):
+            words[at] = str(rng.choice(["vile", "scumm"])) + str(rng.choice(["", "ra", "st"]))
+        texts[i] = " ".join(words)
+    assert min(map(len, texts[:120])) > 4000
+    return texts, [int(i < 120) for i in range(400)]
+
+
+@pytest.mark.parametrize("most_chars", [4_000_000, 400_000])
+def test_toxicity_of_long_texts(spark, most_chars):
+    texts, toxic = long_and_toxic()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(4)
+    learned = [(i, y) for i, y in enumerate(toxic) if i % 4] + [(10_000 + i, 1) for i in range(3000)]
+    field = toxicity.train(docs, spark.createDataFrame(learned, "doc_id bigint, toxic int"), most_chars=most_chars)
+    got = toxicity.score_documents(docs, field).where("doc_id % 4 = 0").collect()
+    assert [r["doc_id"] for r in got if r["toxicity"]["predicted"] != toxic[r["doc_id"]]] == []
+    for r in got:
+        for span in r["toxicity"]["spans"]:
+            assert any(w in r["text"][span["start"] : span["end"]] for w in ("vile", "scumm"))
+
+
+def test_excerpts_come_from_anywhere_and_keep_the_budget():
+    text = " ".join(f"w{i}" for i in range(10_000))
+    cut = toxicity.excerpt(text, 3000, 5)
+    places = [int(w[1:]) for w in cut.split()]
+    assert 2000 < len(cut) <= 3000 and places == sorted(places) and places[-1] - places[0] > 3000
+    assert toxicity.excerpt(text, len(text), 5) == text and len(toxicity.excerpt("x" * 9000, 100, 1)) == 100
+    assert toxicity.level([10, 10, 1000], 120) == 100 and toxicity.level([10, 20], 100) == 20 and toxicity.level([], 9) == 0
+
+
 # 5
 
 
