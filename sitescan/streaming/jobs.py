@@ -55,12 +55,12 @@ def stream_attempt_resolve(attempts: DataFrame, delay: str = "10 minutes",
     """One status per URL, as soon as it is settled.
 
     Settled by a final attempt, by the last allowed failure, or by `timeout_s`
-    of event time without news. A settled URL is remembered for `keep_s`, and
-    attempts that come later are ignored.
+    of event time without news. Only then attempts beyond the allowed ones
+    decide, where a URL has no others. A settled URL is remembered for `keep_s`,
+    and attempts that come later are ignored.
     """
     judged = (
         attempt_outcome(attempts)
-        .where(F.col("attempt") <= max_attempts)
         .select("url", "attempt", "outcome", "terminal", "error", F.col("ts").cast("timestamp").alias("ts"))
     )
     settled = (

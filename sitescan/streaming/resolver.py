@@ -11,6 +11,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 OUTPUT_TYPE = "url string, attempt int, outcome string, terminal boolean, error string"
 _PENDING = "failures int, attempt int, outcome string, error string"
+_BEYOND = "attempt int, outcome string, terminal boolean, error string"
 
 
 def resolver(max_attempts: int, timeout_s: int, keep_s: int) -> StatefulProcessor:
@@ -20,17 +21,19 @@ def resolver(max_attempts: int, timeout_s: int, keep_s: int) -> StatefulProcesso
 class AttemptResolver(StatefulProcessor):
     """Keeps one small record per open URL, and a mark per settled one.
 
-    `failures` is a bit set of the attempt numbers seen. Timers end both kinds
-    of state, so it is bounded by the traffic of the two time spans.
+    `failures` is a bit set of the attempt numbers seen. Attempts beyond the
+    allowed ones decide only if time runs out and a URL has no others. Timers end
+    all kinds of state, so it is bounded by the traffic of the two time spans.
     """
 
     def __init__(self, max_attempts, timeout_ms, keep_ms):
-        self.all_failed = (1 << max_attempts) - 1
+        self.max_attempts, self.all_failed = max_attempts, (1 << max_attempts) - 1
         self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.pending = handle.getValueState("pending", _PENDING)
+        self.beyond = handle.getValueState("beyond", _BEYOND)
         self.settled = handle.getValueState("settled", "done boolean")
 
     def _set_timer(self, at_ms):
@@ -40,6 +43,7 @@ class AttemptResolver(StatefulProcessor):
 
     def _settle(self, key, now_ms, attempt, outcome, terminal, error):
         self.pending.clear()
+        self.beyond.clear()
         self.settled.update((True,))
         self._set_timer(now_ms + self.keep_ms)
         yield pd.DataFrame(
@@ -60,6 +64,9 @@ class AttemptResolver(StatefulProcessor):
         newest = 0
         for batch in rows:
             newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
+            allowed = batch["attempt"] <= self.max_attempts
+            self._note_beyond(batch[~allowed])
+            batch = batch[allowed]
             ends = batch[batch["terminal"]]
             if len(ends):
                 row = ends.loc[ends["attempt"].idxmin()]
@@ -79,14 +86,28 @@ class AttemptResolver(StatefulProcessor):
         elif failures == self.all_failed:
             yield from self._settle(key, newest, last[0], last[1], False, last[2])
         else:
-            self.pending.update((failures, *last))
+            if failures:
+                self.pending.update((failures, *last))
             self._set_timer(newest + self.timeout_ms)
 
+    def _note_beyond(self, rows):
+        """Keep the row that decides among those beyond the allowed: the first final one, else the last."""
+        found = [tuple(self.beyond.get())] if self.beyond.exists() else []
+        found += [
+            (int(r.attempt), r.outcome, bool(r.terminal), r.error)
+            for r in rows[["attempt", "outcome", "terminal", "error"]].itertuples(index=False)
+        ]
+        if len(rows):
+            self.beyond.update(min(found, key=lambda r: (not r[2], r[0] if r[2] else -r[0])))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
         if self.pending.exists():
             _, attempt, outcome, error = self.pending.get()
             now_ms = expiredTimerInfo.getExpiryTimeInMs()
             yield from self._settle(key, now_ms, attempt, outcome, False, error)
+        elif self.beyond.exists():
+            now_ms = expiredTimerInfo.getExpiryTimeInMs()
+            yield from self._settle(key, now_ms, *self.beyond.get())
         else:
             self.settled.clear()
 

@@ -94,6 +94,27 @@ def test_silence_ends_a_url(spark, rows, tmp_path):
     assert ("u", 1, "TIMEOUT", "Request timed out") in resolved(feed.run())
 
 
+def test_attempts_beyond_the_allowed_decide_where_there_are_no_others(spark, rows, tmp_path):
+    log = ALL + [
+        ("only4", 4, 200, None, 4), ("fails4", 4, 500, None, 4), ("fails4", 5, None, "timeout", 5),
+        ("ends5", 4, 500, None, 4), ("ends5", 6, 404, None, 6), ("ends5", 5, 200, None, 5),
+        ("both", 4, 200, None, 4), ("both", 1, None, "timeout", 5),
+    ]
+    want = resolved(crawl_log.attempt_resolve(attempts(rows, *log)))
+    for name, parts in (("one", [log]), ("two", [[a for a in log if a[4] <= 4], [a for a in log if a[4] > 4]])):
+        run = lambda s: jobs.stream_attempt_resolve(s, timeout_s=3600)
+        feed = Feed(spark, tmp_path / name, ATTEMPTS, run)
+        for part in parts:
+            feed.put(attempts(rows, *part))
+            feed.run()
+        # Later news flushes what is open.
+        feed.put(attempts(rows, ("flush1", 1, 200, None, 300)))
+        feed.run()
+        feed.put(attempts(rows, ("flush2", 1, 200, None, 301)))
+        got = feed.run().where("url not like 'flush%'")
+        assert resolved(got) == want
+
+
 def test_progress_equals_batch_on_closed_windows(spark, rows, tmp_path):
     schema = "status string, ts timestamp"
     values = [(("OK", "FAILED")[i % 2], T0 + timedelta(minutes=7 * i)) for i in range(40)]
