@@ -121,7 +121,7 @@ def search_results_explode(spark, links):
         .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("href").alias("link")))).alias("found"))
         .select("query_id", "page", F.to_json(F.struct(F.col("found").alias("organic_results"))).alias("json"))
     )
-    return discovery.search_results_explode(archive, 2 * N)
+    return discovery.search_results_explode(archive, 2 * N, every_page=True)
 
 
 @query

@@ -159,16 +159,17 @@ def origin_dedupe(links: DataFrame, keys=(), rank: str = "rank") -> DataFrame:
 
 
 def search_results_explode(pages: DataFrame, n: int, field: str = "organic_results",
-                           max_pages: int | None = None) -> DataFrame:
+                           every_page: bool = False) -> DataFrame:
     """Archived result pages to ranked links, first `n` per query.
 
     pages(query_id, page, json). A page that cannot be read ends its query, as
-    does the page on which `n` links are reached.
+    does the page on which `n` links are reached. Without `every_page`, only the
+    pages count that a live search for `n` links asks for, ten links a page.
     """
-    wanted = n // 10 + 1 if max_pages is None else min(n // 10 + 1, max_pages)
     schema = f"{field} array<struct<link:string>>"
+    wanted = F.lit(True) if every_page else F.col("page") < n // 10 + 1
     read = (
-        pages.where(F.col("page") < wanted)
+        pages.where(wanted)
         .withColumn("ok", F.try_parse_json("json").isNotNull())
         .withColumn("links", F.from_json("json", schema)[field])
     )
@@ -202,15 +203,14 @@ def discover(source: DataFrame, n: int = 50, provider: str = "duckduckgo",
             raise ValueError("a crawl index is searched by patterns: pass queries")
         raw = index_first_hit(index_pattern_scan(source, query_patterns(queries), raw_n), raw_n)
     elif kind == "links":
-        # The provider is asked for three times as many links, the noise is dropped, then cut.
-        asked = source.where(F.col("rank") <= 3 * raw_n).where(strip(F.col("href")) != "")
+        # All archived links count: the noise is dropped, then cut.
+        asked = source.where(strip(F.col("href")) != "")
         clean = noise_domain_filter(asked).select(
             "query_id", F.col("rank").alias("found_rank"), F.col("href").alias("url")
         )
         raw = top_per_key(clean, ["query_id"], ["found_rank", "url"], raw_n)
     else:
-        pages = 10 if kind == "items" else None
-        raw = search_results_explode(source, raw_n, kind, pages)
+        raw = search_results_explode(source, raw_n, kind, every_page=True)
     origins = origin_dedupe(raw, ["query_id"])
     return top_per_key(
         origins.withColumnRenamed("rank", "first_rank"), ["query_id"], ["first_rank"], n

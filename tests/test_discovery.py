@@ -85,6 +85,19 @@ def test_search_results(rows):
     assert discovery.search_results_explode(archive, 3).where("query_id = 1").count() == 2
 
 
+def test_all_archived_pages_and_ranks_count(rows):
+    short = [(1, p, page(f"https://s{p}.a/", None, f"https://t{p}.a/")) for p in range(15)]
+    archive = rows("query_id int, page int, json string", *short)
+    out = discovery.search_results_explode(archive, 30, every_page=True).orderBy("rank").collect()
+    assert [r.url for r in out] == [f"https://{x}{p}.a/" for p in range(15) for x in "st"]
+    items = rows("query_id int, page int, json string", *[(q, p, j.replace("organic_results", "items")) for q, p, j in short])
+    for provider, table in (("serpapi", archive), ("cse", items)):
+        assert discovery.discover(table, 28, provider).count() == 28
+    noisy = [(1, i, "https://x.com/%d" % i) for i in range(1, 200)] + [(1, 200 + i, f"https://u{i}.b/") for i in range(5)]
+    links = rows("query_id int, rank int, href string", *noisy)
+    assert [r.url for r in discovery.discover(links, 5, "ddg").orderBy("rank").collect()] == [f"https://u{i}.b" for i in range(5)]
+
+
 def test_discover_providers(rows):
     archive = rows("query_id int, page int, json string", (1, 0, page("https://a.b/1", "https://a.b/2", "https://c.d/", "x", field="items")))
     for name in ("cse", " Google_CSE "):
