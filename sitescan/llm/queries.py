@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, dart_minhash, decontaminate, exact_topk, licenses, quality, token_counts, token_files, toxicity
+from . import (
+    byte_bpe, chat_format, dart_minhash, decontaminate, exact_topk, licenses, merkle, quality, secrets, token_counts, token_files, toxicity, whitening,
+)
 from .shared import scratch, written
 
 QUERIES = {}
@@ -111,3 +113,34 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.decode_documents(encoded, path).select(
         F.col("doc").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
     )
+
+
+@query
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op12_merkle(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+
+    def content(n_chars):
+        return merkle.netstrings(F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))
+
+    n_chars = F.col("n_chars").cast("decimal(20,0)")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return merkle.manifest(docs, content(n_chars), content(F.when(tampered, n_chars + 1).otherwise(n_chars)))
+
+
+@query
+def op13_secrets(spark, sf_dir):
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def counted(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint")
+
+    return found.select(
+        "doc_id", *(counted(i).alias(f"n_{kind}") for i, kind in enumerate(secrets.BASE)),
+        F.sha2(secrets.listed(F.col("base")), 256).alias("base_sha256"),
+        secrets.listed(F.array_sort(F.concat("base", "random"))).alias("spans"),
+    )

@@ -13,7 +13,7 @@ TABLES = ("conversations", "benchmark", "labels", "documents", "embeddings")
 def test_one_query_for_each_operator():
     import __spark_entry__
 
-    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 
