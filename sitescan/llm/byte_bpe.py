@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from .shared import Words, scratch, slices, spread_out, written
 from .token_files import binaries, flat
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 20 << 20
+# Words whose ids a bucket keeps at hand, twice at most.
+KNOWN = 300_000
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _BLOCKS = "kind int, block bigint, docs array<bigint>, sizes binary, spots binary, bucket int, at binary, words binary"
 
@@ -52,15 +54,28 @@ def unpacked(data: bytes) -> bytes:
     return pa.Codec("zstd").decompress(data[8:], size, asbytes=True) if size else b""
 
 
-def planes(numbers: np.ndarray) -> bytes:
+def planes(numbers: np.ndarray, level: int = 3) -> bytes:
     """32-bit numbers, all lowest bytes first: the higher bytes are mostly zero and compress well."""
-    return packed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return packed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), level)
 
 
 def from_planes(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(unpacked(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
+def tiers(numbers: np.ndarray) -> bytes:
+    """Numbers most of which are small: a byte each, 255 standing for those that follow in planes."""
+    small = packed(np.minimum(numbers, 255).astype(np.uint8).tobytes(), 9)
+    return len(small).to_bytes(8, "little") + small + planes(numbers[numbers >= 255] - 255, 9)
+
+
+def from_tiers(data: bytes) -> np.ndarray:
+    cut = 8 + int.from_bytes(data[:8], "little")
+    numbers = np.frombuffer(unpacked(data[8:cut]), np.uint8).astype(np.uint32)
+    numbers[numbers == 255] += from_planes(data[cut:])
+    return numbers
+
+
 def steps(numbers: np.ndarray) -> bytes:
     """Ascending numbers as their differences."""
     return planes(np.diff(numbers.astype(np.int64), prepend=0))
@@ -108,7 +123,7 @@ class Block:
         place = np.empty(len(order), np.uint32)
         place[order] = np.arange(len(order))
         sizes = np.concatenate(self.sizes)
-        yield {"kind": 0, "block": number, "docs": self.docs, "sizes": sizes.astype("<i8").tobytes(), "spots": planes(place[spots])}
+        yield {"kind": 0, "block": number, "docs": self.docs, "sizes": sizes.astype("<i8").tobytes(), "spots": tiers(place[spots])}
         words = np.array(names, object)[order]
         bucket = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) % buckets
         by_bucket = np.argsort(bucket, kind="stable")
@@ -145,20 +160,29 @@ def to_blocks(docs: DataFrame, buckets: int, pattern: str) -> DataFrame:
 
 
 def encode_words(words: DataFrame, path: str, pattern: str) -> DataFrame:
-    """(block, at, sizes, ids) for rows of (block, bucket, at, words); a bucket's rows lie in one partition."""
+    """(block, at, sizes, ids) for rows of (block, bucket, at, words); a bucket's rows lie in one partition.
+
+    A bucket with more distinct words than `KNOWN` forgets those that no block has used for longest, and
+    encodes them again if one does, so its memory does not grow with the corpus.
+    """
     width = "<u2" if max(ranks_of(path).values()) < 1 << 16 else "<u4"
 
     def run(batches):
         encode = encoder(path, pattern).encode_ordinary
-        known = {}
+        known, before = {}, {}
         for batch in batches:
             for row in batch.to_pylist():
                 ids = []
                 for w in from_word_list(row["words"]):
                     got = known.get(w)
                     if got is None:
-                        got = known[w] = np.array(encode(w), width).tobytes()
+                        got = before.get(w)
+                        if got is None:
+                            got = np.array(encode(w), width).tobytes()
+                        known[w] = got
                     ids.append(got)
+                if len(known) > KNOWN:
+                    known, before = {}, known
                 size = np.fromiter(map(len, ids), np.uint32, len(ids)) // np.dtype(width).itemsize
                 out = {"block": [row["block"]], "at": [row["at"]], "sizes": [planes(size)], "ids": [packed(b"".join(ids), 9)]}
                 yield pa.RecordBatch.from_pydict(out, schema)
@@ -178,12 +202,12 @@ def encode_documents(docs: DataFrame, path: str, pattern: str = PATTERN, id_col=
     width = "<u2" if max(ranks_of(path).values()) < 1 << 16 else "<u4"
     rows = docs.select(F.col(id_col).cast("bigint").alias("_doc"), F.col(text_col).alias("_text"))
     blocks = written(to_blocks(rows, buckets, pattern), scratch(spark, "bpe-blocks"), ["kind"])
-    words = blocks.where("kind = 1").select("block", "bucket", "at", "words").repartition(buckets, "bucket")
+    words = blocks.where("kind = 1").select("block", "bucket", "at", "words").repartitionById(buckets, "bucket")
     encoded = encode_words(words, path, pattern)
 
     def assemble(key, left, right):
         row = left.to_pylist()[0]
-        spots = from_planes(row["spots"])
+        spots = from_tiers(row["spots"])
         at = np.concatenate([np.zeros(0, np.int64), *(from_steps(x) for x in right.column("at").to_pylist())])
         sizes = np.concatenate([np.zeros(0, np.uint32), *(from_planes(x) for x in right.column("sizes").to_pylist())]).astype(np.int64)
         ids = np.frombuffer(b"".join(map(unpacked, right.column("ids").to_pylist())), width)
