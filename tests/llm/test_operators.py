@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on rows that are not clean."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -297,7 +298,8 @@ def test_leaks_despite_replaced_words(spark, dirty, none):
 
 def test_licenses(spark, dirty):
     lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0."]
-    docs = [(i, t) for i, t in enumerate(prose(60, 31))] + [(100 + i, prose(1, i)[0] + "\n" + t) for i, t in enumerate(lines)]
+    # Prose ends without a full stop here: only a blank line ends the paragraph.
+    docs = [(i, t) for i, t in enumerate(prose(60, 31))] + [(100 + i, prose(1, i)[0] + "\n\n" + t) for i, t in enumerate(lines)]
     docs += [(200, None), (201, ""), (202, "All rights reserved."), (203, "the driver's license was old")]
     table = spark.createDataFrame(docs, "doc_id bigint, text string")
     model = licenses.train(table)
@@ -305,6 +307,41 @@ def test_licenses(spark, dirty):
     assert got == {(100, 1, "MIT"), (101, 1, "Apache"), (102, 1, "CC-BY-NC")}
     assert licenses.find_licenses(dirty, model).count() == 0
     assert licenses.find_licenses(table.where("false"), model).count() == 0
+    twice = table.where("doc_id = 100").unionAll(table.where("doc_id = 100")).withColumn("paragraph", F.lit("clash")).withColumn("tokens", F.lit(1))
+    assert licenses.find_licenses(twice, model).count() == 1
+
+    # The probabilities are those of the weights, by hand.
+    for r in licenses.find_licenses(table, model).join(table, "doc_id").collect():
+        found = re.findall(r"[^\W_]+", re.split(r"\n[ \t\r]*\n", r["text"])[r["paragraph"]].lower())
+        terms = found + ([" ".join(x) for x in zip(found, found[1:])] if len(found) > 1 else [f"^ {w}" for w in found])
+        logits = np.array(model.bias) + sum((np.array(model.weights[t]) for t in terms if t in model.weights), np.zeros(len(model.bias)))
+        shares = np.exp(logits - logits.max()) / np.exp(logits - logits.max()).sum()
+        assert abs(r["probability"] - shares.max()) < 1e-9 and [licenses.UNKNOWN, *model.by_family][shares.argmax()] == r["family"]
+
+
+NOTICES = {
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:""",
+    "GPL": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.""",
+    "Apache": "Copyright 2020 X. Licensed under the Apache License, Version 2.0. See the LICENSE file for details.",
+    "BSD": "Redistribution and use in source and binary forms, with or without\r\nmodification, are permitted provided that the following conditions\r\nare met:",
+}
+
+
+def test_wrapped_notices_are_confirmed(spark):
+    around = prose(80, 41)
+    docs = [(i, t) for i, t in enumerate(around)] + [(100 + i, f"{around[i]}.\n\n{t}\n\n{around[i + 9]}") for i, t in enumerate(NOTICES.values())]
+    docs += [(200, "Permission to use the software was granted to any person, free of charge.\nAll conditions are met.")]
+    table = spark.createDataFrame(docs, "doc_id bigint, text string")
+    found = licenses.find_licenses(table, licenses.train(table)).where("confirmed").collect()
+    assert {(r["doc_id"], r["paragraph"], r["family"]) for r in found} == {(100 + i, 1, f) for i, f in enumerate(NOTICES)}
 
 
 # 7, 9, 10
