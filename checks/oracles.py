@@ -7,6 +7,9 @@ array expressions.
 
 from sitescan import lookups as L
 from sitescan.functions import replies as R
+from sitescan.functions.labels import HALF_SURE, KNOWN_PART, LEAST_LEAD
+from sitescan.functions.languages import SCALE, SMOOTH
+from sitescan.samples import LANGUAGES
 
 from .views import duck_ctes
 
@@ -167,7 +170,7 @@ def facts_ctes(source):
             {squeeze(decode(between_tags("regexp_extract(html, '(?s)<article>(.*?)</article>', 1)")))} as full_text,
             substr(full_text, 1, 3000) as body_text,
             case {cms} end as cms from {source})""",
-        *label_ctes("language", "basics", "full_text", L.LANGUAGE_WORDS, scripts=True),
+        *language_ctes("basics", "full_text"),
         f"""authors as (select page_id,
             coalesce(nullif(regexp_replace(regexp_extract(html, '<script type="application/ld.json">.*?"author":(?:"|\\[?\\{{(?:"@type":"Person",)?"name":")([^"]+)"', 1), '^By ', ''), ''),
                 nullif(regexp_extract(html, '<meta name="author" content="Written by ([^"]*)"', 1), ''),
@@ -183,31 +186,62 @@ def percent(part, whole):
     return f"cast((200 * {part} + {whole}) // (2 * {whole}) as int)"
 
 
-def label_ctes(name, source, text, table, scripts=False, key="page_id"):
+def label_ctes(name, source, text, table, key="page_id"):
     """Best label per row of `source`, by counting listed words: a join on a word table."""
     listed = ", ".join(
         f"({i}, {q(label)}, {q(word)})" for i, (label, words) in enumerate(table) for word in words
     )
-    ctes = [
+    return [
         f"{name}_words as (select * from (values {listed}) as v(n, label, word))",
         f"""{name}_tokens as (select {key}, unnest(string_split_regex(lower({text}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+')) as word from {source})""",
         f"""{name}_hits as (select {key}, n, label, count(*) as hits from {name}_tokens join {name}_words using (word) group by 1, 2, 3)""",
-        f"""{name}_best as (select {key}, arg_max(label, hits * 100 - n) as label, {percent('max(hits)', 'sum(hits)')} as confidence
+        f"""{name} as (select {key}, arg_max(label, hits * 100 - n) as label, {percent('max(hits)', 'sum(hits)')} as confidence
             from {name}_hits group by 1)""",
     ]
-    if not scripts:
-        return ctes + [f"{name} as (select * from {name}_best)"]
-    counts = ", ".join(
-        f"({i}, {q(code)}, {q(letters)})" for i, (code, letters) in enumerate(L.LANGUAGE_SCRIPTS)
-    )
-    return ctes + [
-        f"{name}_scripts as (select * from (values {counts}) as v(n, code, letters))",
-        f"""{name}_found as (select {key}, code, n, len(regexp_extract_all({text}, letters)) as hits, length({text}) as chars
-            from {source} cross join {name}_scripts)""",
-        f"""{name}_script as (select {key}, arg_min(code, n) as label, arg_min({percent('hits', 'chars')}, n) as confidence
-            from {name}_found where hits * 4 >= chars and hits > 0 group by 1)""",
-        f"""{name} as (select s.{key}, coalesce(x.label, b.label) as label, coalesce(x.confidence, b.confidence) as confidence
-            from {source} s left join {name}_script x using ({key}) left join {name}_best b using ({key}) where length(s.{text}) >= 50)""",
+
+
+def letters(x):
+    return f"concat(' ', trim(regexp_replace(lower({x}), '[^\\p{{L}}\\p{{M}}]+', ' ', 'g')), ' ')"
+
+
+def runs(source, columns):
+    """Runs of one to three characters of column `t`, none with a blank within."""
+    return f"""(select {columns}, n, substr(t, cast(i as int), cast(n as int)) as run from (
+        select {columns}, t, n, unnest(range(1, length(t) - n + 2)) as i from {source}, range(1, 4) r(n)) p
+        where run <> ' ' and not (n = 3 and substr(run, 2, 1) = ' '))"""
+
+
+def language_ctes(source, text, key="page_id"):
+    """Language per row of `source`: by script, else by a join with profiles counted here from the samples."""
+    samples = ", ".join(f"({i}, {q(code)}, {q(sample)})" for i, (code, (_, sample)) in enumerate(LANGUAGES.items()))
+    scripts = ", ".join(f"({i}, {q(code)}, {q(found)})" for i, (code, found) in enumerate(L.LANGUAGE_SCRIPTS))
+    return [
+        f"samples as (select lang, code, {letters('sample')} as t from (values {samples}) as v(lang, code, sample))",
+        f"sample_runs as materialized (select lang, n, run, count(*) as k from {runs('samples', 'lang')} s group by 1, 2, 3)",
+        "sample_totals as (select lang, n, sum(k) as total from sample_runs group by 1, 2)",
+        "sample_sizes as (select n, count(distinct run) as v from sample_runs group by 1)",
+        f"""profiles as materialized (select d.n, d.run, t.lang,
+            cast(floor({SCALE} * ln((coalesce(k, 0) / total + {SMOOTH}) / (1 + {SMOOTH} * v)) + 0.5) as bigint) as weight
+            from (select distinct n, run from sample_runs) d join sample_totals t using (n) join sample_sizes using (n)
+            left join sample_runs s on s.lang = t.lang and s.run = d.run)""",
+        f"lettered as (select {key}, {letters(text)} as t from {source} where length({text}) >= 50)",
+        f"""text_runs as materialized (select {key}, n, run, count(*) as k from {runs('lettered', key)} r
+            where run in (select run from sample_runs) group by 1, 2, 3)""",
+        f"""language_sums as (select {key}, lang, sum(k * weight) as score from text_runs join profiles using (run) group by 1, 2)""",
+        f"""language_leads as (select {key}, arg_max(lang, score * 100 - lang) as lang, list(score order by score desc) as scores
+            from language_sums group by 1)""",
+        f"""language_runs as (select {key}, sum(k) as runs, coalesce(sum(k) filter (n = 3), 0) as longest from text_runs group by 1)""",
+        f"""language_best as (select {key}, code as label, cast(100 * lead // (lead + {HALF_SURE} * runs) as int) as confidence
+            from (select {key}, lang, scores[1] - scores[2] as lead from language_leads) a join language_runs using ({key})
+            join samples using (lang) join lettered using ({key})
+            where lead >= {LEAST_LEAD} * runs and longest * {KNOWN_PART} >= length(lettered.t))""",
+        f"scripts as (select * from (values {scripts}) as v(n, code, found))",
+        f"""script_hits as (select {key}, code, n, len(regexp_extract_all({text}, found)) as hits, length({text}) as chars
+            from {source} cross join scripts where regexp_matches({text}, '[\\x{{370}}-\\x{{d7af}}]'))""",
+        f"""script_best as (select {key}, arg_min(code, n) as label, arg_min({percent('hits', 'chars')}, n) as confidence
+            from script_hits where hits * 4 >= chars and hits > 0 group by 1)""",
+        f"""language as (select s.{key}, coalesce(x.label, b.label) as label, coalesce(x.confidence, b.confidence) as confidence
+            from {source} s left join script_best x using ({key}) left join language_best b using ({key}) where length(s.{text}) >= 50)""",
     ]
 
 
@@ -399,9 +433,9 @@ def oracle_sql():
         "content_root": "select page_id, 'article' as tag from pages",
         "body_text": with_ctes(deco, page, "select page_id, body_text from facts"),
         "cms_fingerprint": with_ctes(deco, page, "select page_id, cms from facts"),
-        "language_id": with_ctes([], label_ctes("language", "documents", "text", L.LANGUAGE_WORDS, True, "doc_id"),
+        "language_id": with_ctes([], language_ctes("documents", "text", "doc_id"),
             "select doc_id, label as detected_language from documents left join language using (doc_id)"),
-        "language_accuracy": with_ctes([], label_ctes("language", "documents", "text", L.LANGUAGE_WORDS, True, "doc_id"),
+        "language_accuracy": with_ctes([], language_ctes("documents", "text", "doc_id"),
             "select lang, label as detected_language, count(*) as docs from documents left join language using (doc_id) group by 1, 2"),
         "enrich_pages": with_ctes(deco, page, "select page_id, url, title, meta_description, body_text, cms, detected_language from facts"),
         "author_jsonld": with_ctes(deco, page, "select page_id, case when author_source = 'jsonld' then author end as author from facts"),

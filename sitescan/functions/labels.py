@@ -3,13 +3,20 @@
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..lookups import LANGUAGE_NAMES, LANGUAGE_SCRIPTS, LANGUAGE_WORDS
+from ..lookups import LANGUAGE_NAMES, LANGUAGE_SCRIPTS
+from ..samples import LANGUAGES
+from .languages import language_scores
 from .text import bind, listed_words
 
 GUESS_TYPE = "struct<label:string,confidence:int>"
 MIN_LANGUAGE_CHARS = 50
-# Wide enough for all scripts that are told by their letters, in two quick ranges.
-_ANY_SCRIPT = r"[\x{370}-\x{e7f}\x{3040}-\x{d7af}]"
+# Lead per run, in thousandths, below which the two best languages cannot be told apart, and that of half certainty.
+LEAST_LEAD = 10
+HALF_SURE = 50
+# Of all characters, the part that must begin a known run of the longest kind: less is no language we know.
+KNOWN_PART = 4
+# Wide enough for all scripts that have one language only, in a few quick ranges.
+_ANY_SCRIPT = r"[\x{370}-\x{3ff}\x{590}-\x{5ff}\x{980}-\x{e7f}\x{3040}-\x{d7af}]"
 
 
 def tokens(text) -> Column:
@@ -69,10 +76,22 @@ def script_language(text, scripts=LANGUAGE_SCRIPTS) -> Column:
     return F.when(text.rlike(_ANY_SCRIPT), found)
 
 
+def letters_language(text, languages=LANGUAGES) -> Column:
+    """Language by its letters. NULL where two languages are too close, and where few runs are in any sample."""
+    codes = F.array(*map(F.lit, languages))
+
+    def judged(s):
+        clear = (s["lead"] >= LEAST_LEAD * s["runs"]) & (s["longest"] * KNOWN_PART >= s["chars"])
+        sure = F.floor(100 * s["lead"] / (s["lead"] + HALF_SURE * s["runs"])).cast("int")
+        return F.when(clear, F.struct(F.get(codes, s["best"]).alias("label"), sure.alias("confidence")))
+
+    return judged(language_scores(text, languages))
+
+
 def language_guess(text, min_chars: int = MIN_LANGUAGE_CHARS) -> Column:
-    """Language code and confidence; NULL for short texts and for no evidence."""
-    guess = F.coalesce(script_language(text), best_label(tokens(text), LANGUAGE_WORDS))
-    return F.when(F.length(text) >= min_chars, guess)
+    """Language code and confidence; NULL for short texts, for no evidence and for languages too close to call."""
+    long = F.length(text) >= min_chars
+    return F.when(long, F.coalesce(script_language(text), letters_language(F.when(long, text))))
 
 
 def language_name(code) -> Column:

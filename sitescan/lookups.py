@@ -5,6 +5,8 @@ patterns are written so that one text works in Java's regex engine (Spark)
 and in RE2; look-around is added by the functions that need it.
 """
 
+from .samples import LANGUAGES
+
 # White space and word characters, spelled out so that every engine agrees.
 WS_CHARS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -160,42 +162,25 @@ RESULT_COLUMNS = (
     ("error", "Error"),
 )
 
-# Own choice: frequent function words per language. A token counts once for
-# every language that lists it; ties go to the language listed first.
-LANGUAGE_WORDS = (
-    ("en", ("the", "and", "of", "to", "is", "that", "for", "was", "with", "this",
-            "are", "from", "on", "by", "be", "it", "as", "at", "he", "you")),
-    ("de", ("der", "die", "und", "das", "ist", "nicht", "ein", "eine", "mit", "den",
-            "von", "zu", "auf", "für", "sich", "dem", "des", "im", "auch")),
-    ("fr", ("le", "la", "les", "et", "des", "est", "une", "du", "dans", "que",
-            "pour", "qui", "par", "sur", "pas", "au", "ce", "il", "elle", "un")),
-    ("es", ("el", "los", "las", "y", "que", "en", "una", "por", "con", "para",
-            "del", "se", "su", "al", "lo", "como", "más", "la", "de", "es")),
-    ("it", ("il", "di", "che", "non", "per", "sono", "gli", "della", "nel", "anche",
-            "alla", "più", "dei", "questo", "come", "lo", "ha", "ma", "con", "una")),
-    ("pt", ("o", "os", "as", "um", "uma", "não", "em", "do", "da", "para",
-            "com", "por", "mais", "dos", "das", "ao", "na", "no", "foi", "seu")),
-    ("nl", ("de", "het", "een", "van", "en", "niet", "dat", "op", "te", "voor",
-            "met", "zijn", "aan", "ook", "er", "maar", "om", "bij", "wordt", "naar")),
-)
-# Own choice: scripts that settle the language on their own, strongest first.
-LANGUAGE_SCRIPTS = (
-    ("ja", r"[\x{3040}-\x{30ff}]"),
-    ("ko", r"[\x{ac00}-\x{d7af}]"),
-    ("zh", r"[\x{4e00}-\x{9fff}]"),
-    ("ru", r"[\x{400}-\x{4ff}]"),
-    ("el", r"[\x{370}-\x{3ff}]"),
-    ("ar", r"[\x{600}-\x{6ff}]"),
-    ("he", r"[\x{590}-\x{5ff}]"),
-    ("hi", r"[\x{900}-\x{97f}]"),
-    ("th", r"[\x{e00}-\x{e7f}]"),
-)
-LANGUAGE_NAMES = (
-    ("en", "English"), ("de", "German"), ("fr", "French"), ("es", "Spanish"),
-    ("it", "Italian"), ("pt", "Portuguese"), ("nl", "Dutch"), ("ja", "Japanese"),
-    ("ko", "Korean"), ("zh", "Chinese"), ("ru", "Russian"), ("el", "Greek"),
-    ("ar", "Arabic"), ("he", "Hebrew"), ("hi", "Hindi"), ("th", "Thai"),
-)
+# Own choice: scripts that settle the language on their own, strongest first: code, name, letters.
+# Languages that share a script are told apart by `samples.LANGUAGES`.
+_SCRIPTS = (
+    ("ja", "Japanese", r"[\x{3040}-\x{30ff}]"),
+    ("ko", "Korean", r"[\x{ac00}-\x{d7af}]"),
+    ("zh", "Chinese", r"[\x{4e00}-\x{9fff}]"),
+    ("el", "Greek", r"[\x{370}-\x{3ff}]"),
+    ("he", "Hebrew", r"[\x{590}-\x{5ff}]"),
+    ("th", "Thai", r"[\x{e00}-\x{e7f}]"),
+    ("bn", "Bengali", r"[\x{980}-\x{9ff}]"),
+    ("pa", "Punjabi", r"[\x{a00}-\x{a7f}]"),
+    ("gu", "Gujarati", r"[\x{a80}-\x{aff}]"),
+    ("ta", "Tamil", r"[\x{b80}-\x{bff}]"),
+    ("te", "Telugu", r"[\x{c00}-\x{c7f}]"),
+    ("kn", "Kannada", r"[\x{c80}-\x{cff}]"),
+    ("ml", "Malayalam", r"[\x{d00}-\x{d7f}]"),
+)
+LANGUAGE_SCRIPTS = tuple((code, letters) for code, _, letters in _SCRIPTS)
+LANGUAGE_NAMES = (*((code, name) for code, (name, _) in LANGUAGES.items()), *((code, name) for code, name, _ in _SCRIPTS))
 
 # Own choice: words that speak for a site type or a topic. Ties go to the
 # label listed first.

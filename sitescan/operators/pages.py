@@ -85,16 +85,9 @@ def language_id(texts: DataFrame, column: str = "body_text", key: str = "page_id
     return guess.select(key, F.col("g.label").alias("detected_language"))
 
 
-def enrich_pages(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
-    """Title, description, body, CMS and language next to the page's other columns.
-
-    Pages without HTML pass through with NULL facts; so do unreadable ones,
-    with the reason in `parse_error`. The language is that of the whole text (`full_text`); `body_text`
-    is its first `body_limit` characters. `html` and `nodes` stay for later steps
-    and are pruned when nobody asks for them.
-    """
+def _told_by_nodes(pages: DataFrame, body_limit: int) -> DataFrame:
     nodes = F.col("nodes")
-    facts = (
+    return (
         with_nodes(pages)
         .withColumn("title", H.page_title(nodes))
         .withColumn("meta_description", H.page_description(nodes))
@@ -102,9 +95,24 @@ def enrich_pages(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
         .withColumn("body_text", F.substring("full_text", 1, body_limit))
         .withColumn("cms", F.when(nodes.isNotNull(), H.cms_name(F.col("html"))))
     )
-    return facts.withColumn("_language", language_guess(F.col("full_text"))).withColumn(
-        "detected_language", F.col("_language.label")
-    ).withColumn("language_confidence", F.col("_language.confidence")).drop("_language")
+
+
+def _with_language(facts: DataFrame) -> DataFrame:
+    guess = facts.withColumn("_language", language_guess(F.col("full_text")))
+    return guess.withColumn("detected_language", F.col("_language.label")).withColumn(
+        "language_confidence", F.col("_language.confidence")
+    ).drop("_language")
+
+
+def enrich_pages(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
+    """Title, description, body, CMS and language next to the page's other columns.
+
+    Pages without HTML pass through with NULL facts; so do unreadable ones,
+    with the reason in `parse_error`. The language is that of the whole text (`full_text`); `body_text`
+    is its first `body_limit` characters. `html` and `nodes` stay for later steps
+    and are pruned when nobody asks for them.
+    """
+    return _with_language(_told_by_nodes(pages, body_limit))
 
 
 def page_facts(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
@@ -128,14 +136,16 @@ def page_facts(pages: DataFrame, body_limit: int = BODY_LIMIT) -> DataFrame:
         found_in(author_from_meta, "meta"),
         found_in(author_from_byline, "byline"),
     )
-    return (
-        ranked_emails(enrich_pages(pages, body_limit))
+    facts = (
+        ranked_emails(_told_by_nodes(pages, body_limit))
         .withColumn("_author", found)
         .withColumn("author", F.col("_author.name"))
         .withColumn("author_source", F.col("_author.source"))
         .withColumn("emails", F.transform("ranked", lambda e: e["email"]))
         .drop("_author", "ranked", "nodes", "html")
     )
+    # Last, so that only texts and facts go through the function, and neither nodes nor HTML.
+    return _with_language(facts)
 
 
 def outlinks(pages: DataFrame) -> DataFrame:

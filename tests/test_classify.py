@@ -3,9 +3,11 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from sitescan.functions import labels, replies
+from sitescan import lookups
+from sitescan.functions import labels, languages, replies
 from sitescan.functions.replies import BAD_ITEM, EMPTY_REPLY, INVALID_REPLY, MISSING_ITEM, NO_REPLY, NOT_AN_ARRAY
 from sitescan.operators import classify
+from sitescan.samples import LANGUAGES
 
 
 def test_unfence(evaluate):
@@ -123,6 +125,96 @@ def test_language(evaluate):
     assert evaluate(guess, *cases) == list(cases.values())
 
 
+# Sentences that are in no sample.
+SENTENCES = {
+    "en": "Yesterday we walked along the river and talked about nothing in particular.",
+    "de": "Gestern gingen wir am Fluss entlang und sprachen über nichts Besonderes.",
+    "fr": "Hier nous avons marché le long de la rivière et parlé de tout et de rien.",
+    "es": "Ayer caminamos junto al río y hablamos de cosas sin importancia.",
+    "it": "Ieri abbiamo camminato lungo il fiume e parlato del più e del meno.",
+    "pt": "Ontem caminhamos ao longo do rio e falamos sobre coisas sem importância.",
+    "nl": "Gisteren liepen we langs de rivier en praatten we over niets bijzonders.",
+    "af": "Gister het ons langs die rivier gestap en oor niks besonders gepraat nie.",
+    "sv": "Igår gick vi längs floden och pratade om ingenting särskilt.",
+    "da": "I går gik vi langs floden og talte om ikke noget særligt.",
+    "no": "I går gikk vi langs elven og snakket om ingenting spesielt.",
+    "fi": "Eilen kävelimme joen vartta ja puhuimme kaikenlaisesta.",
+    "et": "Eile jalutasime mööda jõe kallast ja rääkisime kõigest.",
+    "lv": "Vakar mēs gājām gar upi un runājām par visu ko, kas mums patīk.",
+    "lt": "Vakar ėjome palei upę ir kalbėjomės apie viską, kas mums patinka.",
+    "pl": "Wczoraj szliśmy wzdłuż rzeki i rozmawialiśmy o niczym szczególnym.",
+    "cs": "Včera jsme šli podél řeky a povídali si o ničem zvláštním.",
+    "sk": "Včera sme išli popri rieke a rozprávali sme sa o ničom zvláštnom.",
+    "sl": "Včeraj smo hodili ob reki in se pogovarjali o ničemer posebnem.",
+    "hr": "Jučer smo hodali uz rijeku i razgovarali ni o čemu posebnom.",
+    "hu": "Tegnap a folyó mentén sétáltunk, és semmi különösről nem beszélgettünk.",
+    "ro": "Ieri am mers de-a lungul râului și am vorbit despre nimic deosebit.",
+    "sq": "Dje ecëm përgjatë lumit dhe folëm për asgjë të veçantë.",
+    "tr": "Dün nehir boyunca yürüdük ve özel bir şey hakkında konuşmadık.",
+    "ca": "Ahir vam caminar al llarg del riu i vam parlar de res en particular.",
+    "cy": "Ddoe cerddon ni ar hyd yr afon a siarad am ddim byd arbennig.",
+    "id": "Kemarin kami berjalan di sepanjang sungai dan berbicara tentang hal biasa.",
+    "tl": "Kahapon ay naglakad kami sa tabi ng ilog at nag-usap tungkol sa kung anu-ano.",
+    "sw": "Jana tulitembea kando ya mto na kuzungumza kuhusu mambo ya kawaida.",
+    "so": "Shalay waxaan ku soconnay webiga dhinaciisa oo waxaan ka hadalnay waxyaabo caadi ah.",
+    "vi": "Hôm qua chúng tôi đi dọc bờ sông và nói chuyện về những điều bình thường.",
+    "ru": "Вчера мы гуляли вдоль реки и говорили ни о чём особенном.",
+    "uk": "Вчора ми гуляли вздовж річки і розмовляли ні про що особливе.",
+    "bg": "Вчера се разхождахме край реката и говорихме за нищо особено.",
+    "mk": "Вчера шетавме покрај реката и зборувавме за ништо посебно.",
+    "ar": "أمس مشينا على طول النهر وتحدثنا عن أشياء عادية كثيرة حتى المساء.",
+    "fa": "دیروز کنار رودخانه قدم زدیم و درباره چیزهای معمولی صحبت کردیم.",
+    "ur": "کل ہم دریا کے کنارے چلے اور عام باتوں کے بارے میں بات کی۔",
+    "hi": "कल हम नदी के किनारे चले और सामान्य बातों के बारे में बात की।",
+    "mr": "काल आम्ही नदीच्या काठाने चाललो आणि साध्या गोष्टींबद्दल बोललो.",
+    "ne": "हिजो हामी नदीको किनारमा हिँड्यौं र सामान्य कुराहरूको बारेमा कुरा गर्यौं।",
+    "ja": "昨日は川に沿って歩きながら、いろいろなことについてのんびりと話をしました。とても楽しい一日でしたし、天気もよかったです。",
+    "ko": "어제 우리는 강을 따라 걸으면서 여러 가지 이야기를 나누었습니다. 날씨가 좋아서 아주 즐거운 하루였다고 생각합니다.",
+    "el": "Χθες περπατήσαμε κατά μήκος του ποταμού και μιλήσαμε για διάφορα.",
+    "he": "אתמול הלכנו לאורך הנהר ודיברנו על דברים שונים ומשונים כל היום.",
+    "th": "เมื่อวานเราเดินเล่นริมแม่น้ำและคุยกันเรื่องทั่วไปตลอดทั้งวันอย่างสนุกสนาน",
+    "ta": "நேற்று நாங்கள் ஆற்றங்கரையில் நடந்து பல விஷயங்களைப் பற்றி பேசினோம்.",
+}
+
+
+def test_fifty_languages_can_be_told():
+    assert len({c for c, _ in lookups.LANGUAGE_NAMES}) == len(lookups.LANGUAGE_NAMES) >= 50
+
+
+def test_sentences_of_many_languages(evaluate):
+    guess = lambda c: labels.language_guess(c)["label"]
+    assert dict(zip(SENTENCES, evaluate(guess, *SENTENCES.values()))) == {c: c for c in SENTENCES}
+
+
+def test_no_language_where_there_is_no_evidence(evaluate):
+    guess = lambda c: labels.language_guess(c)["label"]
+    none = [
+        "qwrt zxcv plkj hgfd mnbv wrtz pqsd xcvb nmlk jhgf dsaq wert zuio plmk", "1234567890 " * 8, "ᚠᚢᚦᚨᚱᚲ ᚷᚹᚺᚾᛁᛃ " * 5, "$$$ %%% &&& " * 9,
+        # A sentence in Danish and in Norwegian: too close to call.
+        "de var en god dag " * 1 + "i det store og hele og alt var som det var da",
+    ]
+    assert evaluate(guess, *none[:4]) == [None] * 4
+    assert evaluate(guess, none[4])[0] in (None, "da", "no")
+
+
+def test_confidence_grows_with_the_lead(evaluate):
+    sure = lambda c: labels.language_guess(c)["confidence"]
+    polish, norwegian = evaluate(sure, SENTENCES["pl"], SENTENCES["no"])
+    assert 90 < polish <= 100 and 0 < norwegian < 40
+
+
+def test_scores_are_those_of_the_profiles():
+    weights = languages.profiles(tuple(t for _, t in LANGUAGES.values()))
+    text = languages.cleaned_sample(SENTENCES["sv"])
+    found = languages.runs_of(text)
+    sums = [sum(k * weights[r][i] for r, k in found.items() if r in weights) for i in range(len(LANGUAGES))]
+    order = sorted(range(len(sums)), key=lambda i: (-sums[i], i))
+    known = {r: k for r, k in found.items() if r in weights}
+    want = (order[0], sums[order[0]] - sums[order[1]], sum(known.values()), sum(k for r, k in known.items() if len(r) == 3), len(text))
+    assert languages.Tables(weights).score(text) == want
+    assert languages.Tables(weights).score(" ") is None
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("length(text) >= 50")
     hit = docs.select((labels.language_guess(F.col("text"))["label"] == F.col("lang")).alias("hit"))

@@ -58,7 +58,7 @@ def test_no_nested_loops(spark, name):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-@pytest.mark.parametrize("name", ["cms_fingerprint", "email_rank", "language_id", "quick_body", "clean_name", "attempt_resolve"])
+@pytest.mark.parametrize("name", ["cms_fingerprint", "email_rank", "quick_body", "clean_name", "attempt_resolve"])
 def test_no_python_where_none_is_needed(spark, name):
     assert "Python" not in plan_of(QUERIES[name](spark, SF_DIR)) and "ArrowEval" not in plan_of(QUERIES[name](spark, SF_DIR))
 
