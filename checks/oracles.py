@@ -121,6 +121,13 @@ RESOLVED = OUTCOMES + ["""resolved as (select url, attempt, case when terminal t
     case when outcome <> 'ok' then coalesce(nullif(error, ''), 'Unknown error after all retries') end as fetch_error
     from outcomes where attempt <= 3
     qualify row_number() over (partition by url order by terminal desc, case when terminal then attempt else -attempt end) = 1)"""]
+# Attempts of any number: those beyond the third count where there are no others, those without a number last.
+RESOLVED_ANY = [
+    RESOLVED[0].replace("from attempts)", "from attempts_any)"), RESOLVED[1],
+    RESOLVED[2].replace("from outcomes where attempt <= 3", "from outcomes").replace(
+        "order by terminal desc,", "order by attempt is null, coalesce(attempt, 9) > 3, terminal desc,"
+    ).replace("else -attempt end)", "else -attempt end, ts)"),
+]
 RENDERED_JUDGED = """rendered_judged as (select *, case when status_code in (403, 429) then 'BLOCKED' else 'OK' end as fetch_status,
     case when status_code in (403, 429) then concat('HTTP ', status_code, ' - blocked even when rendered') end as fetch_error,
     status_code >= 400 and status_code not in (403, 429) as http_error from rendered)"""
@@ -516,7 +523,8 @@ def oracle_sql():
         "outlinks": with_ctes([], OUTLINKS, "select page_id, link_origin, count(*) as links from resolved_links where link_origin is not null group by 1, 2"),
         "stream_url_dedupe": "select distinct url from pages",
         "stream_progress": "select date_trunc('hour', ts) as hour, event_type, count(*) as n from events group by 1, 2",
-        "stream_attempt_resolve": with_ctes(attempts, RESOLVED, """select url, r.attempt, fetch_status, fetch_error from resolved r
-            join (select url, bool_or(terminal) or count(*) = 3 as settled from outcomes where attempt <= 3 group by 1) s using (url) where settled"""),
+        "stream_attempt_resolve": with_ctes(attempts, RESOLVED, "select url, attempt, status_code, fetch_status, fetch_error from resolved"),
+        "attempt_resolve_any": with_ctes(["attempts_any"], RESOLVED_ANY, "select url, attempt, status_code, fetch_status, fetch_error from resolved"),
+        "stream_attempt_resolve_any": with_ctes(["attempts_any"], RESOLVED_ANY, "select url, attempt, status_code, fetch_status, fetch_error from resolved"),
         "stream_enrich": with_ctes([], facts_ctes("pages"), "select page_id, title, body_text, detected_language from facts"),
     }

@@ -146,6 +146,11 @@ def attempt_resolve(spark, attempts):
     return crawl_log.attempt_resolve(attempts)
 
 
+@query
+def attempt_resolve_any(spark, attempts_any):
+    return crawl_log.attempt_resolve(attempts_any)
+
+
 @query
 def retry_backoff(spark, attempts):
     return crawl_log.retry_backoff(attempts)
@@ -561,9 +566,9 @@ def outlink_totals(spark, pages_):
 
 # Streams
 
-def _through_stream(spark, table, transform):
+def _through_stream(spark, table, transform, place=None):
     """Store the table in the shared folder, stream it, and read what the stream wrote."""
-    place = scratch(spark)
+    place = place or scratch(spark)
     table.write.parquet(f"{place}/in")
     stream = jobs.read_files(spark, f"{place}/in", table.schema)
     jobs.run_available(transform(stream), f"{place}/out", f"{place}/checkpoint")
@@ -579,21 +584,37 @@ def stream_enrich(spark, pages):
 
 @query
 def stream_url_dedupe(spark, pages):
-    sightings = pages.select(
-        F.explode(F.array("url", "url")).alias("url"), F.timestamp_seconds(F.col("page_id") + 86_400).alias("ts")
-    )
+    # Every URL once more a year later
+    year = F.explode(F.array(F.lit(0), F.lit(0), F.lit(31_622_400))).alias("later")
+    sightings = pages.select("url", "page_id", year).select("url", F.timestamp_seconds(F.col("page_id") + F.col("later")).alias("ts"))
     return _through_stream(spark, sightings, jobs.stream_url_dedupe).select("url")
 
 
+def _resolved_by_stream(spark, attempts):
+    """What the stream settles, and what it has left open at its end."""
+    place, year = scratch(spark), 366 * 86_400
+    settled = _through_stream(
+        spark, attempts, lambda s: jobs.stream_attempt_resolve(s, "40 days", timeout_s=year, keep_s=year), place
+    )
+    return settled.unionByName(jobs.flush_attempts(spark, f"{place}/checkpoint"))
+
+
 @query
 def stream_attempt_resolve(spark, attempts):
-    year = 366 * 86_400
-    return _through_stream(
-        spark, attempts, lambda s: jobs.stream_attempt_resolve(s, "40 days", timeout_s=year, keep_s=year)
-    )
+    return _resolved_by_stream(spark, attempts)
+
+
+@query
+def stream_attempt_resolve_any(spark, attempts_any):
+    return _resolved_by_stream(spark, attempts_any)
 
 
 @query
 def stream_progress(spark, events):
-    counts = jobs.stream_progress(events, "event_type")
+    # Four batches, so that most windows are counted more than once.
+    place = scratch(spark)
+    events.repartition(4, "event_id").write.parquet(f"{place}/in")
+    stream = jobs.read_files(spark, f"{place}/in", events.schema, files_per_trigger=1)
+    jobs.follow_progress(jobs.stream_progress(stream, "event_type", delay="400 days"), f"{place}/out", f"{place}/checkpoint")
+    counts = jobs.read_progress(spark, f"{place}/out", "event_type")
     return counts.select(F.col("start").cast("timestamp_ntz").alias("hour"), "event_type", "n")

@@ -40,6 +40,10 @@ VIEWS = {
             case when event_type = 'error' then case when event_id % 2 = 0 then 'timeout' else 'request_error' end end as error_class,
             ts, cast(floor(value) as bigint) as dur_s
         from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from <<events>>) e""",
+    # The same with attempts of any number: none, zero, and beyond the allowed ones.
+    "attempts_any": """
+        select url, host, cast(case when dur_s % 7 = 0 then null when dur_s % 7 = 1 then 0 when dur_s % 7 < 4 then attempt + 3 else attempt end as int) as attempt,
+            status_code, error_class, ts, dur_s from <<attempts>>""",
     "url_index": """
         select concat('idx-', cast(page_id % 3 as string)) as crawl_index, cast(page_id % 3 as int) as index_rank, url,
             case when page_id % 7 = 0 then 404 else 200 end as status_code from <<pages>>""",

@@ -59,23 +59,34 @@ def final_status(outcome, terminal, error):
 def attempt_resolve(attempts: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
     """One status per URL of the log: its first final attempt, else its last allowed one.
 
-    Attempts beyond the allowed ones decide only where a URL has no others.
+    Attempts beyond the allowed ones decide only where a URL has no others, and those without a
+    number only where there are none with one. Of two records of an attempt the earlier one counts.
+    """
+    return first_deciding(attempt_outcome(attempts), max_attempts)
+
+
+def first_deciding(judged: DataFrame, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """`attempt_resolve` for attempts that have their outcome.
 
     An aggregate rather than a window: attempts are merged before the shuffle,
     however many a URL has.
     """
+    allowed = F.coalesce(F.col("attempt") <= max_attempts, F.lit(False))
     rank = F.when(F.col("terminal"), F.col("attempt")).otherwise(max_attempts - F.col("attempt"))
-    order = F.struct(F.col("attempt") > max_attempts, ~F.col("terminal"), rank, F.col("ts"))
-    seen = attempt_outcome(attempts)
+    order = F.struct(~allowed, F.col("attempt").isNull(), ~F.col("terminal"), rank, F.col("ts"))
     deciding = F.struct("attempt", "status_code", "outcome", "terminal", "error")
-    best = seen.groupBy("url").agg(F.min_by(deciding, order).alias("d"))
-    error = F.when(F.col("d.outcome") != "ok", F.coalesce(F.when(F.col("d.error") != "", F.col("d.error")), F.lit(UNKNOWN)))
-    return best.select(
+    return with_status(judged.groupBy("url").agg(F.min_by(deciding, order).alias("d")).select("url", "d.*"))
+
+
+def with_status(decided: DataFrame) -> DataFrame:
+    """url, attempt, status_code, fetch_status, fetch_error of the attempts that decide."""
+    outcome, terminal, error = F.col("outcome"), F.col("terminal"), F.col("error")
+    return decided.select(
         "url",
-        F.col("d.attempt").alias("attempt"),
-        F.when(F.col("d.terminal") & (F.col("d.outcome") != "redirects"), F.col("d.status_code")).alias("status_code"),
-        final_status(F.col("d.outcome"), F.col("d.terminal"), F.col("d.error")).alias("fetch_status"),
-        error.alias("fetch_error"),
+        "attempt",
+        F.when(terminal & (outcome != "redirects"), F.col("status_code")).alias("status_code"),
+        final_status(outcome, terminal, error).alias("fetch_status"),
+        F.when(outcome != "ok", F.coalesce(F.when(error != "", error), F.lit(UNKNOWN))).alias("fetch_error"),
     )
 
 

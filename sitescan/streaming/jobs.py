@@ -4,13 +4,14 @@ DataFrame; `run_available` drives one to its end and can be resumed.
 
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import classify_sites
-from ..operators.crawl_log import MAX_ATTEMPTS, UNKNOWN, attempt_outcome, final_status
+from ..operators.crawl_log import MAX_ATTEMPTS, attempt_outcome, first_deciding, with_status
 from ..operators.pages import page_facts
-from .resolver import OUTPUT_TYPE, resolver
+from .resolver import OUTPUT_TYPE, RECORD, STATE, resolver
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -31,12 +32,14 @@ def _thin(stream: DataFrame, keys) -> DataFrame:
     Later steps drop the rest; this keeps a key that fills the stream from
     sending every copy to the one task that owns it.
     """
+    names = [c for c in stream.columns if c in keys]
 
     def first_copies(batches):
         for batch in batches:
-            yield batch.drop_duplicates(keys)
+            once = pa.Table.from_batches([batch]).group_by(names).aggregate([]).select(names)
+            yield from once.to_batches()
 
-    return stream.mapInPandas(first_copies, stream.schema)
+    return stream.select(*names).mapInArrow(first_copies, stream.select(*names).schema)
 
 
 def stream_enrich(pages: DataFrame) -> DataFrame:
@@ -44,40 +47,50 @@ def stream_enrich(pages: DataFrame) -> DataFrame:
     return classify_sites(page_facts(pages))
 
 
-def stream_url_dedupe(urls: DataFrame, ts: str = "ts", delay: str = "1 hour") -> DataFrame:
-    """First sighting of each URL; state is dropped once the watermark passes."""
+def stream_url_dedupe(urls: DataFrame, ts: str = "ts", delay: str | None = None) -> DataFrame:
+    """First sighting of each URL, for good.
+
+    Every URL seen is a key of the state, which lies in RocksDB, spread over the tasks by URL, and is
+    committed with each batch. With a `delay` the state is dropped once the watermark passes, and a URL
+    that comes again after that is a new sighting.
+    """
+    if delay is None:
+        return _thin(urls, urls.columns).dropDuplicates(["url"])
     return urls.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["url"])
 
 
 def stream_attempt_resolve(attempts: DataFrame, delay: str = "10 minutes",
                            timeout_s: int = 86_400, keep_s: int = 86_400,
                            max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
-    """One status per URL, as soon as it is settled.
+    """One status per URL, as soon as it is settled; the columns are those of `attempt_resolve`.
 
     Settled by a final attempt, by the last allowed failure, or by `timeout_s`
-    of event time without news. Only then attempts beyond the allowed ones
+    of event time without news. Only then attempts beyond the allowed ones, or without a number,
     decide, where a URL has no others. A settled URL is remembered for `keep_s`,
-    and attempts that come later are ignored.
+    and attempts that come later are ignored. Attempts need a time.
     """
-    judged = (
-        attempt_outcome(attempts)
-        .select("url", "attempt", "outcome", "terminal", "error", F.col("ts").cast("timestamp").alias("ts"))
-    )
+    judged = attempt_outcome(attempts).select("url", *(F.col("ts").cast("timestamp").alias("ts") if c == "ts" else c for c in RECORD))
     settled = (
         _thin(judged, judged.columns)
         .withWatermark("ts", delay)
         .groupBy("url")
-        .transformWithStateInPandas(
-            resolver(max_attempts, timeout_s, keep_s), OUTPUT_TYPE, "append", "eventTime"
-        )
-    )
-    error = F.when(F.col("outcome") != "ok", F.coalesce(F.when(F.col("error") != "", F.col("error")), F.lit(UNKNOWN)))
-    return settled.select(
-        "url",
-        "attempt",
-        final_status(F.col("outcome"), F.col("terminal"), F.col("error")).alias("fetch_status"),
-        error.alias("fetch_error"),
+        .transformWithState(resolver(max_attempts, timeout_s, keep_s), OUTPUT_TYPE, "append", "eventTime")
     )
+    return with_status(settled)
+
+
+def open_attempts(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """What a stopped `stream_attempt_resolve` still holds: the deciding records of URLs that are not settled."""
+    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", STATE).load()
+    return state.select(F.col("key.url").alias("url"), "user_map_value.*")
+
+
+def flush_attempts(spark: SparkSession, checkpoint: str, max_attempts: int = MAX_ATTEMPTS) -> DataFrame:
+    """One status per URL that a stopped `stream_attempt_resolve` has left open, as a batch over all of the log would give it.
+
+    The state is only read, so the stream may go on later and settle the same URLs.
+    """
+    return first_deciding(open_attempts(spark, checkpoint), max_attempts)
 
 
 def stream_progress(done: DataFrame, status: str = "status", ts: str = "ts",
@@ -91,6 +104,25 @@ def stream_progress(done: DataFrame, status: str = "status", ts: str = "ts",
     )
 
 
+def follow_progress(counts: DataFrame, place: str, checkpoint: str, timeout_s: int | None = None) -> None:
+    """Write what changes in the counts of `stream_progress`, batch by batch, to a folder of its own each.
+
+    Windows that are still open are in it, and counted anew when late rows come. A batch
+    that runs again after a failure replaces its own folder, so nothing counts twice.
+    """
+
+    def put(changed: DataFrame, number: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{place}/batch={number}")
+
+    query = counts.writeStream.outputMode("update").foreachBatch(put)
+    _run_to_end(query, counts.sparkSession, checkpoint, timeout_s)
+
+
+def read_progress(spark: SparkSession, place: str, status: str = "status") -> DataFrame:
+    """The newest count of each interval and status."""
+    return spark.read.parquet(place).groupBy("start", status).agg(F.max_by("n", "batch").alias("n"))
+
+
 @contextmanager
 def _state_in_rocksdb(spark):
     before = spark.conf.get(PROVIDER)
@@ -101,24 +133,21 @@ def _state_in_rocksdb(spark):
         spark.conf.set(PROVIDER, before)
 
 
-def run_available(stream: DataFrame, out: str, checkpoint: str, timeout_s: int | None = None) -> None:
-    """Process what has arrived, append it as parquet, and stop; a TimeoutError if `timeout_s` do not suffice.
-
-    Run again with the same checkpoint to go on where the last run ended, also
-    after a failure: files and state are committed together.
-    """
-    spark = stream.sparkSession
+def _run_to_end(writer, spark, checkpoint, timeout_s):
     with _state_in_rocksdb(spark):
-        query = (
-            stream.writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", checkpoint)
-            .outputMode("append")
-            .trigger(availableNow=True)
-            .start()
-        )
+        query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if timeout_s is None:
         query.awaitTermination()
     elif not query.awaitTermination(timeout_s):
         query.stop()
         raise TimeoutError(f"the stream was stopped after {timeout_s} seconds")
+
+
+def run_available(stream: DataFrame, out: str, checkpoint: str, timeout_s: int | None = None) -> None:
+    """Process what has arrived, append it as parquet, and stop; a TimeoutError if `timeout_s` do not suffice.
+
+    Run again with the same checkpoint to go on where the last run ended, also
+    after a failure: files and state are committed together.
+    """
+    writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
+    _run_to_end(writer, stream.sparkSession, checkpoint, timeout_s)

@@ -2,16 +2,17 @@
 
 import sys
 
-import pandas as pd
 from pyspark import cloudpickle
+from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # The processor travels with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-OUTPUT_TYPE = "url string, attempt int, outcome string, terminal boolean, error string"
-_PENDING = "failures int, attempt int, outcome string, error string"
-_BEYOND = "attempt int, outcome string, terminal boolean, error string"
+STATE = "attempts"
+RECORD = ("attempt", "outcome", "terminal", "error", "status_code", "ts")
+_RECORD_TYPE = "attempt int, outcome string, terminal boolean, error string, status_code int, ts timestamp"
+OUTPUT_TYPE = "url string, attempt int, outcome string, terminal boolean, error string, status_code int"
 
 
 def resolver(max_attempts: int, timeout_s: int, keep_s: int) -> StatefulProcessor:
@@ -19,95 +20,71 @@ def resolver(max_attempts: int, timeout_s: int, keep_s: int) -> StatefulProcesso
 
 
 class AttemptResolver(StatefulProcessor):
-    """Keeps one small record per open URL, and a mark per settled one.
+    """Keeps the deciding record of each attempt of an open URL, and a mark per settled URL.
 
-    `failures` is a bit set of the attempt numbers seen. Attempts beyond the
-    allowed ones decide only if time runs out and a URL has no others. Timers end
-    all kinds of state, so it is bounded by the traffic of the two time spans.
+    Attempts 1 to `max_attempts` have a slot each; lower numbers share slot 0, higher ones and
+    missing ones the last slot. So an open URL holds `max_attempts` + 2 records at most, whatever
+    its log looks like. Timers end all kinds of state, so it is bounded by the traffic of
+    the two time spans.
     """
 
     def __init__(self, max_attempts, timeout_ms, keep_ms):
-        self.max_attempts, self.all_failed = max_attempts, (1 << max_attempts) - 1
-        self.timeout_ms, self.keep_ms = timeout_ms, keep_ms
+        self.max_attempts, self.timeout_ms, self.keep_ms = max_attempts, timeout_ms, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getValueState("pending", _PENDING)
-        self.beyond = handle.getValueState("beyond", _BEYOND)
+        self.attempts = handle.getMapState(STATE, "slot int", _RECORD_TYPE)
         self.settled = handle.getValueState("settled", "done boolean")
 
+    def _slot(self, attempt):
+        return self.max_attempts + 1 if attempt is None else min(max(attempt, 0), self.max_attempts + 1)
+
+    def _order(self, record):
+        """The same order as in batch: the smallest decides."""
+        attempt, _, terminal, _, _, ts = record
+        rank = 0 if attempt is None else attempt if terminal else self.max_attempts - attempt
+        return attempt is None or attempt > self.max_attempts, attempt is None, not terminal, rank, ts.timestamp()
+
     def _set_timer(self, at_ms):
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old)
         self.handle.registerTimer(int(at_ms))
 
-    def _settle(self, key, now_ms, attempt, outcome, terminal, error):
-        self.pending.clear()
-        self.beyond.clear()
+    def _settle(self, key, now_ms, record):
+        self.attempts.clear()
         self.settled.update((True,))
         self._set_timer(now_ms + self.keep_ms)
-        yield pd.DataFrame(
-            {
-                "url": [key[0]], "attempt": [attempt], "outcome": [outcome],
-                "terminal": [terminal], "error": [error],
-            }
-        )
+        attempt, outcome, terminal, error, status_code, _ = record
+        yield Row(url=key[0], attempt=attempt, outcome=outcome, terminal=terminal, error=error, status_code=status_code)
+
+    def _known(self):
+        return {slot[0]: tuple(record) for slot, record in self.attempts.iterator()}
 
     def handleInputRows(self, key, rows, timerValues):
         if self.settled.exists():
             return
-        final = None
-        failures, last = 0, (0, None, None)
-        if self.pending.exists():
-            failures, *last = self.pending.get()
-            last = tuple(last)
-        newest = 0
-        for batch in rows:
-            newest = max(newest, int(batch["ts"].max().timestamp() * 1000))
-            allowed = batch["attempt"] <= self.max_attempts
-            self._note_beyond(batch[~allowed])
-            batch = batch[allowed]
-            ends = batch[batch["terminal"]]
-            if len(ends):
-                row = ends.loc[ends["attempt"].idxmin()]
-                if final is None or row["attempt"] < final["attempt"]:
-                    final = row
-            open_rows = batch[~batch["terminal"]]
-            if len(open_rows):
-                for attempt in open_rows["attempt"].unique():
-                    failures |= 1 << (int(attempt) - 1)
-                row = open_rows.loc[open_rows["attempt"].idxmax()]
-                if row["attempt"] > last[0]:
-                    last = (int(row["attempt"]), row["outcome"], row["error"])
-        if final is not None:
-            yield from self._settle(
-                key, newest, int(final["attempt"]), final["outcome"], True, final["error"]
-            )
-        elif failures == self.all_failed:
-            yield from self._settle(key, newest, last[0], last[1], False, last[2])
+        best = self._known()
+        changed, newest = set(), 0
+        for row in rows:
+            record = tuple(row[name] for name in RECORD)
+            newest = max(newest, int(row["ts"].timestamp() * 1000))
+            slot = self._slot(row["attempt"])
+            if slot not in best or self._order(record) < self._order(best[slot]):
+                best[slot] = record
+                changed.add(slot)
+        record = min(best.values(), key=self._order)
+        allowed = record[0] is not None and record[0] <= self.max_attempts
+        if allowed and (record[2] or all(n in best for n in range(1, self.max_attempts + 1))):
+            yield from self._settle(key, newest, record)
         else:
-            if failures:
-                self.pending.update((failures, *last))
+            for slot in changed:
+                self.attempts.updateValue((slot,), best[slot])
             self._set_timer(newest + self.timeout_ms)
 
-    def _note_beyond(self, rows):
-        """Keep the row that decides among those beyond the allowed: the first final one, else the last."""
-        found = [tuple(self.beyond.get())] if self.beyond.exists() else []
-        found += [
-            (int(r.attempt), r.outcome, bool(r.terminal), r.error)
-            for r in rows[["attempt", "outcome", "terminal", "error"]].itertuples(index=False)
-        ]
-        if len(rows):
-            self.beyond.update(min(found, key=lambda r: (not r[2], r[0] if r[2] else -r[0])))
-
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        if self.pending.exists():
-            _, attempt, outcome, error = self.pending.get()
-            now_ms = expiredTimerInfo.getExpiryTimeInMs()
-            yield from self._settle(key, now_ms, attempt, outcome, False, error)
-        elif self.beyond.exists():
-            now_ms = expiredTimerInfo.getExpiryTimeInMs()
-            yield from self._settle(key, now_ms, *self.beyond.get())
+        best = self._known()
+        if best:
+            yield from self._settle(key, expiredTimerInfo.getExpiryTimeInMs(), min(best.values(), key=self._order))
         else:
             self.settled.clear()
 

@@ -49,6 +49,18 @@ def test_dedupe(spark, rows, tmp_path):
     assert sorted(r.url for r in feed.run().collect()) == ["a", "b", "c"]
 
 
+def test_dedupe_is_for_good_without_a_delay(spark, rows, tmp_path):
+    schema = "url string, ts timestamp"
+    feed = Feed(spark, tmp_path, schema, jobs.stream_url_dedupe)
+    feed.put(rows(schema, ("a", T0), ("a", T0), ("b", T0)))
+    assert feed.run().count() == 2
+    feed.put(rows(schema, ("a", T0 + timedelta(days=366)), ("c", T0)))
+    assert sorted(r.url for r in feed.run().collect()) == ["a", "b", "c"]
+    # Nothing new: a run over what has been seen adds nothing.
+    feed.put(rows(schema, ("b", T0 - timedelta(days=900)), ("c", T0)))
+    assert feed.run().count() == 3
+
+
 def attempts(rows, *values):
     return rows(ATTEMPTS, *[(u, n, code, err, T0 + timedelta(minutes=m)) for u, n, code, err, m in values])
 
@@ -115,6 +127,80 @@ def test_attempts_beyond_the_allowed_decide_where_there_are_no_others(spark, row
         assert resolved(got) == want
 
 
+ODD = ALL + [
+    ("zero", 0, 500, None, 1), ("zero", 1, 200, None, 2), ("zero_ends", 0, 404, None, 3), ("zero_ends", 1, 200, None, 1),
+    ("only_zero", 0, 500, None, 1), ("below", -3, 500, None, 2), ("below", -1, None, "timeout", 1),
+    ("no_number", None, 200, None, 1), ("no_number_and_one", None, 200, None, 1), ("no_number_and_one", 1, 500, None, 2),
+    ("no_number_and_many", None, 404, None, 1), ("no_number_and_many", 7, None, "timeout", 5), ("no_number_and_many", 9, 500, None, 4),
+    ("open", 1, 500, None, 1), ("open", 2, None, "timeout", 2), ("gap", 1, 500, None, 1), ("gap", 3, 503, None, 2),
+    # Two final records of one attempt: the earlier counts, whichever comes first.
+    ("twice", 1, 404, None, 9), ("twice", 1, 200, None, 4), ("twice", 1, 403, None, 8),
+    ("redirects", 1, 301, "too_many_redirects", 1), ("odd_error", 2, None, "request_error", 3),
+]
+
+
+def all_of(table):
+    return sorted(map(tuple, table.select("url", "attempt", "status_code", "fetch_status", "fetch_error").collect()), key=repr)
+
+
+def test_attempts_of_any_number_with_a_flush_equal_batch(spark, rows, tmp_path):
+    want = all_of(crawl_log.attempt_resolve(attempts(rows, *ODD)))
+    assert len({r[0] for r in want}) == len(want)
+    feed = Feed(spark, tmp_path, ATTEMPTS, lambda s: jobs.stream_attempt_resolve(s, "1 day"))
+    feed.put(attempts(rows, *ODD))
+    settled = feed.run()
+    left = jobs.flush_attempts(spark, f"{feed.base}/checkpoint")
+    assert {r.url for r in left.collect()} == {
+        "only_zero", "below", "no_number", "no_number_and_one", "no_number_and_many", "open", "gap", "odd_error", "slow"
+    } - {"slow"}
+    assert all_of(settled.unionByName(left)) == want
+    # The flush only reads: the stream goes on, and what it settles is open no more.
+    feed.put(attempts(rows, ("open", 3, 200, None, 5), ("no_number", 1, 404, None, 6)))
+    got = {r.url: r.fetch_status for r in feed.run().collect()}
+    assert (got["open"], got["no_number"]) == ("OK", "FAILED")
+    assert not {r.url for r in jobs.flush_attempts(spark, f"{feed.base}/checkpoint").collect()} & {"open", "no_number"}
+
+
+def test_state_of_an_open_url_is_bounded(spark, rows, tmp_path):
+    many = [("u", n, 500, None, n % 50) for n in (*range(-40, 1), *range(4, 200))] + [("u", None, 200, None, 3)]
+    feed = Feed(spark, tmp_path, ATTEMPTS, lambda s: jobs.stream_attempt_resolve(s, "1 day"))
+    feed.put(attempts(rows, *many[:100]))
+    feed.run()
+    feed.put(attempts(rows, *many[100:]))
+    feed.run()
+    assert jobs.open_attempts(spark, f"{feed.base}/checkpoint").count() == 2
+    left = jobs.flush_attempts(spark, f"{feed.base}/checkpoint")
+    assert all_of(left) == all_of(crawl_log.attempt_resolve(attempts(rows, *many)))
+
+
+def test_progress_is_live_and_counts_late_rows(spark, rows, tmp_path):
+    schema = "status string, ts timestamp"
+    values = [(("OK", "FAILED")[i % 2], T0 + timedelta(minutes=7 * i)) for i in range(40)]
+    base = str(tmp_path)
+    feed = Feed(spark, tmp_path, schema, None)
+
+    def run():
+        stream = jobs.read_files(spark, f"{base}/in/*", schema)
+        jobs.follow_progress(jobs.stream_progress(stream, delay="1 day"), f"{base}/progress", f"{base}/marks", 120)
+        return sorted(map(tuple, jobs.read_progress(spark, f"{base}/progress").collect()))
+
+    def batch(some):
+        return sorted(map(tuple, jobs.stream_progress(rows(schema, *some)).collect()))
+
+    feed.put(rows(schema, *values[::2]))
+    # Open windows are there at once.
+    assert run() == batch(values[::2])
+    # The other half is late, but within the delay.
+    feed.put(rows(schema, *values[1::2]))
+    assert run() == batch(values)
+    # A batch that runs again replaces what it wrote.
+    import shutil
+
+    last = max(int(p.name.removesuffix(".crc").split(".")[-1]) for p in (tmp_path / "marks" / "commits").iterdir() if "crc" not in p.name)
+    shutil.rmtree(tmp_path / "marks" / "commits")
+    assert last >= 1 and run() == batch(values)
+
+
 def test_progress_equals_batch_on_closed_windows(spark, rows, tmp_path):
     schema = "status string, ts timestamp"
     values = [(("OK", "FAILED")[i % 2], T0 + timedelta(minutes=7 * i)) for i in range(40)]
