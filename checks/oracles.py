@@ -446,6 +446,7 @@ def oracle_sql():
             "select lang, label as detected_language, count(*) as docs from documents left join language using (doc_id) group by 1, 2"),
         "enrich_pages": with_ctes(deco, page, "select page_id, url, title, meta_description, body_text, cms, detected_language from facts"),
         "author_jsonld": with_ctes(deco, page, "select page_id, case when author_source = 'jsonld' then author end as author from facts"),
+        "author_jsonld_odd": with_ctes(deco, page, "select page_id, case when author_source = 'jsonld' then author end as author from facts"),
         "author_meta": with_ctes(deco, page, "select page_id, case when author_source = 'meta' then author end as author from facts"),
         "author_byline": with_ctes(deco, page, "select page_id, case when author_source = 'byline' then author end as author from facts"),
         "page_author": with_ctes(deco, page, "select page_id, author from facts"),
@@ -486,6 +487,9 @@ def oracle_sql():
             case when language is null then {q(R.MISSING_ITEM)} end as ai_error from classified"""),
         "batch_error_spread": with_ctes([], CLASSIFIED, "select batch_id, url, batch_error from answers"),
         "read_replies": with_ctes([], CLASSIFIED, "select url, niche, site_type, language, author, confidence_niche, confidence_type, confidence_language, confidence_author, ai_error from classified"),
+        # Errors of the batch that was answered, or that nobody did, whichever batch is later.
+        "read_replies_odd": with_ctes([], CLASSIFIED, f"""select url, niche, site_type, language, author, confidence_niche, confidence_type, confidence_language, confidence_author,
+            case when ai_error is not null then {q(R.NO_REPLY)} end as ai_error from classified"""),
         "classify_sites": with_ctes(deco, scored_ctes("pages_decorated"), "select page_id, niche, site_type, language, author, confidence_niche, confidence_type, confidence_language, cast(confidence_author as int) as confidence_author from scorer"),
         "author_precedence": with_ctes(["pages_decorated"], MERGED, "select url, author from merged"),
         "result_merge": with_ctes(["pages_decorated"], MERGED[:-1], "select url, niche, site_type, language, author, email, confidence_niche, confidence_type, confidence_author, cms, status, error from merged"),

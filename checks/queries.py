@@ -269,6 +269,11 @@ def author_jsonld(spark, pages_decorated):
     return authors.author_jsonld(pages_decorated)
 
 
+@query
+def author_jsonld_odd(spark, pages_odd):
+    return authors.author_jsonld(pages_odd)
+
+
 @query
 def author_meta(spark, pages_decorated):
     return authors.author_meta(pages_decorated)
@@ -443,6 +448,13 @@ def read_replies(spark, pages, replies):
     return unpack(classify.read_replies(_requests(pages), replies))
 
 
+@query
+def read_replies_odd(spark, pages, replies_odd):
+    # Every site is asked for in two batches; nobody answers the second.
+    asked = _requests(pages)
+    return unpack(classify.read_replies(asked.unionByName(asked.withColumn("batch_id", F.col("batch_id") + 1_000_000)), replies_odd))
+
+
 @query
 def classify_sites(spark, pages_decorated):
     rows = classify.classify_sites(pages.page_facts(pages_decorated))

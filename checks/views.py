@@ -89,6 +89,11 @@ VIEWS = {
             when 0 then concat('```json', chr(10), '[', %AGG%, ']', chr(10), '```')
             else concat('[', %AGG%, ',5]') end as reply
         from <<reply_items>> group by batch_id""",
+    # The same with a repeated key and a number that is none in every item, the last key being right.
+    "replies_odd": """
+        select batch_id, replace(reply, '{"url"', '{"niche":"stale","weight":NaN,"url"') as reply from <<replies>>""",
+    "pages_odd": """
+        select page_id, url, replace(html, '"author":', '"author":"Stale Name","rank":-Infinity,"author":') as html from <<pages_decorated>>""",
 }
 _SPARK_AGG = "listagg(item, ',') within group (order by page_id)"
 _DUCK_AGG = "string_agg(item, ',' order by page_id)"

@@ -11,6 +11,7 @@ from ..lookups import (
     NON_NAME_WORDS,
 )
 from .html import attr, has_class, inner_text, meta_content, single_string
+from .nodes import LINKED_DATA, PLAIN_JSON
 from .text import bind, first_of, listed_words, squeeze, strip
 
 _LOW = r"[a-z\x{c0}-\x{24f}]"
@@ -90,11 +91,14 @@ def author_from_jsonld(nodes, unicode_split: bool = False) -> Column:
     """First clean name in the page's JSON-LD blocks. Items that are not objects are skipped."""
     scripts = F.filter(
         nodes,
-        lambda n: (n["tag"] == "script") & (attr(n, "type") == "application/ld+json"),
+        lambda n: (n["tag"] == "script") & (attr(n, "type") == LINKED_DATA),
     )
     found = F.transform(
         F.filter(
-            F.transform(scripts, lambda n: single_string(nodes, n)), lambda s: s.isNotNull()
+            F.transform(scripts, lambda n: bind(
+                single_string(nodes, n), lambda s: F.when(s.isNotNull(), F.coalesce(attr(n, PLAIN_JSON), s))
+            )),
+            lambda s: s.isNotNull(),
         ),
         _jsonld_candidates,
     )

@@ -16,6 +16,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..lookups import BOILERPLATE_TAGS
+from .json_text import plain_json
 
 # The reader travels with the job, so executors need not have this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -26,6 +27,9 @@ VOID_TAGS = frozenset(
     " basefont bgsound command frame image isindex nextid spacer".split()
 )
 QUIET_TAGS = frozenset(("script", "style", "template", "rt", "rp"))
+# Structured data, and the attribute of its script that holds it as plain JSON where the text is not.
+LINKED_DATA = "application/ld+json"
+PLAIN_JSON = "#json"
 # Attributes the built-in operators look at.
 USED_ATTRS = ("id", "class", "rel", "type", "property", "name", "content", "href")
 
@@ -74,6 +78,12 @@ class _NodeReader(HTMLParser):
         # White space counts only where an element's single string is asked for.
         if text.isspace() and not self.open_count.get("title"):
             return
+        if self.attr_names is not None and self.quiet and self.quiet[-1] == "script":
+            script = self.attrs[self.open_ids[-1]]
+            if script.get("type") == LINKED_DATA:
+                plain = plain_json(text)
+                if plain is not None:
+                    script[PLAIN_JSON] = _clean(plain)
         self._add("#text", self.quiet[-1] if self.quiet else "", self.open_cut > 0, None, text)
 
     def handle_starttag(self, tag, attrs):

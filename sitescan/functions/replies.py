@@ -4,6 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..lookups import SITE_TYPES
+from .json_text import read_json
 from .text import blank_to_null, strip
 
 EMPTY_REPLY = "empty reply"
@@ -60,9 +61,18 @@ def site_type(raw) -> Column:
     return F.coalesce(*(F.when(low == t.lower(), F.lit(t)) for t in SITE_TYPES), F.lit("Unknown"))
 
 
-def reply_error(reply) -> Column:
-    """Why a whole reply cannot be used, or NULL."""
-    value = F.try_parse_json(unfence(reply))
+def reply_value(reply) -> Column:
+    """A whole reply as a variant, NULL if it cannot be read.
+
+    Spark's reader stops behind the value, so the end is looked at here: words after an array spoil it.
+    """
+    text = unfence(reply)
+    closed = (text.startswith("[") == text.endswith("]")) & (text.startswith("{") == text.endswith("}"))
+    return read_json(F.when(closed, text))
+
+
+def reply_error(reply, value) -> Column:
+    """Why a whole reply cannot be used, or NULL; `value` is what `reply_value` makes of it."""
     return (
         F.when(F.coalesce(blank_to_null(strip(reply)).isNull(), F.lit(True)), EMPTY_REPLY)
         .when(value.isNull(), INVALID_REPLY)

@@ -72,10 +72,20 @@ def reply_explode(replies: DataFrame) -> DataFrame:
     """One row per object of a usable reply.
 
     replies(batch_id, reply) -> (batch_id, pos, url, niche, site_type, language,
-    author, confidence, ai_error). A field of a wrong type spoils only its own row.
+    author, confidence, ai_error). A field of a wrong type spoils only its own row; a
+    repeated key or a number that is none spoils nothing.
     """
-    items = F.try_variant_get(F.try_parse_json(R.unfence(F.col("reply"))), "$", "array<variant>")
-    rows = replies.select("batch_id", F.posexplode(items).alias("pos", "item")).where(
+    return _exploded(_read(replies))
+
+
+def _read(replies: DataFrame) -> DataFrame:
+    """Adds _value, the reply as a variant, read once."""
+    return replies.withColumn("_value", R.reply_value(F.col("reply")))
+
+
+def _exploded(read: DataFrame) -> DataFrame:
+    items = F.try_variant_get("_value", "$", "array<variant>")
+    rows = read.select("batch_id", F.posexplode(items).alias("pos", "item")).where(
         R.kind_of(F.col("item")).startswith("OBJECT")
     )
     item = F.col("item")
@@ -107,8 +117,18 @@ def confidence_clamp(items: DataFrame, column: str = "item") -> DataFrame:
 
 
 def batch_errors(replies: DataFrame) -> DataFrame:
-    """(batch_id, batch_error), NULL where the reply can be read."""
-    return replies.select("batch_id", R.reply_error(F.col("reply")).alias("batch_error"))
+    """(batch_id, batch_error), NULL where the reply can be read.
+
+    A column `error`, if there is one, holds the reason why a call has failed; it comes first.
+    """
+    return _errors(_read(replies))
+
+
+def _errors(read: DataFrame) -> DataFrame:
+    error = R.reply_error(F.col("reply"), F.col("_value"))
+    if "error" in read.columns:
+        error = F.coalesce(F.when(F.col("error") != "", F.col("error")), error)
+    return read.select("batch_id", error.alias("batch_error"))
 
 
 def batch_error_spread(requests: DataFrame, replies: DataFrame) -> DataFrame:
@@ -143,17 +163,19 @@ def reply_gap_fill(requests: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def read_replies(requests: DataFrame, replies: DataFrame) -> DataFrame:
-    """Replies to classifications, whole-batch errors included.
+    """Replies to classifications, whole-batch errors included: one row per URL.
 
-    One row per batch and URL, however often a URL was requested in it.
+    Of a URL that was requested in several batches an answer without an error counts, of several the
+    one in the last batch. replies may have a column `error`, see `batch_errors`.
     """
+    read = _read(replies)
     asked = requests.select("batch_id", "url").distinct()
-    errors = batch_errors(replies).withColumn("_answered", F.lit(True))
+    errors = _errors(read).withColumn("_answered", F.lit(True))
     error = F.when(F.col("_answered").isNull(), R.NO_REPLY).otherwise(F.col("batch_error"))
-    return reply_gap_fill(asked, reply_explode(replies)).join(errors, "batch_id", "left").select(
-        "url", "niche", "site_type", "language", "author", "confidence",
-        F.coalesce(error, "ai_error").alias("ai_error"),
-    )
+    fields = ["niche", "site_type", "language", "author", "confidence", "ai_error"]
+    rows = reply_gap_fill(asked, _exploded(read)).join(errors, "batch_id", "left").withColumn("ai_error", F.coalesce(error, "ai_error"))
+    best = F.min_by(F.struct(*fields), F.struct(F.col("ai_error").isNotNull(), -F.col("batch_id")))
+    return rows.groupBy("url").agg(best.alias("_c")).select("url", "_c.*")
 
 
 def classify_sites(facts: DataFrame, site_types=SITE_TYPE_WORDS, niches=NICHE_WORDS) -> DataFrame:

@@ -85,3 +85,17 @@ def test_byline_order_and_inner_text(on_nodes):
     got = on_nodes(A.author_from_byline, *cases)
     assert got[0] == "Ann Lee" and got[1] == "Ann Lee" and got[3] == "Ann Lee"
     assert got[2] == "By Ann Lee"
+
+
+def test_structured_data_with_repeated_keys_and_numbers_that_are_none(on_nodes):
+    ld = lambda t: f'<script type="application/ld+json">{t}</script>'
+    pages = {
+        ld('{"author":"Old Name","author":"Jane Smith"}'): "Jane Smith",
+        ld('{"rating":NaN,"author":{"name":"Bob Lee"}}'): "Bob Lee",
+        ld('[{"x":Infinity},{"author":[{"name":"Ana Cruz","name":"Ana Maria Cruz"}]}]'): "Ana Maria Cruz",
+        ld('{"author":"Old Name","author":NaN}'): None,
+        ld('{"author":"Jane Smith",NaN}'): None,
+        ld('{"x":NaN}') + ld('{"author":"Second Block"}'): "Second Block",
+        '<script>{"author":"Not Data","author":NaN}</script>': None,
+    }
+    assert on_nodes(A.author_from_jsonld, *pages) == list(pages.values())

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from sitescan import lookups
 from sitescan.functions import labels, languages, replies
+from sitescan.functions.json_text import plain_json
 from sitescan.functions.replies import BAD_ITEM, EMPTY_REPLY, INVALID_REPLY, MISSING_ITEM, NO_REPLY, NOT_AN_ARRAY
 from sitescan.operators import classify
 from sitescan.samples import LANGUAGES
@@ -63,6 +64,38 @@ def test_replies(rows):
     assert [got[u].ai_error for u in "efghi"] == [INVALID_REPLY, NOT_AN_ARRAY, EMPTY_REPLY, NO_REPLY, NO_REPLY]
 
 
+def test_repeated_keys_and_numbers_that_are_none_spoil_nothing(rows):
+    first = '[{"url":"a","niche":"stale","niche":"N","score":NaN,"confidence":{"niche":10,"niche":55,"author":-Infinity}},{"url":"b","site_type":"News"}]'
+    got = read(rows, [(1, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")], (1, first), (2, '{"a":1,"a":NaN}'), (3, '[{"url":"d"},{"url":"d","x":NaN}'), (4, '[{"url":"e"}] end'))
+    assert (got["a"].niche, got["a"].confidence.niche, got["a"].confidence.author, got["a"].ai_error) == ("N", 55, 0, None)
+    assert (got["b"].site_type, got["b"].ai_error) == ("News", None)
+    # What Python's reader refuses too stays refused.
+    assert [got[u].ai_error for u in "cde"] == [NOT_AN_ARRAY, INVALID_REPLY, INVALID_REPLY]
+
+
+def test_plain_json():
+    assert plain_json('{"a": 1, "a": [NaN, {"b": 1, "b": "é"}]}') == '{"a": [null, {"b": "é"}]}'
+    assert [plain_json(t) for t in ('{"a": 1}', "[1, 2]", "", "NaN]", '{"a":', "[" * 100_000)] == [None] * 6
+    assert plain_json("-Infinity") == "null"
+
+
+def test_a_url_in_two_batches_gives_one_row(rows):
+    two = [(1, "a"), (2, "a"), (1, "b"), (2, "b"), (3, "b"), (1, "c"), (2, "c"), (2, "c")]
+    got = rows("batch_id bigint, url string", *two)
+    answers = rows("batch_id bigint, reply string", (1, json.dumps([item("a", niche="1"), item("b", niche="1")])), (2, json.dumps([item("b", niche="2")])))
+    found = classify.read_replies(got, answers).collect()
+    assert sorted((r.url, r.niche, r.ai_error) for r in found) == [("a", "1", None), ("b", "2", None), ("c", None, MISSING_ITEM)]
+
+
+def test_reasons_of_failed_calls_are_carried(rows):
+    asked = rows("batch_id bigint, url string", (1, "a"), (2, "b"), (3, "c"), (4, "d"))
+    replies_ = rows("batch_id bigint, reply string, error string", (1, None, "rate limit"), (2, "nope", None), (3, json.dumps([item("c")]), ""), (4, None, None))
+    got = {r.url: r.ai_error for r in classify.read_replies(asked, replies_).collect()}
+    assert got == {"a": "rate limit", "b": INVALID_REPLY, "c": None, "d": EMPTY_REPLY}
+    errors = {r.url: r.batch_error for r in classify.batch_error_spread(asked, replies_).collect()}
+    assert errors["a"] == "rate limit"
+
+
 def facts(rows, *pages):
     schema = (
         "url string, title string, meta_description string, body_text string, cms string,"
