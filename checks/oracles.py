@@ -392,6 +392,11 @@ def oracle_sql():
     delay = 2_000_000
     return {
         "url_scan": "select page_id as pos, url from pages",
+        "url_scan_mixed": """select page_id, url, case page_id % 3 when 0 then 'a;b' when 1 then concat('two', chr(10), 'lines ', url) else 'x,y' end as note,
+            cast(null as varchar) as odd from pages""",
+        "url_load": with_ctes(["raw_urls"], [NORMALIZED], """select url, min(pos) as pos, (select count(distinct url) from normalized) as unique_urls,
+            (select count(*) - count(url) from normalized) as invalid, (select count(url) - count(distinct url) from normalized) as duplicates
+            from normalized where url is not null group by url"""),
         "url_normalize": with_ctes(["raw_urls"], [NORMALIZED], "select pos, url from normalized where url is not null"),
         "url_dedupe": with_ctes(["raw_urls"], [NORMALIZED], "select url, min(pos) as pos from normalized where url is not null group by url"),
         "url_load_audit": with_ctes(["raw_urls"], [NORMALIZED], "select count(distinct url) as unique_urls, cast(count(*) - count(url) as bigint) as invalid, cast(count(url) - count(distinct url) as bigint) as duplicates from normalized"),
@@ -498,6 +503,7 @@ def oracle_sql():
         "result_format": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {_SHOWN} from checked"),
         "csv_sink": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {_SHOWN} from checked"),
         "result_rewrite": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {RESULT_FIELDS} from checked"),
+        "run_stamp": "select strftime(ts, 'crawl_%Y-%m-%d_%H%M%S') as run_id, count(*) as n from events group by 1",
         "json_archive": with_ctes(["pages_decorated"], MERGED[:-1], "select url, niche, site_type, language, author, email, confidence_niche, confidence_type, confidence_author, cms, status, error from results"),
         "run_summary": with_ctes(["pages_decorated"], MERGED[:-1], """select count(*) as total, count_if(status in ('OK', 'AI_ERROR')) as successful,
             count_if(status not in ('OK', 'AI_ERROR')) as failed from results""").replace("count_if(status in", "count(*) filter (status in").replace("count_if(status not in", "count(*) filter (status not in"),

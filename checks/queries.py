@@ -57,6 +57,30 @@ def url_scan(spark, pages):
     )
 
 
+@query
+def url_scan_mixed(spark, pages):
+    """Files with headers of their own: other names, other separators, quoted line breaks."""
+    place = scratch(spark)
+    kinds = [
+        pages.select("page_id", F.col("url").alias("Website"), F.lit("a;b").alias("note")),
+        pages.select(F.col("url").alias("URL"), F.concat(F.lit("two\nlines "), "url").alias("note"), "page_id"),
+        pages.select(F.lit("x,y").alias("note"), "page_id", F.col("url").alias("link")),
+    ]
+    for i, (kind, sep) in enumerate(zip(kinds, ",;\t")):
+        kind.where(F.col("page_id") % 3 == i).write.option("header", True).option("sep", sep).csv(f"{place}/{i}")
+    scan = tables.url_scan(spark, f"{place}/*", keep_columns=True, ragged="odd")
+    return scan.select(F.col("page_id").cast("bigint").alias("page_id"), F.col("raw").alias("url"), "note", "odd")
+
+
+@query
+def url_load(spark, raw_urls):
+    """The load and its audit from one pass: every URL with the counts of all."""
+    place = scratch(spark)
+    loaded, counts = urls.url_load(raw_urls)
+    loaded.write.parquet(place)
+    return spark.read.parquet(place).select("url", "pos", *(F.lit(n).cast("bigint").alias(name) for name, n in counts.get().items()))
+
+
 @query
 def url_normalize(spark, raw_urls):
     return urls.url_normalize(raw_urls).select("pos", "url")
@@ -526,12 +550,27 @@ def csv_sink(spark, pages_decorated, replies, mx_snapshot):
 
 @query
 def result_rewrite(spark, pages_decorated, replies, mx_snapshot):
+    """A run written twice, one emptied, and a rewrite that fails: readers see the last complete rows."""
     place = scratch(spark)
     rows = _results(pages_decorated, replies)
     tables.write_run(rows, place, "run")
-    stored = spark.read.schema(rows.schema).parquet(f"{place}/run_id=run")
-    tables.write_run(profile.validate_rows(stored, mx_snapshot), place, "validated")
-    return spark.read.parquet(place).where(F.col("run_id") == "validated").drop("run_id")
+    tables.write_run(rows, place, "emptied")
+    tables.write_run(rows.where("false"), place, "emptied")
+    tables.write_run(profile.validate_rows(tables.read_runs(spark, place, "run"), mx_snapshot), place, "run")
+    broken = rows.withColumn("url", F.when(F.length("url") > 0, F.raise_error(F.lit("stopped half-way"))).otherwise(F.col("url")))
+    try:
+        tables.write_run(broken, place, "run")
+    except Exception as exc:  # the error of the rows, from Spark
+        if "stopped half-way" not in str(exc):
+            raise
+    tables.clean_runs(spark, place)
+    return tables.read_runs(spark, place).drop("run_id")
+
+
+@query
+def run_stamp(spark, events):
+    stamp = tables.run_stamp_of(F.col("ts"), "crawl")
+    return events.groupBy(stamp.alias("run_id")).agg(F.count("*").alias("n"))
 
 
 @query

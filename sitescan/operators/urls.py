@@ -1,6 +1,7 @@
 """From raw cells to a clean list of URLs."""
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.urls import normalize_url
@@ -34,6 +35,41 @@ def url_load_audit(raw: DataFrame, column: str = "raw") -> DataFrame:
     )
 
 
+class LoadCounts:
+    """Counts of a load, taken while it runs. They are there once its rows have been used."""
+
+    def __init__(self):
+        self.read, self.kept = Observation(), Observation()
+
+    def get(self) -> dict[str, int]:
+        """unique_urls, invalid, duplicates; waits for the load to be used."""
+        read, kept = ({"rows": 0, "invalid": 0} | self._of(x) for x in (self.read, self.kept))
+        valid = read["rows"] - read["invalid"]
+        return {"unique_urls": kept["rows"], "invalid": read["invalid"], "duplicates": valid - kept["rows"]}
+
+    @staticmethod
+    def _of(observation) -> dict[str, int]:
+        try:
+            return observation.get
+        except Py4JJavaError:
+            # Where Spark knows that there are no rows it leaves out the plan with its counts, which gives no row of them.
+            return {}
+
+
+def url_load(raw: DataFrame, column: str = "raw", pos: str = "pos") -> tuple[DataFrame, LoadCounts]:
+    """`url_dedupe` of `url_normalize`, and its audit without a second pass.
+
+    The counts are observed on the rows as they pass, before and after repeats are merged. They count
+    the first use of the rows.
+    """
+    counts = LoadCounts()
+    url = raw.select(normalize_url(F.col(column)).alias("url"), pos)
+    invalid = F.coalesce(F.count_if(F.col("url").isNull()), F.lit(0))
+    seen = url.observe(counts.read, F.count(F.lit(1)).alias("rows"), invalid.alias("invalid"))
+    once = url_dedupe(seen.where(F.col("url").isNotNull()), pos)
+    return once.observe(counts.kept, F.count(F.lit(1)).alias("rows")), counts
+
+
 def url_merge(urls: DataFrame, discovered: DataFrame) -> DataFrame:
     """Append the discovered URLs that are not in the list yet. Both sides: url, pos.
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitescan import lookups as L
-from sitescan.operators import results
+from sitescan.operators import results, urls
 from sitescan.plans import profile
 from sitescan.sources import tables
 
@@ -74,17 +74,68 @@ def test_sinks(spark, rows, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).columns == sorted(FIELDS)
 
 
+def runs_in(spark, place, *names):
+    return sorted((r.run_id, r.url) for r in tables.read_runs(spark, place, *names).collect())
+
+
 def test_runs(spark, rows, tmp_path):
     place = str(tmp_path / "runs")
     table = rows("url string, status string", ("a", "OK"), ("b", "OK"))
-    tables.write_run(table, place, "one")
-    tables.write_run(table, place, "two")
-    tables.write_run(table.where("url = 'a'"), place, "two")
-    counts = spark.read.parquet(place).groupBy("run_id").count().collect()
-    assert {r.run_id: r["count"] for r in counts} == {"one": 2, "two": 1}
+    assert [tables.write_run(table, place, name) for name in ("one", "two", "007", "a/b=c d")] == [2] * 4
+    assert tables.write_run(table.where("url = 'a'"), place, "two") == 1
+    assert runs_in(spark, place) == sorted([(n, u) for n in ("one", "007", "a/b=c d") for u in "ab"] + [("two", "a")])
+    assert runs_in(spark, place, "007", "two") == [("007", "a"), ("007", "b"), ("two", "a")]
+    assert tables.read_runs(spark, place).columns == ["url", "status", "run_id"]
+    with pytest.raises(FileNotFoundError):
+        tables.read_runs(spark, place, "none")
     assert tables.run_stamp(at=datetime(2026, 4, 10, 14, 30, 22)) == "results_2026-04-10_143022"
 
 
+def test_a_failed_rewrite_leaves_the_old_rows(spark, rows, tmp_path):
+    place = str(tmp_path / "runs")
+    table = rows("url string", "a", "b")
+    tables.write_run(table, place, "one")
+    broken = table.withColumn("url", F.when(F.col("url") == "b", F.raise_error(F.lit("stopped"))).otherwise(F.col("url")))
+    with pytest.raises(Exception, match="stopped"):
+        tables.write_run(broken, place, "one")
+    assert runs_in(spark, place) == [("one", "a"), ("one", "b")]
+    # Rows that were written but never committed count as little: a first write that fails makes no run.
+    with pytest.raises(Exception, match="stopped"):
+        tables.write_run(broken, place, "never")
+    table.write.parquet(f"{place}/rows/run_id=torn/version=1")
+    assert runs_in(spark, place) == [("one", "a"), ("one", "b")]
+    tables.write_run(table.where("url = 'a'"), place, "one")
+    assert tables.clean_runs(spark, place) >= 2
+    assert runs_in(spark, place) == [("one", "a")] and tables.clean_runs(spark, place) == 0
+    # New columns of a later run are null in the others.
+    tables.write_run(table.withColumn("extra", F.lit(1)), place, "two")
+    assert sorted((r.url, r.extra) for r in tables.read_runs(spark, place).collect() if r.run_id == "one") == [("a", None)]
+
+
+def counted(spark, table):
+    """The table, and an accumulator of the rows that have been read from it."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    return table.mapInPandas(count, table.schema), seen
+
+
+def test_sinks_and_audits_run_their_input_once(spark, rows, tmp_path):
+    table, seen = counted(spark, rows("pos bigint, raw string", *[(i, t) for i, t in enumerate(["a.com", "a.com", "nan", None, "b.com", "junk"])]))
+    assert tables.csv_sink(table, str(tmp_path / "csv")) == 6 and seen.value == 6
+    assert tables.write_run(table, str(tmp_path / "runs"), "r") == 6 and seen.value == 12
+    loaded, counts = urls.url_load(table)
+    assert sorted(loaded.collect()) == [("https://a.com", 0), ("https://b.com", 4)] and seen.value == 18
+    assert counts.get() == {"unique_urls": 2, "invalid": 3, "duplicates": 1} and seen.value == 18
+    assert tuple(counts.get().values()) == tuple(urls.url_load_audit(table).first())
+    empty, counts = urls.url_load(table.limit(0))
+    assert empty.collect() == [] and counts.get() == {"unique_urls": 0, "invalid": 0, "duplicates": 0}
+
+
 def crawl(rows):
     return rows(
         "url string, html string, fetch_status string, fetch_error string",

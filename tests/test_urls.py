@@ -107,10 +107,46 @@ def test_scan(spark, tmp_path):
     assert [r.raw for r in tables.url_scan(spark, path).orderBy("pos").collect()] == ["a.com", "007"]
 
 
+def test_scan_of_files_with_headers_of_their_own(spark, tmp_path):
+    folder = tmp_path / "lists with blanks"
+    folder.mkdir()
+    (folder / "a.csv").write_text('url,notes\na.com,"two\nlines, one ""cell"""\nb.com,x\n')
+    (folder / "b.csv").write_text("notes;Website\ny;c.com\nz;d.com;more\nonly\n")
+    (folder / "c.csv").write_text("\n\ufeffname\tURL\tname\nn\te.com\tm\n")
+    (folder / "d.csv").write_text("url,notes\nf.com,w\n")
+    got = tables.url_scan(spark, str(folder), keep_columns=True, ragged="odd").collect()
+    assert {(r.raw, r.notes, r.name) for r in got} == {
+        ("a.com", 'two\nlines, one "cell"', None), ("b.com", "x", None), ("c.com", "y", None), ("d.com", "z", None), (None, "only", None),
+        ("e.com", None, "n"), ("f.com", "w", None),
+    }
+    assert {r.odd for r in got} == {None, "z;d.com;more", "only"}
+    assert len({r.pos for r in got}) == len(got) == 7
+    order = [r.raw for r in sorted(got, key=lambda r: r.pos) if r.raw in ("a.com", "b.com")]
+    assert order == ["a.com", "b.com"]
+    headers = {r.file.rsplit("/")[-1]: (r.header, r.split) for r in tables.csv_headers(spark, str(folder)).collect()}
+    assert headers["a.csv"] == ("url,notes", True) and headers["d.csv"] == ("url,notes", False)
+
+
+def test_large_files_without_broken_cells_are_read_in_pieces(spark, tmp_path):
+    path = _file(tmp_path, "url,n\n" + "".join(f"site{i}.org,{i}\n" for i in range(50_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        scan = tables.url_scan(spark, path, keep_columns=True)
+        assert scan.rdd.getNumPartitions() > 4
+        assert scan.agg({"raw": "count"}).first()[0] == 50_000 == scan.select("raw").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_scan_warns_when_no_column_has_a_known_name(spark, tmp_path):
+    with pytest.warns(UserWarning, match="the first one is taken"):
+        assert [r.raw for r in tables.url_scan(spark, _file(tmp_path, "who,what\na.com,b\n")).collect()] == ["a.com"]
+
+
 def test_scan_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         tables.url_scan(spark, str(tmp_path / "none.csv"))
-    for text in ("", "url\n"):
+    for text in ("", "url\n", "\n\n", "url\nnan\nnone\n"):
         with pytest.raises(ValueError):
             tables.url_scan(spark, _file(tmp_path, text))
 
