@@ -412,19 +412,20 @@ def oracle_sql():
         "noise_domain_filter": with_ctes(["links"], [], f"select * from links where not {NOISE}"),
         "url_origin": with_ctes(["links"], [], f"select query_id, rank, {origin('href')} as origin from links"),
         "origin_dedupe": f"select {origin('url')} as origin, min(page_id) as rank from pages group by 1",
+        "index_pattern_scan_stored": with_ctes(["queries", "url_index"], scan_ctes(N), "select * from scan"),
         "search_results_explode": with_ctes(["links"], [], f"""select query_id, cast(row_number() over (partition by query_id order by rank) as int) as rank, href as url
-            from links where rank <= {(2 * N // 10 + 1) * 10} qualify row_number() over (partition by query_id order by rank) <= {2 * N}"""),
+            from links qualify row_number() over (partition by query_id order by rank) <= {2 * N}"""),
         "discover": with_ctes(["queries", "url_index"], first_hit_ctes(2 * N), top_origins("first_hit", N)),
         "discover_links": with_ctes(
             ["links"],
             [f"""clean as (select query_id, row_number() over (partition by query_id order by rank) as rank, href as url from links
-                where rank <= {6 * N} and not {NOISE} qualify row_number() over (partition by query_id order by rank) <= {2 * N})"""],
+                where not {NOISE} qualify row_number() over (partition by query_id order by rank) <= {2 * N})"""],
             top_origins("clean", N)),
         "attempt_outcome": with_ctes(attempts, OUTCOMES, "select url, attempt, outcome, terminal, error from outcomes"),
         "attempt_resolve": with_ctes(attempts, RESOLVED, "select * from resolved"),
         "retry_backoff": with_ctes(attempts, OUTCOMES, """select url, attempt, outcome, cast(w as bigint) as wait_s,
             cast(sum(w) over (partition by url order by attempt rows unbounded preceding) as bigint) as total_wait_s
-            from (select *, case when not terminal and attempt < 3 then pow(2, attempt - 1) else 0 end as w from outcomes where attempt <= 3) o"""),
+            from (select *, case when not terminal and attempt < 3 then pow(2, attempt - 1) else 0 end as w from outcomes) o"""),
         "render_fallback": with_ctes(["plain", "rendered"], CHOSEN, "select * from picked"),
         "render_outcome": with_ctes(["rendered"], [RENDERED_JUDGED], "select url, fetch_status, fetch_error, http_error from rendered_judged"),
         "politeness_plan": with_ctes(

@@ -116,6 +116,14 @@ def index_pattern_scan(spark, queries, url_index):
     return discovery.index_pattern_scan(url_index, discovery.query_patterns(queries), N)
 
 
+@query
+def index_pattern_scan_stored(spark, queries, url_index):
+    """The same through an index of pieces that is stored first."""
+    place = scratch(spark)
+    discovery.write_piece_index(url_index, place)
+    return discovery.index_pattern_scan(url_index, discovery.query_patterns(queries), N, place)
+
+
 @query
 def index_first_hit(spark, queries, url_index):
     scan = discovery.index_pattern_scan(url_index, discovery.query_patterns(queries), N)
@@ -145,7 +153,7 @@ def search_results_explode(spark, links):
         .agg(F.array_sort(F.collect_list(F.struct("rank", F.col("href").alias("link")))).alias("found"))
         .select("query_id", "page", F.to_json(F.struct(F.col("found").alias("organic_results"))).alias("json"))
     )
-    return discovery.search_results_explode(archive, 2 * N, every_page=True)
+    return discovery.search_results_explode(archive, 2 * N)
 
 
 @query

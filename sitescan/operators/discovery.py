@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..functions.urls import is_noise, url_origin
 from ..lookups import GENERIC_QUERY_WORDS, WS
-from ..session import broadcast_if_small
+from ..session import broadcast_if_small, settled
 from .ordered import top_per_key
 
 MAX_PATTERNS = 6
@@ -20,8 +20,8 @@ PROVIDERS = {
 }
 
 
-def query_patterns(queries: DataFrame) -> DataFrame:
-    """Keyword queries to at most six URL patterns each, most specific first.
+def query_patterns(queries: DataFrame, most: int = MAX_PATTERNS) -> DataFrame:
+    """Keyword queries to at most `most` URL patterns each, most specific first.
 
     queries(query_id, query) -> (query_id, pattern_rank, pattern)
     """
@@ -49,7 +49,7 @@ def query_patterns(queries: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     patterns = F.when(
         F.size("words") > 0,
-        F.slice(F.array_distinct(F.concat(chained, joined, single)), 1, MAX_PATTERNS),
+        F.slice(F.array_distinct(F.concat(chained, joined, single)), 1, most),
     ).otherwise(none)
     return (
         queries.withColumn("words", words)
@@ -63,12 +63,10 @@ def _like(pattern):
     return F.replace(F.regexp_replace(pattern, r"([\\%_])", r"\\$1"), F.lit("*"), F.lit("%"))
 
 
-def _anchor(pattern):
-    """First characters of the longest literal part; every match contains them."""
-    parts = F.transform(
-        F.split(pattern, r"\*"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p"))
-    )
-    return F.substring(F.array_min(parts)["p"], 1, GRAM)
+def _pieces(pattern, size):
+    """All pieces of `size` characters of the pattern's literal parts; every match contains each of them."""
+    parts = F.filter(F.split(pattern, r"\*"), lambda p: F.length(p) >= size)
+    return F.array_distinct(F.flatten(F.transform(parts, lambda p: _grams(p, size))))
 
 
 def _grams(url, size):
@@ -77,21 +75,63 @@ def _grams(url, size):
     return F.when(F.length(url) >= size, cut)
 
 
-def match_patterns(urls: DataFrame, patterns: DataFrame) -> DataFrame:
+def _url_id(url):
+    # Equal ids of different URLs do no harm: every hit is tested.
+    return F.xxhash64(url)
+
+
+def url_pieces(urls: DataFrame) -> DataFrame:
+    """(piece, url_id): an inverted index of the four-character pieces of URLs. Nothing else of the rows is exploded."""
+    return urls.select(_url_id(F.col("url")).alias("url_id"), F.explode(_grams(F.col("url"), GRAM)).alias("piece")).select("piece", "url_id")
+
+
+def write_piece_index(urls: DataFrame, path: str) -> None:
+    """Store the index of a crawl index for any number of searches: postings in the order of the pieces, and their counts.
+
+    A search reads only the row groups that hold its pieces. A piece that all URLs share is spread over
+    several files.
+    """
+    pieces = url_pieces(urls.select("url").distinct())
+    pieces.repartitionByRange("piece", "url_id").sortWithinPartitions("piece", "url_id").write.mode("overwrite").parquet(f"{path}/postings")
+    postings = urls.sparkSession.read.parquet(f"{path}/postings")
+    postings.groupBy("piece").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{path}/counts")
+
+
+def chosen_pieces(patterns: DataFrame, counts: DataFrame) -> DataFrame:
+    """(pattern, piece): for each pattern the piece of it that fewest URLs hold, by `counts(piece, n)`.
+
+    A pattern with a piece that no URL holds has no match, and gives no row.
+    """
+    every = patterns.select("pattern", F.explode(_pieces(F.col("pattern"), GRAM)).alias("piece"))
+    rarity = F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")
+    best = every.join(counts, "piece", "left").groupBy("pattern").agg(F.min(rarity).alias("best"))
+    return best.where(F.col("best.n") > 0).select("pattern", F.col("best.piece").alias("piece"))
+
+
+def match_patterns(urls: DataFrame, patterns: DataFrame, index: str | None = None) -> DataFrame:
     """Pairs of (pattern, row of `urls`) where the glob matches the whole URL.
 
     An equi-join on short pieces of text instead of testing every pattern on
-    every URL: a pattern is looked up by a piece all its matches must contain.
-    Patterns whose literal parts are all shorter than the piece go a second
+    every URL: a pattern is looked up by the rarest piece all its matches must contain. Only pieces and
+    ids of URLs meet the patterns; URLs themselves are fetched last, by id, and tested.
+    `index` is where `write_piece_index` has stored the pieces of these URLs, if it has; otherwise
+    those pieces that occur in any pattern are worked out and written once.
+
+    Patterns whose literal parts are all shorter than a piece go a second
     way, by the pieces of their own length.
     """
-    keyed = patterns.select("pattern").distinct().select(
-        "pattern", _like(F.col("pattern")).alias("_like"), _anchor(F.col("pattern")).alias("_gram")
-    )
-    keyed = broadcast_if_small(keyed)
-    long = F.length("_gram") == GRAM
-    usual, short = keyed.where(long), keyed.where(~long)
-    by_gram = urls.withColumn("_gram", F.explode(_grams(F.col("url"), GRAM)))
+    every = patterns.select("pattern").distinct()
+    is_long = F.size(_pieces(F.col("pattern"), GRAM)) > 0
+    usual, short = every.where(is_long), every.where(~is_long)
+    if index is None:
+        asked = usual.select(F.explode(_pieces(F.col("pattern"), GRAM)).alias("piece")).distinct()
+        postings = settled(url_pieces(urls).join(broadcast_if_small(asked), "piece", "left_semi"))
+        counts = postings.groupBy("piece").agg(F.count("*").alias("n"))
+    else:
+        postings, counts = (urls.sparkSession.read.parquet(f"{index}/{name}") for name in ("postings", "counts"))
+    found = postings.join(chosen_pieces(usual, counts), "piece").select("pattern", "url_id").distinct()
+    hits = urls.withColumn("url_id", _url_id(F.col("url"))).join(found, "url_id").drop("url_id")
+
     pieces = F.array_distinct(
         F.flatten(
             F.array(
@@ -103,20 +143,21 @@ def match_patterns(urls: DataFrame, patterns: DataFrame) -> DataFrame:
             )
         )
     )
-    by_piece = urls.withColumn("_gram", F.explode(pieces))
-    hits = by_gram.join(usual, "_gram").unionByName(by_piece.join(short, "_gram"))
-    return hits.where(F.like("url", F.col("_like"))).drop("_gram", "_like")
+    parts = F.transform(F.split("pattern", r"\*"), lambda p: F.struct((-F.length(p)).alias("n"), p.alias("p")))
+    keyed = broadcast_if_small(short.withColumn("_piece", F.array_min(parts)["p"]))
+    hits = hits.unionByName(urls.withColumn("_piece", F.explode(pieces)).join(keyed, "_piece").drop("_piece"))
+    return hits.where(F.like("url", _like(F.col("pattern"))))
 
 
-def index_pattern_scan(url_index: DataFrame, patterns: DataFrame, n: int) -> DataFrame:
+def index_pattern_scan(url_index: DataFrame, patterns: DataFrame, n: int, index: str | None = None) -> DataFrame:
     """Up to `n` URLs per query, crawl index and pattern, in URL order.
 
-    url_index(crawl_index, index_rank, url, status_code); only status 200 counts.
+    url_index(crawl_index, index_rank, url, status_code); only status 200 counts. `index` as for `match_patterns`.
     """
     good = url_index.where(F.col("status_code") == 200).select("crawl_index", "index_rank", "url")
     # Distinct patterns are matched and cut once, then handed to the queries that share them.
     hits = top_per_key(
-        match_patterns(good, patterns), ["pattern", "crawl_index", "index_rank"], ["url"], n,
+        match_patterns(good, patterns, index), ["pattern", "crawl_index", "index_rank"], ["url"], n,
         "url_rank",
     )
     wanted = patterns.select("query_id", "pattern_rank", "pattern")
@@ -158,21 +199,14 @@ def origin_dedupe(links: DataFrame, keys=(), rank: str = "rank") -> DataFrame:
     return origin.groupBy(*keys, "origin").agg(F.min(rank).alias(rank))
 
 
-def search_results_explode(pages: DataFrame, n: int, field: str = "organic_results",
-                           every_page: bool = False) -> DataFrame:
+def search_results_explode(pages: DataFrame, n: int, field: str = "organic_results") -> DataFrame:
     """Archived result pages to ranked links, first `n` per query.
 
-    pages(query_id, page, json). A page that cannot be read ends its query, as
-    does the page on which `n` links are reached. Without `every_page`, only the
-    pages count that a live search for `n` links asks for, ten links a page.
+    pages(query_id, page, json). All archived pages count. A page that cannot be read ends its query, as
+    does the page on which `n` links are reached.
     """
     schema = f"{field} array<struct<link:string>>"
-    wanted = F.lit(True) if every_page else F.col("page") < n // 10 + 1
-    read = (
-        pages.where(wanted)
-        .withColumn("ok", F.try_parse_json("json").isNotNull())
-        .withColumn("links", F.from_json("json", schema)[field])
-    )
+    read = pages.withColumn("ok", F.try_parse_json("json").isNotNull()).withColumn("links", F.from_json("json", schema)[field])
     broken = (
         read.where(~F.col("ok")).groupBy("query_id").agg(F.min("page").alias("_broken"))
     )
@@ -210,7 +244,7 @@ def discover(source: DataFrame, n: int = 50, provider: str = "duckduckgo",
         )
         raw = top_per_key(clean, ["query_id"], ["found_rank", "url"], raw_n)
     else:
-        raw = search_results_explode(source, raw_n, kind, every_page=True)
+        raw = search_results_explode(source, raw_n, kind)
     origins = origin_dedupe(raw, ["query_id"])
     return top_per_key(
         origins.withColumnRenamed("rank", "first_rank"), ["query_id"], ["first_rank"], n

@@ -31,18 +31,45 @@ def test_patterns(rows):
 
 
 @pytest.mark.parametrize("seed", [1, 2])
-def test_match_equals_glob(rows, seed):
+def test_match_equals_glob(rows, seed, tmp_path):
     """The lookup by pieces finds what testing every pattern on every URL finds."""
     rng = random.Random(seed)
     text = lambda n: "".join(rng.choice("ab%_.c\\") for _ in range(n))
     urls = sorted({text(rng.randint(0, 14)) for _ in range(150)})
     globs = sorted({rng.choice(["*", ""]) + "*".join(text(rng.randint(0, 6)) for _ in range(3)) + "*" for _ in range(60)})
     globs += ["*", "**", "*a*"]
-    out = discovery.match_patterns(rows("url string", *urls), rows("pattern string", *globs))
+    table, wanted = rows("url string", *urls), rows("pattern string", *globs)
     want = sorted(
         (g, u) for g in globs for u in urls if fnmatch.fnmatchcase(u, g.replace("[", "[[]").replace("?", "[?]"))
     )
-    assert sorted((r.pattern, r.url) for r in out.collect()) == want
+    discovery.write_piece_index(table, str(tmp_path))
+    for out in (discovery.match_patterns(table, wanted), discovery.match_patterns(table, wanted, str(tmp_path))):
+        assert sorted((r.pattern, r.url) for r in out.collect()) == want
+
+
+def test_repeated_urls_are_matched_each(rows):
+    table = rows("i int, url string", (1, "https://travel.org"), (2, "https://travel.org"), (3, "https://other.org"))
+    out = discovery.match_patterns(table, rows("pattern string", "*travel*", "*travel*")).collect()
+    assert sorted(r.i for r in out) == [1, 2]
+
+
+def test_the_rarest_piece_is_chosen(rows):
+    urls = rows("url string", *[f"https://site{i}.example.com/blog/{'zebra' if i == 7 else 'page'}" for i in range(50)])
+    patterns = rows("pattern string", "https://*.example.com/blog/zebra", "*blog*", "*nowhere*blog*")
+    counts = discovery.url_pieces(urls).groupBy("piece").agg(F.count("*").alias("n"))
+    got = {r.pattern: r.piece for r in discovery.chosen_pieces(patterns, counts).collect()}
+    # Pieces that all URLs share, as http and .com, are never looked up where there is another; a pattern with an unknown one not at all.
+    assert set(got) == {"https://*.example.com/blog/zebra", "*blog*"} and "z" in got["https://*.example.com/blog/zebra"]
+
+
+def test_only_pieces_and_ids_are_exploded(rows, spark, tmp_path):
+    urls = rows("url string, wide string", ("https://travel.org", "x"))
+    discovery.write_piece_index(urls, str(tmp_path))
+    out = discovery.match_patterns(urls, rows("pattern string", "*travel*"), str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # One explosion, that of short patterns' pieces; the others come from the index.
+    assert plan.count("Generate explode") == 2 and "wide" not in discovery.url_pieces(urls)._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert out.first().wide == "x"
 
 
 def test_match_plan_has_no_nested_loop(rows):
@@ -80,15 +107,16 @@ def test_search_results(rows):
     )
     out = discovery.search_results_explode(archive, 20).orderBy("query_id", "rank").collect()
     assert [tuple(r) for r in out] == [
-        (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d"), (2, 1, "e"), (3, 1, "g"),
+        (1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (1, 4, "d"), (1, 5, "z"), (2, 1, "e"), (3, 1, "g"),
     ]
-    assert discovery.search_results_explode(archive, 3).where("query_id = 1").count() == 2
+    # Links of later pages fill up what earlier ones lack.
+    assert discovery.search_results_explode(archive, 3).where("query_id = 1").count() == 3
 
 
 def test_all_archived_pages_and_ranks_count(rows):
     short = [(1, p, page(f"https://s{p}.a/", None, f"https://t{p}.a/")) for p in range(15)]
     archive = rows("query_id int, page int, json string", *short)
-    out = discovery.search_results_explode(archive, 30, every_page=True).orderBy("rank").collect()
+    out = discovery.search_results_explode(archive, 30).orderBy("rank").collect()
     assert [r.url for r in out] == [f"https://{x}{p}.a/" for p in range(15) for x in "st"]
     items = rows("query_id int, page int, json string", *[(q, p, j.replace("organic_results", "items")) for q, p, j in short])
     for provider, table in (("serpapi", archive), ("cse", items)):
