@@ -28,12 +28,12 @@ def pack(vectors: DataFrame, rows: int) -> DataFrame:
     """(id, vector) as matrices of up to `rows` vectors of one length, in the smallest type that holds them.
 
     A vector that is null, or has a null or non-finite component, or no id,
-    takes no part.
+    takes no part. `task` is the partition that a block is from; one with few rows makes one block per length.
     """
 
     def run(batches):
+        waiting = {}
         for batch in batches:
-            by_dim = {}
             ids, lists = batch.column(0), batch.column(1)
             # from_arrays and offsets: no Python object per component
             lengths = np.where(lists.is_valid(), np.diff(lists.offsets), 0)
@@ -46,19 +46,28 @@ def pack(vectors: DataFrame, rows: int) -> DataFrame:
                 matrix = np.floor(SCALE * flat[starts[rows_of][:, None] + np.arange(dim)])
                 ok = np.isfinite(matrix).all(axis=1)
                 own = ids.take(pa.array(rows_of[ok])).to_numpy(zero_copy_only=False).astype(np.int64)
-                by_dim[int(dim)] = own, matrix[ok]
-            for dim, (own, matrix) in by_dim.items():
-                for i in range(0, len(own), rows):
-                    order = np.argsort(own[i : i + rows], kind="stable")
-                    some = matrix[i : i + rows][order]
-                    top = np.abs(some).max(initial=0)
-                    kind = "<i1" if top < 128 else "<i2" if top < 1 << 15 else "<f8"
-                    row = {"dim": [dim], "kind": [kind], "ids": [own[i : i + rows][order].astype("<i8").tobytes()]}
-                    yield pa.RecordBatch.from_pydict(row | {"vectors": [some.astype(kind).tobytes()]}, schema)
+                waiting.setdefault(int(dim), []).append((own, matrix[ok]))
+            for dim, parts in waiting.items():
+                while sum(len(own) for own, _ in parts) >= rows:
+                    yield block(dim, parts)
+        for dim, parts in waiting.items():
+            while sum(len(own) for own, _ in parts):
+                yield block(dim, parts)
+
+    def block(dim, parts):
+        """The first `rows` of the waiting rows as a block; the others wait on."""
+        own, matrix = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        parts[:] = [(own[rows:], matrix[rows:])]
+        order = np.argsort(own[:rows], kind="stable")
+        some = matrix[:rows][order]
+        top = np.abs(some).max(initial=0)
+        kind = "<i1" if top < 128 else "<i2" if top < 1 << 15 else "<f8"
+        row = {"dim": [dim], "kind": [kind], "ids": [own[:rows][order].astype("<i8").tobytes()]}
+        return pa.RecordBatch.from_pydict(row | {"vectors": [some.astype(kind).tobytes()]}, schema)
 
     schema = pa.schema([("dim", pa.int32()), ("kind", pa.string()), ("ids", pa.binary()), ("vectors", pa.binary())])
     packed = vectors.mapInArrow(run, "dim int, kind string, ids binary, vectors binary")
-    return packed.select(F.monotonically_increasing_id().alias("part"), "*")
+    return packed.select(F.monotonically_increasing_id().alias("part"), F.spark_partition_id().alias("task"), "*")
 
 
 def tile(q_ids, queries, s_ids, shard, k):
@@ -102,12 +111,15 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_col="vec_id", vector_col
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("vector"), is_query.alias("asks"))
     shards = written(pack(rows.select("id", "vector"), SHARD), scratch(spark, "shards"))
-    blocks = written(pack(rows.where("asks").select("id", "vector"), QUERY_BLOCK), scratch(spark, "query-blocks"))
-    n_shards, n_blocks = max(1, shards.count()), max(1, blocks.count())
-    number = F.pmod(F.xxhash64("part"), F.lit(n_blocks))
-    asked = blocks.select(number.alias("number"), "dim", *(F.col(c).alias(f"q_{c}") for c in ("part", "kind", "ids", "vectors")))
+    asking = rows.where("asks").select("id", "vector")
+    # As many partitions as there are blocks, however many the table came in: a block's number is its partition's.
+    n_blocks = -(-max(1, asking.count()) // QUERY_BLOCK)
+    blocks = written(pack(asking.repartition(n_blocks), QUERY_BLOCK), scratch(spark, "query-blocks"))
+    n_shards = max(1, shards.count())
+    number = F.col("task").cast("bigint").alias("number")
+    asked = blocks.select(number, "dim", *(F.col(c).alias(f"q_{c}") for c in ("part", "kind", "ids", "vectors")))
     every = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("number")
-    pairs = asked.join(shards.select(every, "*"), ["number", "dim"])
+    pairs = asked.join(shards.drop("task").select(every, "*"), ["number", "dim"])
 
     def run(batches):
         for batch in batches:
