@@ -95,7 +95,7 @@ def labelled(labels: DataFrame, most: int, id_col: str, good_col: str) -> DataFr
 
 
 def weigh(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_col="doc_id", text_col="text", good_col="quality") -> DataFrame:
-    """`docs` with `log_weight`.
+    """`docs` with `log_weight` and `n_grams`, the number of n-grams that it is the sum over.
 
     The target is the documents that `labels` marks 1 but for every fifth, a sample by hash of
     their id of at most `most_labelled`; raw counts cover all documents. Null texts have no
@@ -109,14 +109,34 @@ def weigh(docs: DataFrame, labels: DataFrame, most_labelled: int = 20_000, id_co
     ratios = log_ratios(*count_ngrams(marked.select("text", F.col("_lid").isNotNull().alias("good"))))
     table = spark.sparkContext.broadcast(ratios)
 
-    def log_weight(texts: pa.Array) -> pa.Array:
-        out = [np.zeros(0)]
+    def summed(texts: pa.Array) -> pa.Array:
+        weights, sizes = [np.zeros(0)], [np.zeros(0, np.int64)]
         for part in slices(pa.record_batch([texts], ["text"]), "text"):
             buckets, owner = ngram_buckets(part.column(0))
-            out.append(np.bincount(owner, table.value[buckets], part.num_rows))
-        return pa.array(np.concatenate(out))
+            weights.append(np.bincount(owner, table.value[buckets], part.num_rows))
+            sizes.append(np.bincount(owner, minlength=part.num_rows))
+        return pa.StructArray.from_arrays([pa.array(np.concatenate(weights)), pa.array(np.concatenate(sizes))], ["w", "n"])
 
-    return plain.back(plain.rows, log_weight=F.arrow_udf(log_weight, "double")(F.coalesce("_text", F.lit(""))))
+    rows = plain.rows.withColumn("_s", F.arrow_udf(summed, "struct<w:double,n:bigint>")(F.coalesce("_text", F.lit(""))))
+    return plain.back(rows, log_weight=F.col("_s.w"), n_grams=F.col("_s.n"))
+
+
+def draw(weighted: DataFrame, k: int, seed: int = 7, temperature: float = 1.0, keys=("doc_id", "text")) -> DataFrame:
+    """`weighted` with draw_key and drawn: k rows, without replacement, in proportion to their importance.
+
+    The importance of a row is exp(log_weight / sqrt(n_grams)): a sum over many n-grams spreads with the root of
+    their number, so long and short texts compare, and no text is so heavy that chance has no say.
+    The noise comes from a hash of `keys`, so rows alike in them are drawn or left together, beyond k if need be.
+    The threshold needs the rows twice: hand in a written table.
+    """
+    names = {c: f"_c{i}" for i, c in enumerate(weighted.columns)}
+    rows = weighted.select(*(F.col("`" + c.replace("`", "``") + "`").alias(n) for c, n in names.items()))
+    scaled = F.col(names["log_weight"]) / F.sqrt(F.greatest(F.col(names["n_grams"]), F.lit(1)))
+    key = scaled / temperature + gumbel(seed, F.lit("draw"), *(F.col(names[c]) for c in keys))
+    rows = rows.withColumn("_draw", key)
+    bound = kth_largest(rows.select("_draw"), k) if k else float("inf")
+    back = [F.col(n).alias(c) for c, n in names.items() if c not in ("draw_key", "drawn")]
+    return rows.select(*back, F.col("_draw").alias("draw_key"), (F.col("_draw") >= bound).alias("drawn"))
 
 
 def gumbel(seed: int, *columns) -> Column:
@@ -174,15 +194,18 @@ def least_weight(good: np.ndarray, bad: np.ndarray, dear: float = 5.0) -> float:
 
 
 def resample(
-    docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 0.25, seed: int = 7, most_labelled: int = 20_000,
+    docs: DataFrame, labels: DataFrame, k: int | None = None, temperature: float = 1.0, seed: int = 7, most_labelled: int = 20_000,
     id_col="doc_id", text_col="text", good_col="quality",
 ) -> DataFrame:
-    """`docs` with log_weight, gumbel_key and sampled, for the k documents with the highest keys.
-
-    Without `k`, as many are sampled as have at least the log weight that best parts the labelled good
-    documents held out of the target from the bad ones (at most `most_labelled` of each).
-    `temperature` scales the noise. Rows of one id and text share their noise and are
-    sampled or left together, beyond k if need be.
+    """`docs` with log_weight, n_grams, gumbel_key and sampled, for the k documents with the highest keys.
+
+    A key is the log weight and Gumbel noise, so documents are sampled in proportion to target over raw. Without `k`,
+    as many are sampled as have at least the log weight that best parts the labelled good
+    documents held out of the target from the bad ones (at most `most_labelled` ids of each, the lowest weight of an
+    id that has several texts). These weights lie so far apart that chance only decides near the bound, as a filter
+    wants it; `draw` samples where it should decide everywhere.
+    `temperature` scales the noise. Rows of one id and text, null ids among them, share their noise and are
+    sampled or left together, beyond k if need be. Columns of `docs` that have the name of a result are replaced.
     """
     spark = docs.sparkSession
     plain = Plain(weigh(docs, labels, most_labelled, id_col, text_col, good_col), id_col, text_col)
@@ -192,8 +215,8 @@ def resample(
     keyed = written(keyed, scratch(spark, "quality-keys"))
     if k is None:
         marks = labelled(labels, most_labelled, id_col, good_col).where("NOT good OR held_out")
-        seen = keyed.join(F.broadcast(marks), F.col("_id") == F.col("_lid")).select("good", weight.alias("w")).distinct()
-        found = seen.limit(4 * most_labelled).collect()
+        seen = keyed.join(F.broadcast(marks), F.col("_id") == F.col("_lid")).groupBy("_id", "good").agg(F.min(weight).alias("w"))
+        found = seen.select("good", "w").collect()
         parted = [np.array([r["w"] for r in found if r["good"] == g]) for g in (True, False)]
         k = keyed.where(weight >= least_weight(*parted)).count()
     bound = kth_largest(keyed.select("_key"), k) if k else float("inf")
