@@ -2,19 +2,23 @@
 
 A seed is a window of words of which only some places count. All windows of
 documents and of benchmark items are hashed under every mask; equal hashes
-give a document, an item and the shift between them. Along that shift the
-item's words are compared with the document's, so replaced words do not hide a leak.
+give a document, an item and the shift between them. Only hashes, ids and places meet; the texts of documents
+with a hit are fetched after that. Along the shift the item's words are compared with the document's, so
+replaced words do not hide a leak.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import broadcast_if_small
-from .shared import Plain
+from .shared import Plain, remove, scratch, written
 
-# Places that count, from the window's first word on.
-MASKS = ((0, 1, 2, 4, 6), (0, 2, 3, 6, 7), (0, 1, 4, 7, 9))
-SHORTEST = max(m[-1] for m in MASKS) + 1
+# Places that count, from the window's first word on. Wherever a fifth of ten to twenty words is
+# replaced, one of these windows is untouched; a test goes through all ways to replace them.
+MASKS = ((0, 1, 2, 3, 4), (0, 1, 2, 4, 5), (0, 1, 4, 6, 7))
+SHORTEST = max(len(m) for m in MASKS)
+# Items of fewer words have to be equal in all of them.
+TOLERANT = 10
 WINDOW = 20
 LEAST = 0.8
 
@@ -25,8 +29,12 @@ def words(text: Column) -> Column:
 
 
 def seeds(tokens: str, at: str) -> Column:
-    """The hashes of the windows that begin at place `at`, one per mask."""
-    return F.array(*(F.xxhash64(F.lit(i), *(F.get(tokens, F.col(at) + o) for o in m)) for i, m in enumerate(MASKS)))
+    """The hashes of the windows that begin at place `at`, one per mask whose window fits."""
+    whole = F.size(tokens)
+    each = (
+        F.when(F.col(at) + m[-1] < whole, F.xxhash64(F.lit(i), *(F.get(tokens, F.col(at) + o) for o in m))) for i, m in enumerate(MASKS)
+    )
+    return F.array(*each)
 
 
 def find_leaks(
@@ -38,48 +46,54 @@ def find_leaks(
     They share one if among `window` words in a row of the item (all of it, if
     shorter) at least the part `least` equals the document's words at the same
     places; n_words and n_equal are of the best such window, and `shift` is where
-    in the document the item would begin. Items of fewer than ten words prove nothing and are
-    left out, as are null ids of items. Null texts hold no words. Documents that repeat an id are told
-    apart by `text_hash`; equal rows give one row.
+    in the document the item would begin. Items of five to nine words have to be there word by word; shorter ones
+    prove nothing and are left out, as are null ids of items. Null texts hold no words. Documents that repeat an id are told
+    apart by `text_hash`; equal rows give one row. Every passage with `window` = 20 and `least` = 0.8
+    or more is found; for smaller parts one that no seed reaches may be missed.
     """
+    spark = docs.sparkSession
     items = (
         benchmark.select(F.col(item_col).alias("item_id"), words(F.col(item_text_col)).alias("item"))
         .where((F.size("item") >= SHORTEST) & F.col("item_id").isNotNull())
         .withColumn("item_key", F.xxhash64("item"))
+        .distinct()
     )
-    planted = items.select("item_id", "item_key", F.posexplode("item").alias("item_at", "_w"), "item").select(
-        "item_id", "item_key", "item_at", F.size("item").alias("n_item"), F.explode(seeds("item", "item_at")).alias("seed")
-    ).where(F.col("item_at") + SHORTEST <= F.col("n_item"))
-    tokens = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("doc")
-    )
-    windows = tokens.select("doc_id", "text_hash", "doc", F.posexplode("doc").alias("at", "_w")).select(
-        "doc_id", "text_hash", "doc", "at", F.explode(seeds("doc", "at")).alias("seed")
+    planted = items.select("item_id", "item_key", "item", F.posexplode("item").alias("item_at", "_w")).select(
+        "item_id", "item_key", "item_at", F.explode(seeds("item", "item_at")).alias("seed")
+    ).where(F.col("seed").isNotNull())
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    windows = slim.select("doc_id", "text_hash", words(F.col("text")).alias("doc")).select(
+        "doc_id", "text_hash", "doc", F.posexplode("doc").alias("at", "_w")
+    ).select("doc_id", "text_hash", "at", F.explode(seeds("doc", "at")).alias("seed"))
+    met = windows.join(broadcast_if_small(planted), "seed")
+    place = scratch(spark, "seed-hits")
+    hits = written(met.select("doc_id", "text_hash", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("shift")).distinct(), place)
+
+    found = hits.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))
+    texts = slim.join(broadcast_if_small(found), same, "left_semi").select(
+        F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), words(F.col("text")).alias("doc")
     )
-    shift = F.col("at") - F.col("item_at")
+    both = texts.join(broadcast_if_small(hits), same).join(broadcast_if_small(items), ["item_id", "item_key"])
     # The item's words as the document has them; places outside the document are null.
-    seen = F.transform(F.sequence(F.lit(0), F.col("n_item") - 1), lambda k: _word("doc", F.col("shift") + k))
-    hits = (
-        windows.join(broadcast_if_small(planted), "seed")
-        .select("doc_id", "text_hash", "item_id", "item_key", shift.alias("shift"), "doc", "n_item")
-        .select("doc_id", "text_hash", "item_id", "item_key", "shift", seen.alias("seen"))
-        .groupBy("doc_id", "text_hash", "item_id", "item_key", "shift")
-        .agg(F.first("seen").alias("seen"))
-    )
-    length = F.least(F.lit(window), F.size("item"))
-    equal = F.zip_with("seen", "item", lambda a, b: F.coalesce(a == b, F.lit(False)).cast("int"))
+    seen = F.transform("item", lambda w, k: (w == _word("doc", F.col("shift") + k)))
+    equal = F.transform(seen, lambda e: F.coalesce(e, F.lit(False)).cast("int"))
     best = F.array_max(
         F.transform(
-            F.sequence(F.lit(0), F.size("item") - F.col("n_words")),
+            F.sequence(F.lit(0), F.size("equal") - F.col("n_words")),
             lambda s: F.aggregate(F.slice("equal", s + 1, F.col("n_words")), F.lit(0), lambda a, b: a + b),
         )
     )
-    return (
-        hits.join(broadcast_if_small(items), ["item_id", "item_key"])
-        .select("doc_id", "text_hash", "item_id", "shift", "item", equal.alias("equal"), length.alias("n_words"))
+    enough = F.when(F.col("n_words") < TOLERANT, F.col("n_words")).otherwise(F.ceil(F.col("n_words") * least))
+    leaks = (
+        both.select("doc_id", "text_hash", "item_id", "shift", equal.alias("equal"), F.least(F.lit(window), F.size("item")).alias("n_words"))
         .select("doc_id", "text_hash", "item_id", "shift", "n_words", best.alias("n_equal"))
-        .where(F.col("n_equal") >= F.ceil(F.col("n_words") * least))
+        .where(F.col("n_equal") >= enough)
+        .dropDuplicates(["doc_id", "text_hash", "item_id", "shift"])
     )
+    leaks = written(leaks, scratch(spark, "leaks"))
+    remove(spark, place)
+    return leaks
 
 
 def _word(tokens: str, at: Column) -> Column:

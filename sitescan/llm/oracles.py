@@ -4,7 +4,7 @@ import re
 from functools import reduce
 
 from .chat_format import CLOSE, CODES, ESCAPE, OPEN
-from .decontaminate import LEAST, MASKS, SHORTEST, WINDOW
+from .decontaminate import LEAST, MASKS, SHORTEST, TOLERANT, WINDOW
 from .secrets import ACCESS, ASSIGN, ASSIGN_LEAST, CANDIDATE, ENCODINGS, HEX, KINDS, LEAST_P, LENGTHS
 
 
@@ -15,7 +15,10 @@ def _escaped(text):
 
 def _seeds(tokens, at):
     # DuckDB's lists count from 1.
-    keys = (" || ' ' || ".join([f"'{i}'", *(f"coalesce({tokens}[{at} + {o + 1}], '')" for o in m)]) for i, m in enumerate(MASKS))
+    keys = (
+        f"CASE WHEN {at} + {m[-1]} < len({tokens}) THEN " + " || ' ' || ".join([f"'{i}'", *(f"{tokens}[{at} + {o + 1}]" for o in m)]) + " END"
+        for i, m in enumerate(MASKS)
+    )
     return f"unnest([{', '.join(keys)}])"
 
 
@@ -100,7 +103,7 @@ ORACLE_SQL = {
             SELECT doc_id, {_words("text")} AS doc FROM documents
         ), planted AS (
             SELECT item_id, spot AS item_at, {_seeds("item", "spot")} AS seed
-            FROM (SELECT *, unnest(range(len(item) - {SHORTEST} + 1)) AS spot FROM items)
+            FROM (SELECT *, unnest(range(len(item))) AS spot FROM items)
         ), windows AS (
             SELECT doc_id, spot, {_seeds("doc", "spot")} AS seed FROM (SELECT *, unnest(range(len(doc))) AS spot FROM docs)
         ), hits AS (
@@ -115,7 +118,7 @@ ORACLE_SQL = {
                 list_sum(equal[s + 1 : s + n_words]))) AS n_equal FROM compared
         )
         SELECT doc_id, item_id, count(*) AS n_shifts, max(n_equal / n_words) AS best_share, min(shift)::INT AS first_shift
-        FROM best WHERE n_equal >= ceil(n_words * {LEAST}) GROUP BY doc_id, item_id
+        FROM best WHERE n_equal >= CASE WHEN n_words < {TOLERANT} THEN n_words ELSE ceil(n_words * {LEAST}) END GROUP BY doc_id, item_id
     """,
     "op8_chat_format": f"""
         WITH t AS (

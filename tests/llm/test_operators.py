@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and on rows that are not clean."""
 
 import hashlib
+import itertools
 import re
 import zlib
 
@@ -81,6 +82,15 @@ def test_exact_topk(spark, monkeypatch, scale):
     assert exact_topk.top_k(table.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_blocks_grow_with_the_queries_not_the_partitions(spark):
+    rows = [(i, [float(i % 7), 1.0]) for i in range(400)]
+    table = spark.createDataFrame(rows, "id bigint, vector array<double>").repartition(50)
+    asking = table.where("id % 20 = 0")
+    assert exact_topk.pack(asking.repartition(1), exact_topk.QUERY_BLOCK).count() == 1
+    packed = exact_topk.pack(table.coalesce(1), 64).collect()
+    assert [len(r["ids"]) // 8 for r in packed] == [64] * 6 + [16] and {r["task"] for r in packed} == {0}
+
+
 # 2
 
 
@@ -104,6 +114,51 @@ def test_log_weight_is_the_sum_of_the_ratios(spark):
     assert all(np.array_equal(a, b) for a, b in zip(quality.count_ngrams(docs.select("text", "good")), (raw, target)))
 
 
+def test_log_weights_against_brute_force(spark):
+    texts = prose(30, 5) + ["", None, "one", "again again again"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id bigint, quality int")
+    target = {r["_lid"] for r in quality.labelled(labels, 99, "doc_id", "quality").where("NOT held_out").collect()}
+    buckets, owner = quality.ngram_buckets(pa.array([t or "" for t in texts]))
+    raw = np.bincount(buckets, minlength=quality.BUCKETS)
+    good = np.bincount(buckets[np.isin(owner, list(target))], minlength=quality.BUCKETS)
+    ratio = np.log(good + 20.0) - np.log(raw * (good.sum() / raw.sum()) + 20.0)
+    got = {r["doc_id"]: (r["log_weight"], r["n_grams"]) for r in quality.weigh(docs, labels).collect()}
+    for i in range(len(texts)):
+        assert abs(got[i][0] - ratio[buckets[owner == i]].sum()) < 1e-9 and got[i][1] == (owner == i).sum()
+    assert 0 < len(target) < 20 and got[30] == got[31] == (0.0, 0)
+
+
+def test_draws_follow_the_weights(spark):
+    """Of many draws of one row each is drawn as often as its importance says; larger draws follow successive sampling."""
+    scaled = [0.0, 0.5, 1.0, 1.5, 2.0, 3.0]
+    rows = [(i, s, x * 2.0, 4, "clash") for s in range(1500) for i, x in enumerate(scaled)]
+    table = spark.createDataFrame(rows, "i int, s int, log_weight double, n_grams bigint, drawn string")
+    # One table per seed: the noise is from a hash of seed and key, as in `draw`.
+    best = table.withColumn("key", F.col("log_weight") / F.sqrt("n_grams") + quality.gumbel(7, F.lit("draw"), "s", "i"))
+    top = best.groupBy("s").agg(F.max_by("i", "key").alias("i")).groupBy("i").count().collect()
+    want = np.exp(scaled) / np.exp(scaled).sum()
+    assert np.abs(np.array([dict(map(tuple, top)).get(i, 0) for i in range(6)]) / 1500 - want).max() < 0.04
+    one = table.where("s < 20")
+    got = quality.draw(one, 30, keys=("s", "i"))
+    assert got.columns == ["i", "s", "log_weight", "n_grams", "draw_key", "drawn"] and got.where("drawn").count() == 30
+    kept = {(r["s"], r["i"]) for r in got.where("drawn").collect()}
+    keys = {(r["s"], r["i"]): r["draw_key"] for r in got.collect()}
+    assert kept == set(sorted(keys, key=keys.get)[-30:])
+    # Chance has a say: another seed draws others, and not just the heaviest are drawn.
+    other = {(r["s"], r["i"]) for r in quality.draw(one, 30, seed=8, keys=("s", "i")).where("drawn").collect()}
+    assert other != kept and {i for _, i in kept} != {5, 4}
+    assert quality.draw(one, 0, keys=("s", "i")).where("drawn").count() == 0
+
+
+def test_results_replace_columns_of_their_name(spark):
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in enumerate(prose(20, 8))] + [(None, "a", "x", "y", "z")], "doc_id bigint, text string, log_weight string, sampled string, gumbel_key string")
+    labels = spark.createDataFrame([(i, int(i < 10)) for i in range(20)], "doc_id bigint, quality int")
+    found = quality.resample(docs, labels)
+    assert sorted(found.columns) == sorted(["doc_id", "text", "log_weight", "n_grams", "gumbel_key", "sampled"])
+    assert found.count() == 21 and dict(found.dtypes)["sampled"] == "boolean"
+
+
 @pytest.mark.parametrize("k", [1, 7, 150, 300, 999])
 def test_kth_largest(spark, k):
     values = [float(x) for x in np.random.default_rng(2).normal(size=200).round(1)] + [3.0] * 100
@@ -293,6 +348,56 @@ def test_leaks_despite_replaced_words(spark, dirty, none):
     assert decontaminate.find_leaks(table, benchmark.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("n", range(10, 21))
+def test_every_way_to_replace_a_fifth_leaves_a_seed(n):
+    places = [{s + o for o in m} for m in decontaminate.MASKS for s in range(n - m[-1])]
+    for gone in itertools.combinations(range(n), n - -(-n * 4 // 5)):
+        assert any(not p & set(gone) for p in places), gone
+
+
+def test_short_items_and_replaced_ends(spark):
+    ten, nine, five, four = ([f"{c}{i}" for i in range(n)] for c, n in (("t", 10), ("n", 9), ("f", 5), ("r", 4)))
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate((ten, nine, five, four))], "item_id bigint, text string")
+    change = lambda w, *at: " ".join("x" if i in at else x for i, x in enumerate(w))
+    texts = [change(ten, 0), change(ten, 0, 9), change(ten, 3, 6), change(ten, 1, 4, 7), change(nine), change(nine, 4), change(five), change(five, 2), change(four)]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)], "doc_id bigint, text string")
+    found = decontaminate.find_leaks(docs, items).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["shift"], r["n_words"] - r["n_equal"]) for r in found) == [
+        (0, 0, 1, 1), (1, 0, 1, 2), (2, 0, 1, 2), (4, 1, 1, 0), (6, 2, 1, 0)
+    ]
+    # Bare texts, with the passage at both ends
+    bare = spark.createDataFrame([(0, change(ten, 0, 9)), (1, change(five))], "doc_id bigint, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(bare, items).collect()} == {(0, 0), (1, 2)}
+
+
+def test_no_text_travels_with_the_seeds(spark, tmp_path):
+    """A benchmark too large to be broadcast: only hashes, ids and places go through the shuffle of seeds."""
+    items = prose(3000, 51, 20)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = spark.createDataFrame([(i, f"{t} {items[i * 7]}") for i, t in enumerate(prose(40, 52, 400))], "doc_id bigint, text string")
+    plans = []
+    original = decontaminate.written
+
+    def kept(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, *args)
+
+    decontaminate.written, plain = kept, decontaminate.broadcast_if_small
+    decontaminate.broadcast_if_small = lambda df: df
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = decontaminate.find_leaks(docs, benchmark)
+        assert {(r["doc_id"], r["item_id"]) for r in found.collect()} >= {(i, i * 7) for i in range(40)}
+    finally:
+        decontaminate.written, decontaminate.broadcast_if_small = original, plain
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    side = re.findall(r"SortMergeJoin \[seed.*", plans[0])
+    shuffled = [line for line in plans[0].splitlines() if "Exchange hashpartitioning(seed" in line]
+    assert side and shuffled
+    below = plans[0].split("Exchange hashpartitioning(seed", 1)[1].splitlines()[1]
+    assert "doc#" not in below.replace("doc_id#", "") and "text#" not in below
+
+
 # 6
 
 
@@ -387,6 +492,19 @@ def test_token_counts_come_from_the_cache(spark, dirty, none, monkeypatch):
     assert token_counts.count_tokens(none, place, PIECE, 4096).count() == 0
 
 
+def test_copies_are_encoded_once_with_little_memory(spark, monkeypatch):
+    rows = [(i, f"text number {i % 7}") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    batches = [pa.record_batch([pa.array([f"{x:064x}" for x in part])], ["digest"]) for part in ([1, 2, 1], [3, 2], [1, 4])]
+    monkeypatch.setattr(token_counts, "REMEMBERED", 1)
+    assert [b.column(0).to_pylist()[0][-1] for b in token_counts._first_of_each(batches) if b.num_rows] == ["1", "3", "1"]
+    runs = [pa.record_batch([pa.array(x)], ["digest"]) for x in (["a", "a", "b"], ["b"], ["b", "c"])]
+    assert sum((b.column(0).to_pylist() for b in token_counts._first_of_run(runs)), []) == ["a", "b", "c"]
+    place = scratch(spark, "cache")
+    assert token_counts.count_tokens(docs, place, PIECE, 3).count() == 400
+    assert spark.read.parquet(place).count() == 7
+
+
 def test_byte_bpe(spark, dirty, none, monkeypatch):
     import tiktoken
 
