@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from sitescan.llm import byte_bpe, dart_minhash, decontaminate, quality, toxicity
-from sitescan.llm.shared import Plain, scratch, written
+from sitescan.llm.shared import Plain, remove, scratch, written
 
 
 def _kept(docs, operator, keep):
@@ -76,8 +76,12 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """The stages one after the other; each one's rows are written and read again."""
-    docs = _table(spark, sf_dir, "documents")
+    """The stages one after the other; each one's rows are written and read again, and removed when the next one's are there."""
+    docs, before = _table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), scratch(spark, f"stage-{name}"))
+        place = scratch(spark, f"stage-{name}")
+        docs = written(stage(spark, docs, sf_dir), place)
+        if before:
+            remove(spark, before)
+        before = place
     return docs
