@@ -233,24 +233,37 @@ def _tile(key, batch):
 
 
 def _all_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b): every link between members (bucket, node, component, size) of one bucket and different components."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = members.select(
-        "bucket", "node", "component", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block")
-    )
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    tiles = placed.select("bucket", "node", "component", "block", other).select(
-        "bucket", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
-    )
+    """(a, b): every link between members (bucket, node, component) of one bucket and different components.
+
+    Members of a bucket's largest component are never compared with each other, so their blocks meet only those of the
+    others: a large group that is linked already sends each text once for every 256 others, not for every 256 of its own.
+    """
+    counted = members.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    largest = counted.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("all"))
+    mains, others = F.ceil(F.col("top.n") / BLOCK).cast("int"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).cast("int")
+    # Blocks of the others come first, those of the largest component after them.
+    largest = largest.select("bucket", F.col("top.component").alias("main"), mains.alias("mains"), others.alias("others")).where("others > 0")
+    place = F.xxhash64("node")
+    is_main = F.col("component") == F.col("main")
+    block = F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
+    until = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
+    tiles = members.join(largest, "bucket").select(
+        "bucket", "node", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), until)).alias("other")
+    ).select("bucket", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     rows = tiles.join(texts, "node").withColumn("least", F.lit(least))
     return rows.groupBy("bucket", "low", "high").applyInArrow(_tile, "a bigint, b bigint").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose texts are alike."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
+    """The pairs (leader a, member b) whose texts are alike.
+
+    Members fetch their text where it lies, then meet their leader's: leaders are few, so of all texts only the members' travel.
+    """
+    pairs = written(pairs, scratch(texts.sparkSession, "pairs"))
+    leaders = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    left = leaders.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    alike = pairs.join(left, "a").join(right, "b").select("a", "b", F.arrow_udf(_jaccard, "double")("left", "right").alias("similarity"))
+    alike = pairs.join(right, "b").join(left, "a").select("a", "b", F.arrow_udf(_jaccard, "double")("left", "right").alias("similarity"))
     return alike.where(F.col("similarity") >= least)
 
 
@@ -321,9 +334,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
         if members.isEmpty():
             break
     named = distinct.join(component, "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
-    joined = rows.drop("_buckets", "_sketch").join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
+    # Classes are worked out on ids; rows with their texts move once, at the end.
+    class_of = F.coalesce("_class", "_row").alias("_class")
+    small = rows.select("_row", "_digest", "_id").join(named, "_digest", "left").select("_row", "_id", class_of)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
-    heads = rows.select("_digest", "_row", "_id").join(named, "_digest", "left").withColumn("_class", F.coalesce("_class", "_row"))
-    heads = heads.groupBy("_class").agg(first.alias("first"))
-    found = joined.join(heads, "_class")
-    return plain.back(found, class_id=F.col("first.id"), stays=F.col("first.row") == F.col("_row"))
+    heads = small.groupBy("_class").agg(first.alias("first"))
+    decided = small.join(heads, "_class").select("_row", F.col("first.id").alias("_head"), (F.col("first.row") == F.col("_row")).alias("_stays"))
+    found = rows.drop("_digest", "_buckets", "_sketch").join(written(decided, scratch(spark, "decided")), "_row")
+    return plain.back(found, class_id=F.col("_head"), stays=F.col("_stays"))

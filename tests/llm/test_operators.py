@@ -247,6 +247,33 @@ def test_components(spark):
     assert {got.get(i, i) for i in range(31)} == {0} and {got.get(i, i) for i in (40, 50, 60, 70)} == {40}
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_all_links_between_components_and_none_within(spark, monkeypatch, block):
+    monkeypatch.setattr(dart_minhash, "BLOCK", block)
+    base = prose(1, 71, 120)[0].split()
+    rng = np.random.default_rng(5)
+    # Chains of ever more changed copies: components of 30 and of a few members, in one bucket and in another.
+    rows, texts = [], []
+    for node in range(44):
+        words = list(base)
+        for at in rng.choice(120, node % 6, replace=False):
+            words[at] = f"n{node}x{at}"
+        texts.append((node, " ".join(words)))
+        rows += [(7, node, 0 if node < 30 else node // 3)] + ([(8, node, node // 10)] if node % 2 else [])
+    members = spark.createDataFrame(rows, "bucket bigint, node bigint, component bigint")
+    table = spark.createDataFrame(texts, "node bigint, text string")
+    got = {tuple(r) for r in dart_minhash._all_links(members, table, 0.8).collect()}
+    sets = {}
+    for node, text in texts:
+        words = text.split()
+        sets[node] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    want = {
+        (max(a, b), min(a, b)) for x, a, c in rows for y, b, d in rows
+        if x == y and a < b and c != d and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    }
+    assert got == want and len(want) > 20
+
+
 # 4
 
 
