@@ -99,6 +99,7 @@ NON_NAME_WORDS = (
     "january", "february", "march", "april", "may", "june", "july",
     "august", "september", "october", "november", "december",
 )
+# What a byline begins with, and the letters of a name.
 BYLINE_PREFIX = rf"^(?:by|written by|posted by|author(?::|{WS})?){WS}+"
 NAME_LETTERS = r"^[A-Za-z\x{c0}-\x{24f}\x{400}-\x{4ff}'\-\. ]{2,50}$"
 
