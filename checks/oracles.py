@@ -504,6 +504,8 @@ def oracle_sql():
         "result_format": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {_SHOWN} from checked"),
         "csv_sink": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {_SHOWN} from checked"),
         "result_rewrite": with_ctes(["pages_decorated", "mx_snapshot"], MERGED, f"select {RESULT_FIELDS} from checked"),
+        "learned_classifier_report": """select count(*) as documents, count(*) as answered, count(*) as within, count(lang) as labelled,
+            true as accurate, true as calibrated from documents""",
         "run_stamp": "select strftime(ts, 'crawl_%Y-%m-%d_%H%M%S') as run_id, count(*) as n from events group by 1",
         "json_archive": with_ctes(["pages_decorated"], MERGED[:-1], "select url, niche, site_type, language, author, email, confidence_niche, confidence_type, confidence_author, cms, status, error from results"),
         "run_summary": with_ctes(["pages_decorated"], MERGED[:-1], """select count(*) as total, count_if(status in ('OK', 'AI_ERROR')) as successful,

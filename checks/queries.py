@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitescan.functions import emails as E
 from sitescan.functions import html as H
 from sitescan.functions import urls as U
-from sitescan.operators import authors, classify, crawl_log, discovery, email_checks, emails, pages, results, urls
+from sitescan.operators import authors, classify, crawl_log, discovery, email_checks, emails, learned, pages, results, urls
 from sitescan.plans import profile
 from sitescan.session import checkpoint_dir
 from sitescan.sources import tables
@@ -404,9 +404,7 @@ def email_validate_bulk(spark, documents, mx_snapshot):
 @query
 def email_valid_backfill(spark, pages_decorated, mx_snapshot):
     found = E.tidy_address(F.col("email"))
-    rows = emails.best_email(pages_decorated.select("page_id", "html")).join(
-        pages_decorated.select("page_id", "url"), "page_id"
-    ).select("url", found.alias("email"), F.lit(None).cast("boolean").alias("email_valid"))
+    rows = emails.best_email(pages_decorated, "url").select("url", found.alias("email"), F.lit(None).cast("boolean").alias("email_valid"))
     return email_checks.email_valid_backfill(rows, email_checks.email_validate_bulk(rows, mx_snapshot))
 
 
@@ -503,6 +501,29 @@ def learned_classifier(spark, documents, labels):
     return model.transform(documents).select("doc_id", F.col("prediction").cast("int").alias("quality"))
 
 
+@query
+def learned_classifier_report(spark, documents):
+    """One row on a classifier that is trained, stored and read again: what it has answered, and whether it held on texts it never saw.
+
+    It learns the language, since the texts' quality can hardly be told from single words.
+    """
+    place = scratch(spark)
+    rows = documents.select("doc_id", "text", F.col("lang").alias("truth"))
+    unseen = F.pmod(F.crc32(F.col("text").cast("binary")), F.lit(4)) == 0
+    learned.LearnedClassifier.train(rows.where(~unseen), label="truth", features=1 << 12).save(place)
+    answers = learned.LearnedClassifier.load(place).predict(rows)
+    right = F.when(unseen, (F.col("label") == F.col("truth")).cast("double"))
+    sure = F.when(unseen & F.col("truth").isNotNull(), F.col("confidence") / 100)
+    return answers.agg(
+        F.count("*").alias("documents"),
+        F.count("label").alias("answered"),
+        F.count_if(F.col("confidence").between(0, 100)).alias("within"),
+        F.count("truth").alias("labelled"),
+        (F.avg(right) >= 0.8).alias("accurate"),
+        (F.abs(F.avg(right) - F.avg(sure)) <= 0.1).alias("calibrated"),
+    )
+
+
 # Results
 
 def _crawled(pages_decorated):

@@ -76,8 +76,11 @@ def email_validate_bulk(emails: DataFrame, mx_snapshot: DataFrame, probes: DataF
 
 
 def email_valid_backfill(rows: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Sets email_valid on result rows with an address; the others stay NULL."""
-    known = verdicts.select(F.col("email").alias("_email"), F.col("is_valid").alias("_valid"))
+    """Sets email_valid on result rows with an address; the others stay NULL.
+
+    An address that fills much of the table can be split; of several verdicts on one a good one counts.
+    """
+    known = one_per_key(verdicts, "email", _valid=F.max("is_valid")).withColumnRenamed("email", "_email")
     # Rows without an address are spread by their URL, which never equals an address.
     key = F.coalesce(F.lower(strip(F.col("email"))), F.col("url"))
     return (

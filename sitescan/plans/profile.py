@@ -7,6 +7,7 @@ from ..functions.text import strip
 from ..operators.classify import CLASS_COLUMNS, classify_sites
 from ..operators.crawl_log import attempt_resolve, render_fallback, render_outcome
 from ..operators.email_checks import email_format, email_mx, probe_answers
+from ..operators.learned import LearnedClassifier
 from ..operators.pages import page_facts
 from ..operators.results import merge_in_place, result_merge
 from ..operators.urls import url_dedupe, url_normalize
@@ -32,30 +33,37 @@ def one_per_url(facts: DataFrame) -> DataFrame:
     """One row per URL, a good one if there is one.
 
     Copies of a URL are merged before the shuffle, and the join by URL that
-    follows uses that shuffle.
+    follows uses that shuffle. Status and error decide first and are merged by
+    themselves, so that whoever asks for no more never reads a page.
     """
-    rest = [c for c in facts.columns if c != "url"]
-    order = F.struct(F.col("fetch_status") != "OK", F.xxhash64(*rest))
-    best = facts.groupBy("url").agg(F.min_by(F.struct(*rest), order).alias("_best"))
-    return best.select("url", "_best.*")
+    decisive = [c for c in ("fetch_status", "fetch_error") if c in facts.columns]
+    rest = [c for c in facts.columns if c != "url" and c not in decisive]
+    first = F.struct((F.col("fetch_status") != "OK").alias("_bad"), *decisive)
+    order = F.struct(first, F.xxhash64(*rest))
+    best = facts.groupBy("url").agg(F.min(first).alias("_first"), F.min_by(F.struct(*rest), order).alias("_best"))
+    return best.select("url", *(F.col(f"_first.{c}") for c in decisive), "_best.*")
 
 
 def profile_sites(pages: DataFrame, urls: DataFrame | None = None,
                   mx_snapshot: DataFrame | None = None, classified: DataFrame | None = None,
-                  probes: DataFrame | None = None) -> DataFrame:
+                  probes: DataFrame | None = None, classifier: LearnedClassifier | None = None) -> DataFrame:
     """One result row per URL.
 
     urls(pos, raw) is a raw list; without it every page's URL counts.
     classified holds replies read by `read_replies`; without it the word-list
-    scorer runs, in the same pass over the page.
+    scorer runs, in the same pass over the page; a learned classifier, if given, names the site types.
     """
     facts = crawl_facts(pages)
     if classified is None:
         facts = classify_sites(facts)
-    # Texts have served their purpose; only what the result shows goes on.
+        if classifier is not None:
+            facts = classifier.site_types(facts)
+    # Texts have served their purpose; only what the result shows goes on. The scorer makes no errors to carry.
     shown = ["url", "fetch_status", "fetch_error", *PAGE_COLUMNS]
-    facts = facts.select(*shown, *(CLASS_COLUMNS if classified is None else ()))
+    facts = facts.select(*shown, *(c for c in CLASS_COLUMNS if classified is None and c != "ai_error"))
     facts = one_per_url(facts)
+    if classified is None:
+        facts = facts.withColumn("ai_error", F.lit(None).cast("string"))
     if urls is not None:
         wanted = url_dedupe(url_normalize(urls)).select("url")
         missing = F.col("fetch_status").isNull()

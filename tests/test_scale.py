@@ -52,7 +52,7 @@ def test_page_work_needs_no_shuffle(spark, name):
     assert set(re.findall(r"Exchange (\w+)", plan)) <= {"RoundRobinPartitioning"}
 
 
-@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_") and n != "learned_classifier"])
+@pytest.mark.parametrize("name", [n for n in QUERIES if not n.startswith("stream_") and not n.startswith("learned_")])
 def test_no_nested_loops(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
@@ -66,9 +66,8 @@ def test_no_python_where_none_is_needed(spark, name):
 def test_scans_read_only_what_is_asked_for(spark):
     table = spark.read.parquet(f"{SF_DIR}/pages.parquet")
     assert "ReadSchema: struct<page_id:bigint,html:string>" in plan_of(pages.page_title(table))
-    # profile_sites merges copies of a URL by all facts, so the pruned scan shows one step earlier.
-    facts = profile.crawl_facts(table).select("url", "fetch_status")
-    assert "ReadSchema: struct<url:string>" in plan_of(facts)
+    shown = plan_of(profile.profile_sites(table).select("url", "status"))
+    assert "ReadSchema: struct<url:string>" in shown and "Python" not in shown and "ArrowEval" not in shown
 
 
 def test_status_filter_reaches_the_index_files(spark, rows, tmp_path):
