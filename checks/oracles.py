@@ -443,7 +443,7 @@ def oracle_sql():
         "quick_title": with_ctes(deco, page, "select page_id, title from facts"),
         "quick_body": f"select page_id, body_text from (select page_id, substr({squeeze(decode(between_tags(ARTICLE)))}, 1, 3000) as body_text from pages) b",
         "strip_boilerplate": f"select page_id, {KEPT_TEXT} as kept_text from pages",
-        "content_root": "select page_id, 'article' as tag from pages",
+        "content_root": "select page_id, case when not contains(html, '<article>') or page_id % 3 = 2 then 'body' when page_id % 3 = 1 then 'main' else 'article' end as tag from pages",
         "body_text": with_ctes(deco, page, "select page_id, body_text from facts"),
         "cms_fingerprint": with_ctes(deco, page, "select page_id, cms from facts"),
         "language_id": with_ctes([], language_ctes("documents", "text", "doc_id"),

@@ -262,7 +262,10 @@ def strip_boilerplate(spark, pages_):
 
 @query
 def content_root(spark, pages_):
-    return pages.content_root(pages_).select("page_id", "tag")
+    # A third of the pages has its text in another element that counts, a third in none that does.
+    name = F.when(F.col("page_id") % 3 == 1, "main").when(F.col("page_id") % 3 == 2, "section").otherwise("article")
+    varied = pages_.withColumn("html", F.replace(F.replace("html", F.lit("<article>"), F.concat(F.lit("<"), name, F.lit(">"))), F.lit("</article>"), F.concat(F.lit("</"), name, F.lit(">"))))
+    return pages.content_root(varied).select("page_id", "tag")
 
 
 @query
