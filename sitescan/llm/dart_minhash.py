@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .quality import _hashes, _mixed
-from .shared import Plain, Words, scratch, slices, spread_out, written
+from .shared import Plain, Words, bucketed, remove, scratch, slices, spread_out, written
 
 SHINGLE = 5
 LEAST = 0.8
@@ -257,10 +257,12 @@ def _all_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (leader a, member b) whose texts are alike.
 
-    Members fetch their text where it lies, then meet their leader's: leaders are few, so of all texts only the members' travel.
+    `texts` lie in buckets by node: members fetch their text there, then meet their leader's, so of all texts only
+    the members' travel. Leaders are written without buckets, which lets a leader of very many members be split.
     """
-    pairs = written(pairs, scratch(texts.sparkSession, "pairs"))
-    leaders = texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi")
+    spark = texts.sparkSession
+    pairs = written(pairs, scratch(spark, "pairs"))
+    leaders = written(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi"), scratch(spark, "leaders"))
     left = leaders.select(F.col("node").alias("a"), F.col("text").alias("left"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
     alike = pairs.join(right, "b").join(left, "a").select("a", "b", F.arrow_udf(_jaccard, "double")("left", "right").alias("similarity"))
@@ -277,10 +279,14 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
     """
     spark = docs.sparkSession
     plain = Plain(docs, id_col, text_col)
-    marked = plain.rows.withColumn("_mark", F.arrow_udf(_mark, MARK)(F.coalesce("_text", F.lit(""))))
+    # Numbers are written before rows move: a task that is repeated must not number them anew.
+    place = scratch(spark, "numbered")
+    numbered = written(plain.rows.withColumn("_row", F.monotonically_increasing_id()), place)
+    all_rows = bucketed(numbered, scratch(spark, "rows"), "_row")
+    remove(spark, place)
+    marked = all_rows.select("_row", "_id", F.arrow_udf(_mark, MARK)(F.coalesce("_text", F.lit(""))).alias("_mark"))
     rows = marked.select(
-        *plain.rows.columns, F.col("_mark.digest").alias("_digest"), F.col("_mark.buckets").alias("_buckets"), F.col("_mark.sketch").alias("_sketch"),
-        F.monotonically_increasing_id().alias("_row"),
+        "_row", "_id", F.col("_mark.digest").alias("_digest"), F.col("_mark.buckets").alias("_buckets"), F.col("_mark.sketch").alias("_sketch")
     )
     rows = written(rows, scratch(spark, "marked"))
     distinct = written(
@@ -296,8 +302,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
     members = placed.join(shared.select("bucket"), "bucket").join(sketched, "node")
     members = written(members, scratch(spark, "members"))
     used = members.select("node").distinct()
-    own = rows.select(F.col("_row").alias("node"), F.coalesce("_text", F.lit("")).alias("text"))
-    texts = written(own.join(used, "node", "left_semi"), scratch(spark, "candidate-texts"))
+    own = all_rows.select(F.col("_row").alias("node"), F.coalesce("_text", F.lit("")).alias("text"))
+    texts = bucketed(own.join(used, "node", "left_semi"), scratch(spark, "candidate-texts"), "node")
     links = None
     component = None
     for turn in range(LEADERS + 1):
@@ -334,11 +340,11 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
         if members.isEmpty():
             break
     named = distinct.join(component, "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
-    # Classes are worked out on ids; rows with their texts move once, at the end.
+    # Classes are worked out on ids and go to the rows, which stay in their buckets.
     class_of = F.coalesce("_class", "_row").alias("_class")
     small = rows.select("_row", "_digest", "_id").join(named, "_digest", "left").select("_row", "_id", class_of)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     heads = small.groupBy("_class").agg(first.alias("first"))
     decided = small.join(heads, "_class").select("_row", F.col("first.id").alias("_head"), (F.col("first.row") == F.col("_row")).alias("_stays"))
-    found = rows.drop("_digest", "_buckets", "_sketch").join(written(decided, scratch(spark, "decided")), "_row")
+    found = all_rows.join(written(decided, scratch(spark, "decided")), "_row")
     return plain.back(found, class_id=F.col("_head"), stays=F.col("_stays"))

@@ -28,6 +28,23 @@ def written(df: DataFrame, place: str, partition_by=()) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(place)
 
 
+def bucketed(df: DataFrame, place: str, column: str) -> DataFrame:
+    """`df`, dealt by `column` and written to `place` so that joins on it move only their other side.
+
+    There are as many buckets as spark.sql.shuffle.partitions says. `df` has to give the same rows again
+    when a task is repeated, as what `written` returns does.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"bucketed_{uuid.uuid4().hex}"
+    dealt = df.repartition(buckets, column).write.option("compression", "zstd").option("path", place)
+    dealt.bucketBy(buckets, column).format("parquet").saveAsTable(name)
+    table = spark.table(name)
+    # Only the name goes; the files stay at `place`.
+    spark.sql(f"DROP TABLE {name}")
+    return table
+
+
 def remove(spark: SparkSession, place: str) -> None:
     """Delete a folder that `scratch` named."""
     path = spark._jvm.org.apache.hadoop.fs.Path(place)
