@@ -128,6 +128,14 @@ def test_batches(spark, size):
     assert {r.url: r.batch_id for r in out} == {f"u{i:03}": i // size for i in range(25)}
 
 
+def test_pages_of_one_url_fill_a_batch(rows):
+    sites = rows("page_id bigint, url string", (5, "a"), (9, "b"), (1, "b"), (4, "b"), (None, "c"), (7, "d"))
+    out = classify.batch_assign(sites, 2, chunks=3).collect()
+    assert {(r.url, r.page_id): r.batch_id for r in out} == {
+        ("a", 5): 0, ("b", 1): 0, ("b", 4): 1, ("b", 9): 1, ("c", None): 2, ("d", 7): 2,
+    }
+
+
 def test_batch_size_is_checked(spark):
     for size in (0, 21):
         with pytest.raises(ValueError):
