@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+from sitescan.operators.classify import train_classifier
 from sitescan.operators.learned import LearnedClassifier
 from sitescan.plans import profile
 
@@ -52,3 +54,13 @@ def test_in_the_whole_job(examples, rows):
     out = {r["url"]: r for r in profile.profile_sites(pages, classifier=model).collect()}
     assert out["https://a.org"]["site_type"] == "E-commerce" and out["https://b.org"]["site_type"] == "Blog"
     assert all(r["confidence_type"] >= 60 for r in out.values())
+
+
+def test_in_a_session_that_has_observed_a_table(spark, examples):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    both = examples.withColumn("label", (F.col("label") == "Blog").cast("double"))
+    model = train_classifier(both, features=1 << 8)
+    assert {r["prediction"] for r in model.transform(both.drop("label")).collect()} == {0.0, 1.0}
+    assert len(LearnedClassifier.train(examples, features=1 << 8).predict(examples.select("text")).collect()) == 400
