@@ -2,10 +2,12 @@
 
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from checks.queries import QUERIES
+from sitescan.functions import nodes
 from sitescan.operators import crawl_log, discovery, email_checks, pages, urls
 from sitescan.plans import profile
 from sitescan.session import broadcast_if_small, spread
@@ -136,3 +138,14 @@ def test_broadcast_only_below_a_checked_size(spark):
 def test_spread_leaves_large_tables_alone(spark):
     assert spread(spark.range(100).repartition(50)).rdd.getNumPartitions() == 50
     assert spread(spark.range(100).coalesce(1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_nodes_leave_a_worker_in_small_portions(monkeypatch):
+    """One batch of many pages, and of long ones, must not become nodes as a whole."""
+    monkeypatch.setattr(nodes.F, "arrow_udf", lambda _: lambda function: lambda html: function)
+    read = nodes.parse_html(None)
+    pages_ = [f"<p>{i}</p>" for i in range(1000)] + [None, "", "<b>" + "x" * nodes.PORTION_CHARS, "<i>last</i>"]
+    portions = list(read(iter([pa.array(pages_, pa.string()), pa.array([], pa.string())])))
+    assert max(map(len, portions)) <= nodes.PORTION_PAGES and len(portions[-1]) == 1
+    got = [row["nodes"] and row["nodes"][-1]["text"][:4] for part in portions for row in part.to_pylist()]
+    assert got == [str(i) for i in range(1000)] + [None, None, "xxxx", "last"]
