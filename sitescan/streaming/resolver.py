@@ -12,6 +12,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 STATE = "attempts"
 RECORD = ("attempt", "outcome", "terminal", "error", "status_code", "ts")
 _RECORD_TYPE = "attempt int, outcome string, terminal boolean, error string, status_code int, ts timestamp"
+# Of an open URL its deciding records; none for a settled URL.
+_STATE_TYPE = f"records array<struct<{_RECORD_TYPE.replace(' ', ':').replace(',:', ',')}>>"
 OUTPUT_TYPE = "url string, attempt int, outcome string, terminal boolean, error string, status_code int"
 
 
@@ -26,6 +28,9 @@ class AttemptResolver(StatefulProcessor):
     missing ones the last slot. So an open URL holds `max_attempts` + 2 records at most, whatever
     its log looks like. Timers end all kinds of state, so it is bounded by the traffic of
     the two time spans.
+
+    Every call of the state or of a timer is a round trip to the JVM, so a URL has one value, which is read
+    once and written once, and only a URL that has one is asked for timers.
     """
 
     def __init__(self, max_attempts, timeout_ms, keep_ms):
@@ -33,8 +38,7 @@ class AttemptResolver(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.attempts = handle.getMapState(STATE, "slot int", _RECORD_TYPE)
-        self.settled = handle.getValueState("settled", "done boolean")
+        self.attempts = handle.getValueState(STATE, _STATE_TYPE)
 
     def _slot(self, attempt):
         return self.max_attempts + 1 if attempt is None else min(max(attempt, 0), self.max_attempts + 1)
@@ -45,48 +49,50 @@ class AttemptResolver(StatefulProcessor):
         rank = 0 if attempt is None else attempt if terminal else self.max_attempts - attempt
         return attempt is None or attempt > self.max_attempts, attempt is None, not terminal, rank, ts.timestamp()
 
-    def _set_timer(self, at_ms):
-        for old in list(self.handle.listTimers()):
+    def _set_timer(self, at_ms, known):
+        for old in list(self.handle.listTimers()) if known else ():
             self.handle.deleteTimer(old)
         self.handle.registerTimer(int(at_ms))
 
-    def _settle(self, key, now_ms, record):
-        self.attempts.clear()
-        self.settled.update((True,))
-        self._set_timer(now_ms + self.keep_ms)
+    def _settle(self, key, now_ms, record, known=True):
+        self.attempts.update(([],))
+        self._set_timer(now_ms + self.keep_ms, known)
         attempt, outcome, terminal, error, status_code, _ = record
         yield Row(url=key[0], attempt=attempt, outcome=outcome, terminal=terminal, error=error, status_code=status_code)
 
     def _known(self):
-        return {slot[0]: tuple(record) for slot, record in self.attempts.iterator()}
+        """The records of an open URL, none for a settled one, None for a new one."""
+        value = self.attempts.get()
+        return None if value is None else [tuple(record) for record in value[0]]
 
     def handleInputRows(self, key, rows, timerValues):
-        if self.settled.exists():
+        known = self._known()
+        if known is not None and not known:
             return
-        best = self._known()
-        changed, newest = set(), 0
+        best = {self._slot(record[0]): record for record in known or ()}
+        changed, newest = False, 0
         for row in rows:
             record = tuple(row[name] for name in RECORD)
             newest = max(newest, int(row["ts"].timestamp() * 1000))
             slot = self._slot(row["attempt"])
             if slot not in best or self._order(record) < self._order(best[slot]):
                 best[slot] = record
-                changed.add(slot)
+                changed = True
         record = min(best.values(), key=self._order)
         allowed = record[0] is not None and record[0] <= self.max_attempts
         if allowed and (record[2] or all(n in best for n in range(1, self.max_attempts + 1))):
-            yield from self._settle(key, newest, record)
+            yield from self._settle(key, newest, record, known is not None)
         else:
-            for slot in changed:
-                self.attempts.updateValue((slot,), best[slot])
-            self._set_timer(newest + self.timeout_ms)
+            if changed:
+                self.attempts.update((list(best.values()),))
+            self._set_timer(newest + self.timeout_ms, known is not None)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        best = self._known()
-        if best:
-            yield from self._settle(key, expiredTimerInfo.getExpiryTimeInMs(), min(best.values(), key=self._order))
+        known = self._known()
+        if known:
+            yield from self._settle(key, expiredTimerInfo.getExpiryTimeInMs(), min(known, key=self._order))
         else:
-            self.settled.clear()
+            self.attempts.clear()
 
     def close(self) -> None:
         pass

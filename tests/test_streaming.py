@@ -1,11 +1,13 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from sitescan.operators import crawl_log
 from sitescan.operators.classify import classify_sites
 from sitescan.operators.pages import page_facts
 from sitescan.streaming import jobs
+from sitescan.streaming.resolver import resolver
 
 T0 = datetime(2024, 1, 1)
 ATTEMPTS = "url string, attempt int, status_code int, error_class string, ts timestamp"
@@ -213,3 +215,21 @@ def test_progress_equals_batch_on_closed_windows(spark, rows, tmp_path):
     closed = got.agg(F.max("start")).first()[0]
     want = jobs.stream_progress(table).where(F.col("start") <= F.lit(closed))
     assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_a_new_url_takes_three_calls_of_the_state():
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (self if name.startswith("get") and a else None)
+
+    judge = resolver(3, 60, 60)
+    judge.init(Store())
+    calls.clear()
+    seen = lambda n, outcome, final: Row(attempt=n, outcome=outcome, terminal=final, error=None, status_code=200, ts=T0)
+    assert [r.outcome for r in judge.handleInputRows(("u",), iter([seen(1, "server_error", False), seen(2, "ok", True)]), None)] == ["ok"]
+    assert calls == ["get", "update", "registerTimer"]
+    calls.clear()
+    assert list(judge.handleInputRows(("v",), iter([seen(1, "server_error", False), seen(2, "timeout", False)]), None)) == []
+    assert calls == ["get", "update", "registerTimer"]
