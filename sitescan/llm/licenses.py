@@ -1,7 +1,7 @@
 """Licence families of paragraphs: sparse logistic regression over word n-grams, confirmed by templates.
 
 The model is small and trained here: on sentences of the templates, each also with words left
-out, against a bounded sample of the corpus' own paragraphs and sentences that only sound like a licence.
+out, against all of the corpus' own paragraphs and sentences that only sound like a licence.
 It keeps a few hundred n-grams with a weight; all others add nothing. So a text is scored within its
 row: its paragraphs' n-grams are looked up in the weights, and only paragraphs with a licence leave the row. A
 prediction counts if its probability reaches the calibrated bound, and is confirmed if the paragraph
@@ -10,8 +10,9 @@ holds enough of the word pairs of a sentence of that family's template.
 
 import re
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ UNKNOWN = "unknown"
 # Of a template sentence's word pairs: from the first part on a paragraph is no sample of the unknown, from the second confirmed.
 HALF = 0.5
 CONFIRMED = 0.75
+# What all paragraphs of the corpus weigh in the training, where a sentence of a template weighs 1.
+PLAIN_WEIGHT = 2250.0
 # Paragraphs end at blank lines, and where a line ends with a sentence; other line breaks are wrapping.
 BREAK = r"\n[ \t\r]*\n|(?<=[.!?:;])[\"')\]]?[ \t\r]*\n"
 
@@ -136,47 +139,49 @@ def likeness(own: Column, sentences: list[str]) -> Column:
     return shares[0] if len(shares) == 1 else F.greatest(*shares)
 
 
-def train(
-    docs: DataFrame, by_family: dict = TEMPLATES, most_docs: int = 400, most_lines: int = 3000, vocabulary: int = 20_000, quantile: float = 0.995,
-    id_col="doc_id", text_col="text",
-) -> Model:
-    """Fit on the templates and a sample of the corpus: paragraphs of `most_docs` documents, at most `most_lines`.
+def train(docs: DataFrame, by_family: dict = TEMPLATES, quantile: float = 0.995, id_col="doc_id", text_col="text") -> Model:
+    """Fit on the templates against all paragraphs of the corpus.
 
-    The sample is taken by hash of the documents' ids. Paragraphs that hold half of a template sentence
-    are left out of it, since they would be called unknown. Every fourth paragraph of the sample is
-    held out to calibrate the unknown class: a prediction counts above the `quantile` of what they
-    get, and from one half on. At most `vocabulary` n-grams, the most frequent ones, are looked at.
+    The n-grams looked at are those of the templates and of the sentences that only sound like a licence. Of a
+    paragraph only these count, so paragraphs are merged that hold the same ones equally often. All together weigh
+    `PLAIN_WEIGHT`, however many they are. Paragraphs that hold half of a template sentence are left out, since they would be
+    called unknown. Every fourth paragraph, by hash, is held out to calibrate the unknown class: a prediction counts
+    above the `quantile` of what they get, and from one half on.
     """
     spark = docs.sparkSession
     families = list(by_family)
     label = F.coalesce(*(F.when(F.col("family") == f, F.lit(i + 1)) for i, f in enumerate(families))).cast("double")
     known = templates(spark, by_family).select(label.alias("label"), "tokens")
     like = spark.createDataFrame([(t,) for t in LIKE_LICENSES], "text string").select(F.lit(0.0).alias("label"), words(F.col("text")).alias("tokens"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    chosen = slim.select(F.col("doc_id").alias("_lid")).where("_lid IS NOT NULL").distinct().orderBy(F.xxhash64("_lid"), "_lid").limit(most_docs)
-    sample = slim.join(F.broadcast(chosen), F.col("doc_id") == F.col("_lid"), "left_semi")
-    lines = sample.select("doc_id", "text", F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "line"))
-    lines = lines.select(words(F.col("line")).alias("tokens"), F.xxhash64("doc_id", "text", "paragraph").alias("h"))
-    best = likeness(F.col("own"), [t for texts in by_family.values() for t in texts])
-    plain = lines.where(F.size("tokens") > 0).withColumn("own", pairs(F.col("tokens"))).where(best < HALF).select("tokens", "h")
-    plain = plain.orderBy("h").limit(most_lines)
-    rows = _altered(known).unionByName(_altered(like)).unionByName(
-        plain.where(F.pmod("h", F.lit(4)) != 0).select(F.lit(0.0).alias("label"), "tokens")
+    sentences = _altered(known).unionByName(_altered(like)).select("label", grams(F.col("tokens")).alias("grams"))
+    # From fixed sentences only.
+    vocabulary = sorted(r[0] for r in sentences.select(F.explode("grams")).distinct().collect())
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
+        F.xxhash64("doc_id", "text").alias("h"), F.posexplode(paragraphs(F.col("text"))).alias("paragraph", "line")
     )
-    # A few thousand rows by now, whatever the corpus.
-    rows = rows.select("label", grams(F.col("tokens")).alias("grams")).coalesce(1).cache()
-    counter = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=vocabulary).fit(rows)
-    regression = LogisticRegression(family="multinomial", regParam=5e-4, elasticNetParam=0.9, maxIter=60)
+    tokens = words(F.col("line"))
+    found = lines.select((F.pmod(F.xxhash64("h", "paragraph"), F.lit(4)) == 0).alias("held"), let(tokens, lambda t: F.when(F.size(t) > 0, F.array_sort(_weighted(t, vocabulary)))).alias("grams"))
+    merged = found.where("grams IS NOT NULL").groupBy("grams").agg(F.count_if(~F.col("held")).alias("n"), F.count_if("held").alias("kept"))
+    best = likeness(F.col("grams"), [t for texts in by_family.values() for t in texts])
+    plain = merged.where(best < HALF).persist(StorageLevel.MEMORY_AND_DISK)
+    total = plain.agg(F.sum("n")).first()[0] or 1
+    rows = sentences.coalesce(1).withColumn("weight", F.lit(1.0)).unionByName(
+        plain.where("n > 0").select(F.lit(0.0).alias("label"), "grams", (F.col("n") * F.lit(PLAIN_WEIGHT / total)).alias("weight"))
+    )
+    counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
+    regression = LogisticRegression(family="multinomial", weightCol="weight", regParam=5e-4, elasticNetParam=0.9, maxIter=60)
     fitted = regression.fit(counter.transform(rows))
-    rows.unpersist()
-    held = counter.transform(plain.where(F.pmod("h", F.lit(4)) == 0).select(grams(F.col("tokens")).alias("grams")))
     highest = F.array_max(F.slice(vector_to_array("probability"), 2, len(families)))
-    bound = fitted.transform(held).agg(F.percentile(highest, F.lit(quantile))).first()[0]
+    held = fitted.transform(counter.transform(plain.where("kept > 0").select("grams", "kept")))
+    # Rounded, so that the percentile goes over a million values at most.
+    counts = held.groupBy(F.round(highest, 6).alias("p")).agg(F.sum("kept").alias("kept"))
+    bound = counts.agg(F.percentile("p", F.lit(quantile), F.col("kept"))).first()[0]
+    plain.unpersist()
     weights = {t: [float(x) for x in c] for t, c in zip(counter.vocabulary, fitted.coefficientMatrix.toArray().T) if abs(c).max() > 1e-9}
     return Model(by_family, [float(x) for x in fitted.interceptVector], weights, max(0.5, bound or 0.0))
 
 
-def _weighted(tokens: Column, weights: dict) -> Column:
+def _weighted(tokens: Column, weights) -> Column:
     """Those n-grams of `tokens` that have a weight."""
     single = [w for w in weights if " " not in w]
     double = [w for w in weights if " " in w]

@@ -451,6 +451,16 @@ def test_licenses(spark, dirty):
         assert abs(r["probability"] - shares.max()) < 1e-9 and [licenses.UNKNOWN, *model.by_family][shares.argmax()] == r["family"]
 
 
+def test_the_licence_model_learns_from_every_paragraph(spark):
+    """The document whose id has the highest hash is the last one that a sample by hash would take."""
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(prose(420, 51))], "doc_id bigint, text string")
+    last = table.orderBy(F.xxhash64("doc_id").desc()).first()["doc_id"]
+    near = "\n\n".join(["the software was released by the old law"] * 2000)
+    changed = table.withColumn("text", F.when(F.col("doc_id") == last, near).otherwise(F.col("text")))
+    plain, more = licenses.train(table), licenses.train(changed)
+    assert plain.weights != more.weights
+
+
 NOTICES = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
