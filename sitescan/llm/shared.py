@@ -1,6 +1,7 @@
 """Files in the shared folder, and texts as codes of distinct pieces."""
 
 import itertools
+import re
 import uuid
 
 import numpy as np
@@ -14,6 +15,11 @@ from ..session import checkpoint_dir
 # A space next to any white space, in the widest sense of the pattern languages used here.
 WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\p{Z}]"
 UNSAFE = f" {WHITE}|{WHITE} |^ | $"
+# ASCII letters and digits, Latin, Greek and Cyrillic letters, as bytes of UTF-8: letters in every version of Unicode.
+LETTER = (
+    r"(?:[0-9A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|[\xC4-\xC8][\x80-\xBF]|\xC9[\x80-\x8F]"
+    r"|\xCE[\xB1-\xBF]|\xCF[\x80-\x89]|[\xD0\xD1][\x80-\xBF]|\xD2[\x80\x81])"
+)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -65,6 +71,12 @@ def slices(batch: pa.RecordBatch, column: str, size: int = 2 << 20):
 
 
 def pieces(texts: pa.Array):
+    """`cut`, with its heads and tails as lists."""
+    codes, offsets, heads, tails = cut(texts)
+    return codes, offsets, heads.to_pylist(), listed(tails)
+
+
+def cut(texts: pa.Array):
     """Texts cut before each single space: (codes, offsets, heads, tails).
 
     `codes[offsets[i]:offsets[i + 1]]` are the pieces of text i; codes below
@@ -88,11 +100,10 @@ def pieces(texts: pa.Array):
     is_tail = np.ones(len(values), bool)
     is_tail[offsets[:-1]] = False
     tails = values.filter(pa.array(is_tail)).dictionary_encode()
-    head_texts = heads.dictionary.to_pylist()
     codes = np.empty(len(values), np.int32)
     codes[offsets[:-1]] = heads.indices.to_numpy(zero_copy_only=False)
-    codes[is_tail] = tails.indices.to_numpy(zero_copy_only=False) + len(head_texts)
-    return codes, offsets, head_texts, listed(tails.dictionary)
+    codes[is_tail] = tails.indices.to_numpy(zero_copy_only=False) + len(heads.dictionary)
+    return codes, offsets, heads.dictionary, tails.dictionary
 
 
 def listed(values: pa.Array) -> list[str]:
@@ -103,6 +114,29 @@ def listed(values: pa.Array) -> list[str]:
     return pc.binary_join(one, pa.scalar(" ", values.type))[0].as_py().split(" ")
 
 
+def apart(tails: pa.Array, marks: str):
+    """Tails cut before their first mark behind a letter or digit: (stems, stem_of, ends, end_of).
+
+    `stems` and `ends` are distinct, `stem_of` and `end_of` number them; the end of an uncut tail is empty.
+    """
+    starts = np.frombuffer(tails.buffers()[1], np.int64)[tails.offset : tails.offset + len(tails) + 1]
+    data = np.frombuffer(tails.buffers()[2] or b"", np.uint8)
+    kept = np.diff(starts)
+    if marks:
+        # Where the letter begins, in bytes; those above 0x7F have two.
+        at = pc.find_substring_regex(tails.cast(pa.large_binary()), f"{LETTER}[{re.escape(marks)}]").to_numpy(zero_copy_only=False)
+        found = np.flatnonzero(at >= 0)
+        kept[found] = at[found] + 1 + (data[starts[found] + at[found]] > 0x7F)
+
+    def encoded(begin, sizes):
+        buffers = [None, pa.py_buffer(np.concatenate([[0], np.cumsum(sizes)])), pa.py_buffer(data[spread_out(begin, sizes)])]
+        return pa.Array.from_buffers(tails.type, len(sizes), buffers).dictionary_encode()
+
+    stems, ends = encoded(starts[:-1], kept), encoded(starts[:-1] + kept, np.diff(starts) - kept)
+    stem_of, end_of = (x.indices.to_numpy(zero_copy_only=False) for x in (stems, ends))
+    return listed(stems.dictionary), stem_of, ends.dictionary.to_pylist(), end_of
+
+
 def spread_out(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The indices starts[i] … starts[i] + lengths[i] - 1, one run after the other."""
     ends = np.cumsum(lengths, dtype=np.int64)
@@ -111,52 +145,86 @@ def spread_out(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class Codebook:
-    """Token ids of distinct pieces, kept from block to block up to a number of pieces.
+    """Token ids of distinct pieces, kept from block to block up to a number of pieces; the most used ones stay.
 
     `heads` and `tails` are functions from pieces to (all their ids, the number
-    of ids of each); tails are given without the space before them.
+    of ids of each); tails are given without the space before them. `marks` are
+    characters that are encoded apart from a letter or digit before them, with
+    all that follows them; none, if the tokenizer may join them.
     """
 
-    def __init__(self, heads, tails, limit: int = 400_000):
-        self.heads, self.tails, self.limit = heads, tails, limit
-        self.clear()
-
-    def clear(self):
+    def __init__(self, heads, tails, limit: int = 400_000, marks: str = ""):
+        self.heads, self.tails, self.limit, self.marks = heads, tails, limit, marks
         self.index, self.used = {}, 0
         self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.hits = np.zeros(0, np.uint32), np.zeros(0, np.float32)
+
+    def forget(self):
+        """Keep the half of the limit that was met in most blocks; older meetings count less."""
+        n = min(len(self.index), self.limit // 2)
+        keep = np.sort(np.argsort(-self.hits, kind="stable")[:n])
+        keys = list(self.index)
+        self.index = {keys[i]: at for at, i in enumerate(keep.tolist())}
+        self.hits = self.hits[keep] / 2
+        ids = self.ids[spread_out(self.starts[keep], self.lengths[keep])]
+        self.lengths = self.lengths[keep]
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ids, self.used = ids, len(ids)
 
     def learn(self, keys, found):
         ids, lengths = found
         self.index.update(zip(keys, range(len(self.index), len(self.index) + len(keys))))
         self.starts = np.concatenate([self.starts, self.used + np.cumsum(lengths) - lengths])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.hits = np.concatenate([self.hits, np.zeros(len(keys), np.float32)])
         if self.used + len(ids) > len(self.ids):
             self.ids = np.resize(self.ids, 2 * (self.used + len(ids)))
         self.ids[self.used : self.used + len(ids)] = ids
         self.used += len(ids)
 
+    def find(self, keys: list[str]) -> np.ndarray:
+        """The entry of each piece, -1 for unknown ones."""
+        return np.fromiter(map(self.index.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+
     def rows(self, heads: list[str], tails: list[str]) -> np.ndarray:
-        """The entry of each piece; unknown ones are encoded first."""
-        if len(self.index) + len(heads) + len(tails) > self.limit:
-            self.clear()
-        keys = [" " + t for t in tails]
-        new = [t for t in dict.fromkeys(heads) if t not in self.index]
-        if new:
-            self.learn(new, self.heads(new))
-        new = [t for t in keys if t not in self.index]
-        if new:
-            self.learn(new, self.tails([t[1:] for t in new]))
-        return np.fromiter(map(self.index.__getitem__, heads + keys), np.int64, len(heads) + len(keys))
+        """The entry of each piece, tails being distinct; unknown ones are encoded first."""
+        keys = heads + [" " + t for t in tails]
+        found = self.find(keys)
+        if len(self.index) + np.count_nonzero(found < 0) > self.limit:
+            self.hits[found[found >= 0]] += 1
+            self.forget()
+            found = self.find(keys)
+        n = len(heads)
+        new = np.flatnonzero(found[n:] < 0)
+        if len(new):
+            found[n + new] = len(self.index) + np.arange(len(new))
+            self.learn([keys[n + i] for i in new.tolist()], self.tails([tails[i] for i in new.tolist()]))
+        if (found[:n] < 0).any():
+            # Not those that a tail has brought along with its space.
+            new = list(dict.fromkeys(t for t in heads if t not in self.index))
+            if new:
+                self.learn(new, self.heads(new))
+            found[:n] = self.find(heads)
+        self.hits[found] += 1
+        return found
 
     def encode_texts(self, texts: pa.Array):
         """(ids, offsets): the ids of all texts, and where each text's ids begin and end."""
-        codes, offsets, heads, tails = pieces(texts)
-        entry = self.rows(heads, tails)[codes]
-        lengths = self.lengths[entry]
-        ids = self.ids[spread_out(self.starts[entry], lengths)]
-        ends = np.concatenate([[0], np.cumsum(lengths)])
-        return ids, ends[offsets]
+        codes, offsets, heads, tails = cut(texts)
+        n = len(heads)
+        # The entries of each piece: of a head, or of a tail's stem and of the marks behind that.
+        stems, stem_of, ends, end_of = apart(tails, self.marks)
+        known, end, stem = np.split(self.rows(heads.to_pylist() + ends, stems), [n, n + len(ends)])
+        entries = np.zeros((n + len(tails), 2), np.int64)
+        entries[:n, 0], entries[n:, 0], entries[n:, 1] = known, stem[stem_of], end[end_of]
+        sizes = self.lengths[entries]
+        sizes[:n, 1] = 0
+        own = self.ids[spread_out(self.starts[entries].ravel(), sizes.ravel())]
+        bounds = np.concatenate([[0], np.cumsum(sizes.sum(axis=1))]) * own.itemsize
+        own = pa.Array.from_buffers(pa.large_binary(), len(entries), [None, pa.py_buffer(bounds), pa.py_buffer(own)])
+        whole = own.take(pa.array(codes))
+        at = np.frombuffer(whole.buffers()[1], np.int64)[: len(codes) + 1] // self.ids.itemsize
+        return np.frombuffer(whole.buffers()[2] or b"", self.ids.dtype)[: at[-1]], at[offsets]
 
 
 class Words:

@@ -12,6 +12,7 @@ file system, also when tasks are run again.
 
 import functools
 import os
+import string
 import zlib
 
 import numpy as np
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .shared import Codebook, remove, scratch, slices, written
+from .shared import Codebook, remove, scratch, slices, spread_out, written
 
 BLOCK_TOKENS = 1 << 20
 _BLOCK = "part int, seq int, n_tokens long, docs array<bigint>, sizes binary, control binary, data binary"
@@ -32,19 +33,23 @@ def tokenizer(path: str) -> Codebook:
     """A codebook over a file of the tokenizers library; one per Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, CharDelimiterSplit
 
     library = Tokenizer.from_file(path)
     library.model._resize_cache(0)  # the codebook remembers what the library would
+    # For words that the vocabulary's own pattern does not cut any further, and whose bytes are their letters.
+    uncut = Tokenizer(library.model)
+    uncut.pre_tokenizer = CharDelimiterSplit("\n")
 
-    def ids_of(texts):
-        found = [np.asarray(e.ids, np.uint32) for e in library.encode_batch_fast(texts, add_special_tokens=False)]
+    def ids_of(texts, model=library):
+        found = [np.asarray(e.ids, np.uint32) for e in model.encode_batch_fast(texts, add_special_tokens=False)]
         return np.concatenate([np.zeros(0, np.uint32), *found]), np.array([len(x) for x in found], np.int64)
 
-    def ids_of_tails(texts, together=256):
+    def ids_of_joined(texts, space, between, model, together=64):
         # A tail follows a space and holds none, so many are encoded as one text and told apart
         # by the tokens that begin with a space. Should one be missing, each goes by itself.
-        groups = [" " + " ".join(texts[i : i + together]) for i in range(0, len(texts), together)]
-        ids, sizes = ids_of(groups)
+        groups = [space + between.join(texts[i : i + together]) for i in range(0, len(texts), together)]
+        ids, sizes = ids_of(groups, model)
         cuts = np.flatnonzero(spaced[ids])
         ends = np.cumsum(sizes)
         expected = np.minimum(together * np.arange(1, len(groups) + 1), len(texts))
@@ -52,11 +57,25 @@ def tokenizer(path: str) -> Codebook:
             return ids, np.diff(np.append(cuts, len(ids)))
         return ids_of([" " + t for t in texts])
 
+    def ids_of_tails(texts):
+        plain = np.fromiter((byte_level and t.isascii() and t.isalpha() for t in texts), bool, len(texts))
+        words = ids_of_joined([t for t, p in zip(texts, plain) if p], "Ġ", "\nĠ", uncut)
+        others = ids_of_joined([t for t, p in zip(texts, plain) if not p], " ", " ", library)
+        sizes = np.concatenate([words[1], others[1]])
+        place = np.argsort(~plain, kind="stable").argsort()
+        return np.concatenate([words[0], others[0]])[spread_out((np.cumsum(sizes) - sizes)[place], sizes[place])], sizes[place]
+
     size = library.get_vocab_size(with_added_tokens=True)
     spaced = np.zeros(max(library.get_vocab(with_added_tokens=True).values()) + 1, bool)
     for token, i in library.get_vocab(with_added_tokens=False).items():
         spaced[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
-    book = Codebook(ids_of, ids_of_tails)
+    # Their pattern keeps letters together and cuts between them and marks, apostrophes aside. Added tokens must not be in the way.
+    added = [t.content for t in library.get_added_tokens_decoder().values()]
+    pre = library.pre_tokenizer
+    pattern = isinstance(pre, ByteLevel) and pre.use_regex and not pre.add_prefix_space and library.normalizer is None
+    byte_level = pattern and library.token_to_id("Ġ") is not None and not any(t.isalnum() for t in added)
+    marks = set(string.punctuation).difference("'", *added) if byte_level else ()
+    book = Codebook(ids_of, ids_of_tails, marks="".join(sorted(marks)))
     book.vocabulary = max(size, len(spaced))
     return book
 

@@ -56,6 +56,49 @@ def test_codebook_forgets_without_harm():
         assert np.array_equal(got, want)
 
 
+def recording(book, limit, marks=""):
+    """A codebook like `book` that notes which pieces it has encoded."""
+    noted = []
+
+    def note(encode):
+        return lambda pieces: noted.extend(pieces) or encode(pieces)
+
+    return Codebook(note(book.heads), note(book.tails), limit, marks), noted
+
+
+def test_codebook_keeps_the_pieces_used_most():
+    book, noted = recording(token_files.tokenizer(BYTE), 20)
+    for i in range(20):
+        book.encode_texts(pa.array(["often used words " + " ".join(f"w{i}x{j}" for j in range(6))]))
+    assert len(noted) > 100 and all(noted.count(t) == 1 for t in ("often", "used", "words"))
+    assert len(book.index) <= 20
+
+
+def test_words_before_marks_are_encoded_once():
+    whole = token_files.tokenizer(BYTE)
+    book, noted = recording(whole, 400_000, whole.marks)
+    book.encode_texts(pa.array(["x word word. word, word?! Straße Straße: word\nend word.\nend word;\nend"]))
+    assert noted.count("word") == noted.count("Straße") == 1 and "word." not in noted
+    assert not {"'", "<", "|", ">"} & set(whole.marks)
+
+
+def test_codebook_equals_the_library():
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(BYTE), np.random.default_rng(4)
+    bits = ["a", "Word", "ß", "é", "e\u0301", "漢", "가", "й", "7", "½", "ª", "'s", "'", ".", ",", "-", "_", "!?", "…", "\n", "\t", "\u00a0", "😀", "\U0001df25"]
+    bits += ["<|endoftext|>", "<|", "|>", " ", " ", " ", "  "]
+    texts = ["".join(rng.choice(bits, rng.integers(0, 30))) for _ in range(3000)]
+    texts += [b + m + a for b in bits for m in bits for a in bits]
+    whole = token_files.tokenizer(BYTE)
+    for limit in (50, 400_000):
+        book = Codebook(whole.heads, whole.tails, limit, whole.marks)
+        for some in ([], [""], ["a"], ["a b"], [None, "x."], texts[:1000], texts):
+            ids, ends = book.encode_texts(pa.array(some, pa.string()))
+            want = [library.encode(t or "", add_special_tokens=False).ids for t in some]
+            assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == want
+
+
 # 1
 
 
