@@ -164,6 +164,7 @@ class Codebook:
         n = min(len(self.index), self.limit // 2)
         keep = np.sort(np.argsort(-self.hits, kind="stable")[:n])
         keys = list(self.index)
+        self.index = {}  # gone before the next one is made, for the sake of memory
         self.index = {keys[i]: at for at, i in enumerate(keep.tolist())}
         self.hits = self.hits[keep] / 2
         ids = self.ids[spread_out(self.starts[keep], self.lengths[keep])]
