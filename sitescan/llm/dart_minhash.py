@@ -183,17 +183,19 @@ def _jaccard(left: pa.Array, right: pa.Array) -> pa.Array:
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component) for edges (a, b): the smallest node of each connected component.
 
-    Large and small stars by turns; every turn is written, so that nothing is computed twice.
+    Large and small stars by turns; every turn is written, so that nothing is computed twice. Joins are merged:
+    a broadcast passes through the driver, and one a join and turn fills its memory faster than it is freed.
     """
     spark = edges.sparkSession
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), scratch(spark, name))
     state = None
     while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        # One reading for both ways.
+        both = edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(low.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(low.hint("merge"), "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = small.unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         edges = written(small, scratch(spark, name))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -247,7 +249,7 @@ def _all_links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     is_main = F.col("component") == F.col("main")
     block = F.when(is_main, F.col("others") + F.pmod(place, F.col("mains"))).otherwise(F.pmod(place, F.col("others"))).cast("int")
     until = F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1
-    tiles = members.join(largest, "bucket").select(
+    tiles = members.join(largest.hint("merge"), "bucket").select(
         "bucket", "node", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), until)).alias("other")
     ).select("bucket", "node", "component", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     rows = tiles.join(texts, "node").withColumn("least", F.lit(least))
@@ -293,58 +295,69 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, id_col="doc_id", text
         rows.where("_digest IS NOT NULL").groupBy("_digest").agg(F.min("_row").alias("node")), scratch(spark, "nodes")
     )
     nodes = rows.select("_digest", "_row", "_buckets").join(
-        distinct.select("node"), F.col("_row") == F.col("node"), "left_semi"
+        distinct.select("node").hint("merge"), F.col("_row") == F.col("node"), "left_semi"
     )
     placed = nodes.select(F.col("_row").alias("node"), F.explode("_buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     # Only buckets with two members or more go on.
     sketched = rows.select(F.col("_row").alias("node"), F.col("_sketch").alias("sketch"))
-    members = placed.join(shared.select("bucket"), "bucket").join(sketched, "node")
-    members = written(members, scratch(spark, "members"))
+    members = placed.join(shared.select("bucket").hint("merge"), "bucket").join(sketched.hint("merge"), "node")
+    place = scratch(spark, "members")
+    members = written(members, place)
     used = members.select("node").distinct()
     own = all_rows.select(F.col("_row").alias("node"), F.coalesce("_text", F.lit("")).alias("text"))
     texts = bucketed(own.join(used, "node", "left_semi"), scratch(spark, "candidate-texts"), "node")
-    links = None
     component = None
     for turn in range(LEADERS + 1):
         current = members.withColumn("component", F.col("node"))
         if component is not None:
-            current = members.join(component, "node", "left").select(
+            current = members.join(component.hint("merge"), "node", "left").select(
                 "node", "bucket", "sketch", F.coalesce("component", "node").alias("component")
             )
         # The original of a group of copies shares more large buckets than any copy does; it leads first.
         sizes = current.groupBy("bucket").agg(
             F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")
         ).where("low < high")
-        current = current.join(sizes.select("bucket", "size"), "bucket")
-        central = current.groupBy("node").agg(F.sum("size").alias("weight"))
-        ranked = current.join(central, "node").select("bucket", F.struct(F.col("weight"), F.col("node").alias("leader")).alias("rank"))
-        leaders = ranked.groupBy("bucket").agg(F.max("rank")["leader"].alias("leader"))
-        open_ = current.join(leaders, "bucket")
+        current = current.join(sizes.select("bucket", "size").hint("merge"), "bucket")
         if turn < LEADERS:
-            first = current.select(
-                F.col("node").alias("leader"), "bucket", F.col("component").alias("of_leader"), F.col("sketch").alias("other")
+            central = current.groupBy("node").agg(F.sum("size").alias("weight"))
+            ranked = current.join(central.hint("merge"), "node").select("bucket", F.struct(F.col("weight"), F.col("node").alias("leader")).alias("rank"))
+            leaders = ranked.groupBy("bucket").agg(F.max("rank")["leader"].alias("leader"))
+            current = current.join(leaders.hint("merge"), "bucket").drop("size")
+        else:
+            current = current.drop("size", "sketch")
+        # Written once: pairs and the next turn's members come from it.
+        before, place = place, scratch(spark, "open")
+        open_ = written(current, place)
+        remove(spark, before)
+        if open_.isEmpty():
+            # Each bucket's members are linked already, or there are none.
+            break
+        if turn < LEADERS:
+            first = open_.where("node = leader").select(
+                "bucket", F.col("component").alias("of_leader"), F.col("sketch").alias("other")
             )
-            pairs = open_.join(first, ["bucket", "leader"]).where((F.col("component") != F.col("of_leader")) & _possible(least))
+            pairs = open_.join(first.hint("merge"), "bucket").where((F.col("component") != F.col("of_leader")) & _possible(least))
             found = _verified(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct(), texts, least)
         else:
-            found = _all_links(current, texts, least)
+            found = _all_links(open_, texts, least)
         found = written(found.select("a", "b"), scratch(spark, "links"))
-        links = found if links is None else links.unionByName(found)
-        component = written(components(links), scratch(spark, "component"))
-        if turn == LEADERS:
-            break
-        # A leader has met all of its bucket.
-        rest = open_.where("node <> leader").select("node", "bucket", "sketch")
-        members = written(rest, scratch(spark, "members"))
-        if members.isEmpty():
-            break
-    named = distinct.join(component, "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
+        if not found.isEmpty():
+            # Earlier links count by their components.
+            if component is not None:
+                found = found.unionByName(component.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            component = written(components(found), scratch(spark, "component"))
+        if turn < LEADERS:
+            # A leader has met all of its bucket.
+            members = open_.where("node <> leader").select("node", "bucket", "sketch")
+    named = distinct.select("_digest", F.col("node").alias("_class"))
+    if component is not None:
+        named = distinct.join(component.hint("merge"), "node", "left").select("_digest", F.coalesce("component", "node").alias("_class"))
     # Classes are worked out on ids and go to the rows, which stay in their buckets.
     class_of = F.coalesce("_class", "_row").alias("_class")
-    small = rows.select("_row", "_digest", "_id").join(named, "_digest", "left").select("_row", "_id", class_of)
+    small = rows.select("_row", "_digest", "_id").join(named.hint("merge"), "_digest", "left").select("_row", "_id", class_of)
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row")))
     heads = small.groupBy("_class").agg(first.alias("first"))
-    decided = small.join(heads, "_class").select("_row", F.col("first.id").alias("_head"), (F.col("first.row") == F.col("_row")).alias("_stays"))
+    decided = small.join(heads.hint("merge"), "_class").select("_row", F.col("first.id").alias("_head"), (F.col("first.row") == F.col("_row")).alias("_stays"))
     found = all_rows.join(written(decided, scratch(spark, "decided")), "_row")
     return plain.back(found, class_id=F.col("_head"), stays=F.col("_stays"))

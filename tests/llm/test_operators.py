@@ -277,6 +277,25 @@ def test_near_duplicates(spark, monkeypatch):
     assert all(r["stays"] == (r["class_id"] == i) for i, r in got.items())
 
 
+def test_near_duplicates_spare_the_driver(spark, monkeypatch):
+    """Joins of ids are not broadcast, and components are worked out only in turns that find links."""
+    words = prose(1, 8, 80)[0].split()
+    copies = [" ".join(words[:i] + ["changed"] + words[i + 1 :]) for i in range(1, 80, 13)]
+    docs = spark.createDataFrame(list(enumerate([" ".join(words), *copies, *prose(5, 9, 80)])), "doc_id bigint, text string")
+    plans, runs, original, components = [], [], dart_minhash.written, dart_minhash.components
+
+    def kept(df, *args):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return original(df, *args)
+
+    monkeypatch.setattr(dart_minhash, "written", kept)
+    monkeypatch.setattr(dart_minhash, "components", lambda edges: runs.append(1) or components(edges))
+    got = [r["class_id"] for r in dart_minhash.near_duplicates(docs).orderBy("doc_id").collect()]
+    assert got == [0] * 8 + [8, 9, 10, 11, 12] and len(runs) == 1
+    # Only ids that go to texts may be: three joins a turn.
+    assert sum(p.count("BroadcastHashJoin") for p in plans) <= 3 * len(runs)
+
+
 def test_near_duplicates_of_dirty_rows(dirty, none):
     rows = dart_minhash.near_duplicates(dirty)
     assert rows.columns == ["doc_id", "text", "toxicity", "class_id", "stays"] and rows.count() == dirty.count()
