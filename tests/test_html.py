@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from sitescan.functions import html as H
-from sitescan.functions.nodes import read_nodes
+from sitescan.functions.labels import language_guess
+from sitescan.functions.nodes import QUIET_TAGS, read_nodes
 from sitescan.operators import pages
 
 
@@ -127,3 +128,23 @@ def test_outlinks(rows):
     # //b.org takes the page's scheme
     out = pages.outlinks(rows("page_id bigint, url string, html string", (1, "https://a.org/p", html)))
     assert sorted((r.link_origin, r.links) for r in out.collect()) == [("https://a.org", 1), ("https://b.org", 2)]
+
+
+def test_texts_of_pages_reach_python_functions(rows):
+    words = "der Hund und die Katze sind nicht im Haus, " * 3
+    # Many columns first: Spark's numbers of columns and of lambda variables must not meet by chance.
+    wide = rows("i int, html string", (1, f"<body><h1>{words}</h1><main>{words}</main></body>")).select("*", *(F.lit(i).alias(f"c{i}") for i in range(50)))
+    nodes = F.col("nodes")
+    told = pages.with_nodes(wide.select("i", "html")).select(
+        language_guess(H.page_body(nodes))["label"].alias("body"), language_guess(H.page_title(nodes))["label"].alias("title")
+    )
+    assert told.collect() == [("de", "de")]
+
+
+@pytest.mark.parametrize("tag", sorted(QUIET_TAGS))
+def test_quiet_elements_have_their_own_texts(on_nodes, tag):
+    inner = "a<b>b</b>" if tag in ("template", "rt", "rp") else "a"
+    page = f'<body>x<{tag} id="content">{inner}</{tag}>y</body>'
+    whole, body = on_nodes(lambda n: H.inner_text(n, F.get(F.filter(n, lambda m: m["tag"] == tag), F.lit(0)), "|"), page), on_nodes(H.page_body, page)
+    assert whole == ["a|b" if inner != "a" else "a"]
+    assert body == ["x y" if tag in pages.BOILERPLATE_TAGS else inner.replace("<b>", " ").replace("</b>", "")]
