@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -233,3 +234,21 @@ def test_a_new_url_takes_three_calls_of_the_state():
     calls.clear()
     assert list(judge.handleInputRows(("v",), iter([seen(1, "server_error", False), seen(2, "timeout", False)]), None)) == []
     assert calls == ["get", "update", "registerTimer"]
+
+
+@pytest.mark.parametrize("buckets", [None, 1, 5])
+def test_buckets_settle_and_flush_like_urls(spark, rows, tmp_path, buckets):
+    want = all_of(crawl_log.attempt_resolve(attempts(rows, *ODD)))
+    feed = Feed(spark, tmp_path, ATTEMPTS, lambda s: jobs.stream_attempt_resolve(s, "1 minute", timeout_s=600, keep_s=60, buckets=buckets))
+    feed.put(attempts(rows, *ODD))
+    settled = feed.run()
+    assert all_of(settled.unionByName(jobs.flush_attempts(spark, f"{feed.base}/checkpoint"))) == want
+    # Time ends the open URLs, those with more news later; settled ones are forgotten and may come again.
+    feed.put(attempts(rows, ("later", 1, 200, None, 100), ("open", 2, None, "timeout", 95)))
+    feed.run()
+    feed.put(attempts(rows, ("latest", 1, 200, None, 101)))
+    got = all_of(feed.run().where("url not like 'late%'"))
+    assert got == [r for r in want if r[0] != "open"]
+    feed.put(attempts(rows, ("ok", 1, 404, None, 102)))
+    assert [r[3] for r in all_of(feed.run()) if r[0] == "ok"] == ["FAILED", "OK"]
+    assert {r[0] for r in all_of(jobs.flush_attempts(spark, f"{feed.base}/checkpoint"))} == {"open"}
