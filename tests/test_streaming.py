@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta
 
 import pytest
@@ -252,3 +253,19 @@ def test_buckets_settle_and_flush_like_urls(spark, rows, tmp_path, buckets):
     feed.put(attempts(rows, ("ok", 1, 404, None, 102)))
     assert [r[3] for r in all_of(feed.run()) if r[0] == "ok"] == ["FAILED", "OK"]
     assert {r[0] for r in all_of(jobs.flush_attempts(spark, f"{feed.base}/checkpoint"))} == {"open"}
+
+
+def test_a_bucket_takes_three_calls_of_the_state_for_all_its_urls():
+    calls = []
+
+    class Store:
+        def __getattr__(self, name):
+            return lambda *a: calls.append(name) or (self if name.startswith("get") and a else None)
+
+    judge = resolver(3, 60, 60, in_buckets=True)
+    judge.init(Store())
+    calls.clear()
+    said = lambda url, final: Row(ts=T0, said=json.dumps({"url": url, "attempt": 1, "outcome": "ok" if final else "timeout", "terminal": final}))
+    got = list(judge.handleInputRows((0,), iter([said(f"u{i}", i % 2 == 0) for i in range(100)]), None))
+    assert [r.url for r in got] == [f"u{i}" for i in range(0, 100, 2)]
+    assert calls == ["get", "update", "registerTimer"]
